@@ -130,7 +130,7 @@ def _examples() -> list[dict]:
     for family, sentences in TEMPLATES.items():
         for k, sentence in enumerate(sentences):
             words = sentence.split()
-            out += [{"t": sentence, "y": family}] * 3
+            out += [{"t": sentence, "y": family}] * 6
             out.append({"t": f"{sentence} {sentences[(k + 1) % len(sentences)]}", "y": family})
             out.append({"t": f"Copyright 2020 The Authors. {sentence}", "y": family})
             out += [{"t": " ".join(words[i : i + 9]), "y": family} for i in range(0, len(words) - 8, 3)]
@@ -159,7 +159,7 @@ def fit_licences(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.select(kept.alias("f"), "label", "held")
     vectors = CountVectorizer(inputCol="f", outputCol="features", binary=True, minDF=2, vocabSize=20_000).fit(known.select(_features(F.col("words")).alias("f")).select(kept.alias("f")))
     data = vectors.transform(rows)
-    fit = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.002, maxIter=60, standardization=False).fit(data.filter("not held"))
+    fit = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0003, maxIter=80, standardization=False).fit(data.filter("not held"))
     matrix, intercepts = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray().tolist()
     if len(intercepts) != len(families):  # only where a class had no rows, which the templates exclude
         raise ValueError("a licence family has no examples")
