@@ -6,14 +6,17 @@ number of the arrival only. A register keeps its first arrival, and a shingle st
 than the text's last register. Two texts agree in a register with a probability that is their probability Jaccard
 similarity, J_P. With unit weights (the default) J_P is the Jaccard similarity of the shingle sets itself.
 
-Signatures are banded; texts that share a band are candidates, and every candidate pair counts only after its exact
-J_P is computed from the texts. The passes:
+Signatures are banded; texts that share a band are candidates, and a candidate pair counts only after its exact J_P is
+computed from the shingles. The passes:
 
 1. Texts with the same weighted shingles become one node (a group of exact copies has no pairs at all).
 2. In each bucket every node is paired with the bucket's first node only, whatever the bucket's size. Verified pairs
    are links; connected components are found with links in the shared folder.
-3. Only where a bucket still holds several components are its nodes of different components compared with each other,
-   so that no link between different texts that could join two components is lost.
+3. Where a bucket still holds several components its nodes meet in one task (in blocks of a bounded number of nodes,
+   each pair of blocks a task of its own). Only pairs of different components are looked at, those first whose
+   signatures agree most; pairs whose signatures put them five deviations below the threshold are out, all others are
+   computed exactly until they are known to be linked. Only links that join components leave the task, so neither
+   pairs nor links of a group multiply.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, checkpointed, mix, word_lists, written
 
-BANDS, ROWS = 48, 7
+BANDS, ROWS, BLOCK = 48, 7, 4096
 
 
 def shingle_hashes(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,17 +134,81 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, words: int, weight
     return rows_in.mapInPandas(sign, "_id long, _key binary, _bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, weights: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' exact J_P reaches similarity. Only texts that a pair names are shuffled."""
+def _sketches(nodes: DataFrame, texts: DataFrame, words: int, weights: str, registers: int) -> DataFrame:
+    """(_node, _sig, _set, _weights) of the nodes that are candidates: a byte a register, sorted 32-bit shingles."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), 512):
+                b = whole.iloc[i : i + 512]
+                hashes, number = shingle_hashes(b["_text"].tolist(), words)
+                owner, distinct, weight = weighted(hashes, np.repeat(np.arange(len(b)), number), weights)
+                sig = (signatures(owner, distinct, weight, len(b), registers) >> np.uint64(56)).astype(np.uint8)
+                cuts = np.searchsorted(owner, np.arange(len(b) + 1))
+                sets = [np.unique((distinct[s:e] >> np.uint64(32)).astype(np.uint32), return_inverse=True) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+                sums = [np.bincount(k.ravel(), weight[s:e]).astype(np.float64) for (_, k), s, e in zip(sets, cuts[:-1], cuts[1:], strict=True)]
+                yield pd.DataFrame({"_node": b["_node"].to_numpy(), "_sig": [x.tobytes() for x in sig], "_set": [u.tobytes() for u, _ in sets], "_weights": [None if weights == "set" else w.tobytes() for w in sums]})
+
+    joined = texts.join(nodes, F.col("_id") == F.col("_node")).select("_node", "_text")
+    return written(joined.mapInPandas(sketch, "_node long, _sig binary, _set binary, _weights binary").dropDuplicates(["_node"]), "sketches")
+
+
+def _shingles(content: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(content, np.uint32)
+    return found, np.ones(len(found)) if weights is None else np.frombuffer(weights, np.float64)
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (_a, _b) whose exact J_P reaches similarity."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = [weighted(h := shingle_hashes([t], words)[0], np.zeros(len(h), np.int64), weights)[1:] for t in [*b["_ta"], *b["_tb"]]]
-            near = [probability_jaccard(x, y) >= similarity - 1e-12 for x, y in zip(both[: len(b)], both[len(b) :], strict=True)]
+            near = [probability_jaccard(_shingles(sa, wa), _shingles(sb, wb)) >= similarity - 1e-12 for sa, wa, sb, wb in zip(b["_sa"], b["_wa"], b["_sb"], b["_wb"], strict=True)]
             yield b.loc[near, ["_a", "_b"]]
 
-    first = pairs.join(texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_ta")), "_a")
-    return first.join(texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb")), "_b").select("_a", "_b", "_ta", "_tb").mapInPandas(measure, "_a long, _b long")
+    side = lambda x: sketches.select(F.col("_node").alias(f"_{x}"), F.col("_set").alias(f"_s{x}"), F.col("_weights").alias(f"_w{x}"))
+    return pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_sa", "_wa", "_sb", "_wb").mapInPandas(measure, "_a long, _b long")
+
+
+def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list, band: int, rows: int, similarity: float, sized: bool) -> list[tuple[int, int]]:
+    """Links between nodes of different classes that join them: of a bucket, or of two blocks of one.
+
+    block is 0 or 1 for each node; only pairs across are taken if both occur. A pair that shares an earlier band is left
+    to that band's bucket.
+    """
+    n, registers = sig.shape
+    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / registers)
+    size = np.array([len(s[0]) for s in sets])
+    across, found = block.min() != block.max(), []
+    tile = max(1, 30_000_000 // (n * registers))
+    for i in range(0, n, tile):
+        equal = sig[i : i + tile, None, :] == sig[None, :, :]
+        agree = equal.mean(2)
+        fine = (agree >= least) & (classes[i : i + tile, None] != classes) & (np.arange(i, min(i + tile, n))[:, None] < np.arange(n))
+        if across:
+            fine &= block[i : i + tile, None] != block
+        if sized:
+            fine &= np.minimum(size[i : i + tile, None], size) >= similarity * np.maximum(size[i : i + tile, None], size) - 1e-9
+        x, y = np.nonzero(fine)
+        if band and len(x):
+            before = equal[x, y, : band * rows].reshape(len(x), band, rows).all(2).any(1)
+            x, y = x[~before], y[~before]
+        found.append((agree[x, y], x + i, y))
+    agree, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    head: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while head.get(c, c) != c:
+            c = head[c]
+        return c
+
+    links = []
+    for k in np.argsort(-agree, kind="stable"):
+        a, b = root(int(classes[x[k]])), root(int(classes[y[k]]))
+        if a != b and probability_jaccard(sets[x[k]], sets[y[k]]) >= similarity - 1e-12:
+            head[max(a, b)] = min(a, b)
+            links.append((int(nodes[x[k]]), int(nodes[y[k]])))
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,8 +229,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, copies, links) for every row: class_id is the smallest id of its class, copies the rows with the
-    same weighted shingles as this one, links the verified links of those to different texts.
+    """(id, class_id, copies, class_size) for every row: class_id is the smallest id of its class, copies the rows with
+    the same weighted shingles as this one, class_size the rows of the class.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer than `words` words is one
     shingle. Texts without words, the empty one included, are in a class with their exact copies; a null text is in a
@@ -172,39 +239,44 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     signed = written(_signed(documents, id_col, text_col, words, weights, bands, rows), "signed")
     known = signed.filter("_id is not null and _key is not null")
-    groups = known.groupBy("_key").agg(F.min("_id").alias("_node"), F.count("*").alias("_copies"))
-    groups = written(groups, "groups")
+    groups = written(known.groupBy("_key").agg(F.min("_id").alias("_node"), F.count("*").alias("_copies")), "groups")
     # One row of each group goes on; a key shared by a third of all rows is a plain join that adaptive execution splits.
     nodes = known.filter(F.col("_bands").isNotNull()).join(groups.select(F.col("_key").alias("_k"), "_node"), (F.col("_id") == F.col("_node")) & (F.col("_key") == F.col("_k"))).dropDuplicates(["_node"])
-    buckets = written(nodes.select("_node", F.explode("_bands").alias("_bucket")), "buckets")
+    buckets = written(nodes.select("_node", F.posexplode("_bands").alias("_band", "_bucket")), "buckets")
     hubs = checkpointed(buckets.groupBy("_bucket").agg(F.min("_node").alias("_hub"), F.max("_node").alias("_last")).filter("_hub < _last").drop("_last"))
+    crowded = written(buckets.join(hubs, "_bucket").filter("_node <> _hub"), "crowded")
+    stars = checkpointed(crowded.select(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).distinct())
     texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
-    crowded = buckets.join(hubs, "_bucket")
-    stars = checkpointed(crowded.filter("_node <> _hub").select(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).distinct())
-    links = checkpointed(_verified(stars, texts, words, weights, similarity))
+    sketches = _sketches(stars.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), texts, words, weights, bands * rows)
+    links = checkpointed(_verified(stars, sketches, similarity))
     classes = components(links)
 
-    # What one star round cannot see: nodes of different components that meet in a bucket away from its hub.
-    met = crowded.filter("_node <> _hub").join(classes, F.col("_node") == F.col("_id"), "left").select("_bucket", "_node", F.coalesce("_class", "_node").alias("_c"))
-    mixed = met.groupBy("_bucket").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo < _hi").select("_bucket")
-    left = checkpointed(met.join(mixed, "_bucket", "left_semi"))
-    right = left.select("_bucket", F.col("_node").alias("_other"), F.col("_c").alias("_oc"))
-    across = left.join(right, "_bucket").filter("_node < _other and _c <> _oc").select(F.col("_node").alias("_a"), F.col("_other").alias("_b")).distinct().join(stars, ["_a", "_b"], "left_anti")
-    more = checkpointed(_verified(checkpointed(across), texts, words, weights, similarity))
+    # What one star cannot see: nodes of different components that meet in a bucket away from its hub.
+    met = crowded.join(classes, F.col("_node") == F.col("_id"), "left").select("_bucket", "_band", "_node", F.coalesce("_class", "_node").alias("_c"))
+    mixed = met.groupBy("_bucket").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).filter("_lo < _hi").drop("_lo", "_hi")
+    own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = met.join(checkpointed(mixed), "_bucket").withColumn("_own", own).withColumn("_other", other)
+    dealt = dealt.select("_bucket", "_band", "_node", "_c", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_block"))
+
+    def join(key, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_node", kind="stable")
+        sig = np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(len(g), -1)
+        found = joining_links(g["_node"].to_numpy(), g["_c"].to_numpy(), g["_block"].to_numpy(), sig, [_shingles(x, w) for x, w in zip(g["_set"], g["_weights"], strict=True)], int(g["_band"].iloc[0]), rows, similarity, weights == "set")
+        return pd.DataFrame(found, columns=["_a", "_b"])
+
+    more = checkpointed(dealt.join(sketches, "_node").groupBy("_bucket", "_i", "_j").applyInPandas(join, "_a long, _b long").distinct())
     if not more.isEmpty():
-        links = links.unionByName(more)
-        classes = components(links)
+        classes = components(links.unionByName(more))
 
-    degree = links.select(F.col("_a").alias("_node")).unionAll(links.select(F.col("_b").alias("_node"))).groupBy("_node").agg(F.count("*").alias("_links"))
-    named = groups.join(classes, F.col("_node") == F.col("_id"), "left").select("_key", "_node", "_copies", F.coalesce("_class", "_node").alias("_class"))
-    named = written(named.join(degree, "_node", "left").select("_key", "_class", "_copies", F.coalesce("_links", F.lit(0)).alias("_links")), "classes")
+    named = written(groups.join(classes, F.col("_node") == F.col("_id"), "left").select("_key", "_copies", F.coalesce("_class", "_node").alias("_class")), "classes")
+    sizes = named.groupBy("_class").agg(F.sum("_copies").alias("_size"))
+    named = written(named.join(sizes, "_class"), "named")
     rows_out = signed.select("_id", "_key").join(named, "_key", "left")
+    known_id = F.col("_id").isNotNull()
     return rows_out.select(
-        F.col("_id").alias(id_col),
-        F.coalesce("_class", "_id").alias("class_id"),
-        F.when(F.col("_id").isNotNull(), F.coalesce("_copies", F.lit(1))).alias("copies"),
-        F.when(F.col("_id").isNotNull(), F.coalesce("_links", F.lit(0))).alias("links"),
-    )
+        F.col("_id").alias(id_col), F.coalesce("_class", "_id").alias("class_id"), F.when(known_id, F.coalesce("_copies", F.lit(1))).alias("copies"), F.when(known_id, F.coalesce("_size", F.lit(1))).alias("class_size"),
+    )
 
 
 def class_heads(classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
