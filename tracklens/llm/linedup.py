@@ -7,27 +7,36 @@ together, are removed. Each removed line has an equal one earlier in that order,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
-
-
-def _windows(text: Column, window: int) -> Column:
-    """array<struct<p, a, b>>: a window's first line and its 128-bit hash; windows of blank lines only are left out."""
-    lines = F.transform(_lines(text), F.trim)
-    at = F.when(F.size(lines) >= window, F.sequence(F.lit(0), F.size(lines) - window)).otherwise(F.array().cast("array<int>"))
+def _windows(documents: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(_id, p, a, b): a window's first line and its 128-bit hash; windows of blank lines only are left out."""
 
-    def hashed(p):
-        each = [lines[p + k] for k in range(window)]
-        return F.struct(p.alias("p"), F.xxhash64(*each).alias("a"), F.xxhash64(F.lit("second"), *each).alias("b"), F.concat(*each).alias("t"))
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, places, digests = [], [], []
+            for i, text in zip(batch["_id"].tolist(), batch["_text"].tolist(), strict=True):
+                lines = [line.strip(" ") for line in text.split("\n")]
+                for p in range(len(lines) - window + 1):
+                    if any(lines[p : p + window]):
+                        ids.append(i)
+                        places.append(p)
+                        digests.append(xxhash.xxh3_128_digest("\n".join(lines[p : p + window])))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"_id": ids, "p": np.asarray(places, np.int32), "a": halves[:, 0], "b": halves[:, 1]})
 
-    kept = F.filter(F.transform(at, hashed), lambda w: w["t"] != "")
-    return F.transform(kept, lambda w: F.struct(w["p"].alias("p"), w["a"].alias("a"), w["b"].alias("b")))
+    kind = documents.schema[id_col].dataType.simpleString()
+    rows = documents.filter(F.col(id_col).isNotNull() & F.col(text_col).contains("\n")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInPandas(cut, f"_id {kind}, p int, a long, b long")
 
 
 def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -36,10 +45,7 @@ def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     Lines are compared without surrounding blanks. Rows that share an id are one document (their windows count once);
     null ids and texts, and texts of fewer lines than a window, have nothing to remove.
     """
-    rows = (
-        documents.filter(F.col(id_col).isNotNull() & F.col(text_col).contains("\n"))
-        .select(F.col(id_col).alias("_id"), F.inline(_windows(F.col(text_col), window)))
-    )
+    rows = _windows(documents, id_col, text_col, window)
     # Partial aggregation leaves a row for each window and task, so a window that a third of all documents share is
     # counted where it is read. The firsts are checkpointed so that both sides of the join are plain exchanges, whose
     # hot keys adaptive execution splits.
@@ -56,12 +62,21 @@ def drop_repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_co
     """
     covered = repeated_lines(documents, id_col=id_col, text_col=text_col, window=window)
     covered = covered.select(F.col(id_col).alias("_covered_id"), F.col("covered").alias("_covered"))
-    lines = _lines(F.col(text_col))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
-    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: lines[i]), "\n"))
     joined = documents.join(covered, F.col(id_col) == F.col("_covered_id"), "left")
+
+    def keep(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for text, lines in zip(texts.tolist(), gone.tolist(), strict=True):
+            if text is not None and lines is not None:
+                gone_lines = set(np.asarray(lines).tolist())
+                text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone_lines)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    text = F.pandas_udf(keep, "string")(F.col(text_col), F.col("_covered"))
+    lines = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         *[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in documents.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("_lines"),
+        F.coalesce(lines, F.lit(0)).alias("_lines"),
         F.coalesce(F.size("_covered"), F.lit(0)).alias("_removed"),
     )
