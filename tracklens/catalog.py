@@ -257,7 +257,7 @@ def _frames(spark, d):
 
 @query(
     f"""WITH {COURT}, {_FRAMES}, j AS (SELECT a.game, a.day, a.p, b.p AS old FROM f a LEFT JOIN f b ON a.game = b.game AND a.day = b.day + 1)
-SELECT game, day::DOUBLE AS day, CAST(len(p) AS INT) AS visible, CAST(CASE WHEN old IS NULL THEN 0 ELSE len(list_filter(p, lambda q: len(list_filter(old, lambda o: sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y)) <= 15)) > 0)) END AS INT) AS still, CAST(len(list_filter(p, lambda q: q.x < 47)) AS INT) AS frontcourt FROM j"""
+SELECT game, day::DOUBLE AS day, CAST(len(p) AS INT) AS visible, CAST(CASE WHEN old IS NULL THEN 0 ELSE len(list_filter(p, lambda q: len(list_filter(old, lambda o: sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y)) < 15)) > 0)) END AS INT) AS still, CAST(len(list_filter(p, lambda q: q.x < 47)) AS INT) AS frontcourt FROM j"""
 )
 def still_frames(spark, d):
     return W.still_counts(_frames(spark, d).withColumn("day", F.col("day").cast("double")), key="game", t="day", points="p", back=1.0, tolerance=0.1, radius=15.0)

@@ -61,7 +61,7 @@ def still_counts(frames: DataFrame, *, key: str, t: str, points: str, back: floa
 
     f = frames.select(key, F.col(t).alias("_t"), F.col(points).alias("_p")).withColumn("_wanted", F.col("_t") - back)
     j = nearest_within(f, f.select(key, F.col("_t").alias("_rt0"), F.col("_p").alias("_old0")), keys=[key], left_t="_wanted", right_t="_rt0", value="_old0", tolerance=tolerance, left_id=[key, "_t"], out="_old")
-    still = F.filter("_p", lambda p: F.exists("_old", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= radius))
+    still = F.filter("_p", lambda p: F.exists("_old", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) < radius))
     return j.select(key, F.col("_t").alias(t), F.size("_p").alias("visible"), F.when(F.col("_old").isNull(), 0).otherwise(F.size(still)).alias("still"), F.size(F.filter("_p", lambda p: p["x"] < half_x)).alias("frontcourt"))
 
 
