@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, hashed_sample, mix, sigmoid, word_lists
 
 
+SLICE = 1000  # texts whose words are in memory at once
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     bits: int
@@ -80,9 +83,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             found, starts = hashed_features(b["_text"].tolist(), bits)
-            yield pd.DataFrame({"_shard": b["_shard"], "_order": b["_order"], "_y": b["_y"], "_f": [found[s:e].astype(np.int32) for s, e in zip(starts[:-1], starts[1:], strict=True)]})
+            yield pd.DataFrame({"_shard": b["_shard"].to_numpy(), "_order": b["_order"].to_numpy(), "_y": b["_y"].to_numpy(), "_f": [found[s:e].astype(np.int32) for s, e in zip(starts[:-1], starts[1:], strict=True)]})
 
     def learned(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_order", kind="stable")
@@ -128,7 +131,9 @@ def toxicity_score(text: Column | str, model: ToxicityModel) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = dense(model)
         for batch in batches:
-            yield pd.Series(toxicity_scores(batch.tolist(), model, table))
+            texts = batch.tolist()
+            parts = [toxicity_scores(texts[i : i + SLICE], model, table) for i in range(0, len(texts), SLICE)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")(text)
