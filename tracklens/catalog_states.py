@@ -120,14 +120,14 @@ def matchup_assignment(spark, d):
 def defence_features(spark, d):
     p = _five_a_side(spark, d).withColumn("t", F.col("day").cast("double")).withColumn("rank", F.row_number().over(Window.partitionBy("game", "day", "side").orderBy("track")))
     p = p.select("game", "t", "side", F.col("rank").cast("long").alias("track"), "x", "y")
-    pairs = TR.matchups(p, keys=["game", "t"], least=1)
+    pairs = TR.matchups(p, keys=["game", "t"], least=1).persist()  # read by four aggregates
     m = FE.defence_measures(pairs, p, key="game", least=5)
     return m.select("game", "frames", *[F.round(c, 5).alias(c) for c in ("stability", "follow", "spread", "gap", "paint")])
 
 
 @query()
 def defence_labels(spark, d):
-    return K.two_way_labels(defence_features(spark, d), id_="game", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone")).withColumn("confidence", F.round("confidence", 5))
+    return K.two_way_labels(defence_features(spark, d).persist(), id_="game", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone")).withColumn("confidence", F.round("confidence", 5))
 
 
 @query()
@@ -145,7 +145,7 @@ def homography_fits(spark, d):
 
     users = table(spark, d, "events").select(F.col("user_id").alias("game")).distinct()
     g = F.col("game") % 40
-    h = F.array(12.0 + g / 10, 0.3 + g / 100, 40.0 + g, -0.2, 9.0 - g / 20, 30.0 + g, 0.0008 + g / 100000, 0.0015, F.lit(1.0))
+    h = F.array(12.0 + g / 10, 0.3 + g / 100, 40.0 + g, F.lit(-0.2), 9.0 - g / 20, 30.0 + g, 0.0008 + g / 100000, F.lit(0.0015), F.lit(1.0))
     points = []
     for k, (x, y) in enumerate(spec.landmarks()):
         px, py = C.project(F.col("h"), F.lit(x), F.lit(y))
