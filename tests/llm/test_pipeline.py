@@ -1,0 +1,19 @@
+"""The pipeline's stages take effect, keep clean documents and agree with one another."""
+
+import corpus_pipeline as C
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts, columns = [docs.count()], docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        docs = C.written(docs, "test")
+        assert docs.columns == columns, name
+        counts.append(docs.count())
+    assert counts[0] >= counts[1] >= counts[2] == counts[3] >= counts[4] > 0
+    assert docs.select("doc_id").distinct().count() == counts[4]
+    pieces = C.STAGES[-1][1](spark, docs, sf_dir)
+    assert pieces.select("doc_id").distinct().count() == counts[4]
+    assert C.run(spark, sf_dir).count() == pieces.count()
+    assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
