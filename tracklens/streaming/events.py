@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,6 +61,6 @@ def run_available(df: DataFrame, *, name: str, mode: str) -> DataFrame:
     """Runs a stream over what there is, into an in-memory table: for demonstrations and tests."""
     spark = df.sparkSession
     checkpoint = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracklens-stream-")
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/stream-{name}").trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/stream-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
