@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"\w+")
 #: An odd 64-bit multiplier (the golden ratio), for rolling and mixing hashes.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+BATCH = 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -54,6 +55,13 @@ def clear_written(spark: SparkSession) -> None:
         _written.remove((session, path))
 
 
+def bounded_batches(spark: SparkSession | None = None) -> None:
+    """Python workers get at most BATCH rows at once, for texts can be long; a smaller setting stays."""
+    spark, key = spark or SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

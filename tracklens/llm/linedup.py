@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bounded_batches, checkpointed
 
 
 def _windows(documents: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -45,6 +45,7 @@ def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     Lines are compared without surrounding blanks. Rows that share an id are one document (their windows count once);
     null ids and texts, and texts of fewer lines than a window, have nothing to remove.
     """
+    bounded_batches(documents.sparkSession)
     rows = _windows(documents, id_col, text_col, window)
     # Partial aggregation leaves a row for each window and task, so a window that a third of all documents share is
     # counted where it is read. The firsts are checkpointed so that both sides of the join are plain exchanges, whose

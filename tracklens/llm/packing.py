@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 END_OF_DOCUMENT, QUEUES, RESOLUTION = 1, 64, 1 << 16
 
@@ -117,7 +117,7 @@ def packed(documents: DataFrame, *, length: int = 2048, id_col: str = "doc_id",
     share of the corpus. The QUEUES largest sources have a queue of their own and the others share one. Every row is a
     document, repeated ones too; null and empty texts are the end mark alone; a null source is a source.
     """
-    spark = documents.sparkSession
+    bounded_batches(documents.sparkSession)
     tokens = written(_tokenised(documents, id_col, text_col, source_col, make_encoder), "tokens")
     shares = tokens.groupBy("_source", "_part").agg(F.sum("_n").alias("_n"))
     sources = shares.groupBy("_source").agg(F.sum("_n").alias("_n"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, checkpointed, mix, word_lists, written
+from .common import GOLDEN, bounded_batches, checkpointed, mix, word_lists, written
 
 BANDS, ROWS, BLOCK = 48, 7, 4096
 
@@ -237,6 +237,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     class of its own; rows with a null id get nulls. Rows that share an id are one document. With 48 bands of 7
     registers a pair at 0.8 is missed with probability 1.2e-5 in its own right, and mostly joined through others then.
     """
+    bounded_batches(documents.sparkSession)
     signed = written(_signed(documents, id_col, text_col, words, weights, bands, rows), "signed")
     known = signed.filter("_id is not null and _key is not null")
     groups = written(known.groupBy("_key").agg(F.min("_id").alias("_node"), F.count("*").alias("_copies")), "groups")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, sigmoid
+from .common import bounded_batches, hashed_sample, sigmoid
 
 CHUNK, CHUNKS_PER_TEXT, DICTIONARY_BYTES = 1024, 64, 112_640
 
@@ -98,6 +98,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     the dictionaries, and at most calibration_rows others into the calibration. Null labels, and labels whose document
     is missing, are ignored; with no labelled rows, or one class only, the score is the (smoothed) share of label 1.
     """
+    bounded_batches(documents.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     half = F.xxhash64(F.lit("half"), "_id") % 2 == 0
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -138,5 +139,6 @@ def quality_score(text: Column | str, model: QualityModel) -> Column:
         for batch in batches:
             yield pd.Series(quality_scores(batch.tolist(), model))
 
+    bounded_batches()
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")(text)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SPACE, LONG, CACHE = "▁", 512, 1_000_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -236,6 +238,7 @@ def encoded(documents: DataFrame, model: PieceModel, *, id_col: str = "doc_id",
                 ids = codec.encode_batch(b["_text"].tolist())
                 yield pd.DataFrame({"_id": b["_id"].to_numpy(), "ids": ids, "decoded": codec.decode_batch([x.tolist() for x in ids])})
 
+    bounded_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(encode, f"_id {kind}, ids array<int>, decoded string")
     return rows.select(F.col("_id").alias(id_col), "ids", "decoded")
