@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import COURT, ORACLE, court, query, table, zoned
+from .catalog import COURT, court, query, table, zoned
 from .functions import text as X
 from .operators import clusters as K
+from .operators import display as D
 from .operators import features as FE
 from .operators import halfcourt as H
 from .operators import joins as J
@@ -156,15 +157,15 @@ def homography_fits(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE vec_id < 200),
-d AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+    """WITH e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS k FROM e) WHERE k <= 30),
+d AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN m b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, min(CASE WHEN c = c2 THEN d END) AS a, min(CASE WHEN c <> c2 THEN d END) AS b FROM d GROUP BY vec_id)
 SELECT vec_id, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s"""
 )
 def silhouette_euclid(spark, d):
-    """The sample of a sweep: silhouettes compare all pairs of what was fitted, which is bounded by design."""
-    e = table(spark, d, "embeddings").filter("vec_id < 200").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return K.silhouettes(e, "vec_id", "label", "v").select("vec_id", F.round("silhouette", 6).alias("silhouette"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return K.silhouettes(e, "vec_id", "label", "v", per_cluster=30).select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(
@@ -178,7 +179,7 @@ def one_se_choice(spark, d):
 @query()
 def kmeans_sets(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows, _, _ = K.fit_clusters(e.filter("vec_id < 400"), id_="vec_id", vector="v", dims=64, starts=1, ks=range(4, 7))
+    rows, _, _ = K.fit_clusters(e, id_="vec_id", vector="v", dims=64, starts=1, ks=range(4, 7))
     return rows.select("vec_id", F.col("cluster") >= 0, "distance").toDF("vec_id", "clustered", "distance").withColumn("distance", F.round("distance", 4))
 
 
@@ -320,4 +321,36 @@ def stream_dedup(spark, d):
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-__all__ = ["ORACLE"]
+
+@query(f"WITH {COURT} SELECT game, cluster, list(event_type ORDER BY t_ms) AS readings FROM v GROUP BY ALL")
+def readings_in_order(spark, d):
+    return D.readings_in_order(court(spark, d), ["game", "cluster"], "event_type", "t_ms")
+
+
+@query(f"WITH {COURT} SELECT DISTINCT game, t_ms // 3600000 * 3600000 AS t_ms FROM v a WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM v b WHERE b.game = a.game AND b.event_type = 'click' AND b.t_ms // 3600000 = a.t_ms // 3600000)")
+def common_times(spark, d):
+    v = court(spark, d).withColumn("t", F.floor(F.col("t_ms") / 3600000) * 3600.0)
+    return D.common_times(v.filter("event_type = 'view'"), v.filter("event_type = 'click'"), ["game"])
+
+
+@query(
+    f"""WITH {COURT}, e AS (SELECT game, event_id, t / 3600 AS t FROM v WHERE event_type = 'purchase'), q AS (SELECT DISTINCT game, t / 3600 AS t FROM v)
+SELECT q.game, q.t, list(event_id ORDER BY e.t DESC, event_id DESC) AS events FROM q JOIN e ON q.game = e.game AND e.t <= q.t + 1e-6 AND q.t + 1e-6 < e.t + 3 GROUP BY ALL"""
+)
+def active_events(spark, d):
+    v = court(spark, d).withColumn("t", F.col("t") / 3600)
+    return D.active_events(v.filter("event_type = 'purchase'").select("game", "event_id", "t"), v.select("game", "t").distinct(), keys=["game"])
+
+
+@query()
+def resampled_tracks(spark, d):
+    return D.resampled(court(spark, d).withColumn("t", F.col("t") / 3600).select("game", "t", "x", "y"), keys=["game"], step=6.0, tolerance=3.0)
+
+
+@query()
+def labelled_positions(spark, d):
+    p = F.sort_array(F.collect_list(F.struct("event_id", "x", "y")))
+    f = court(spark, d).groupBy("game", F.floor(F.col("t_ms") / 86400000).alias("day")).agg(p.alias("_p"))
+    merged = W.ranked_dedup(F.col("_p"), apart=1.0)
+    tracks = F.transform("_p", lambda q: F.struct((q["x"] + 0.2).alias("x"), q["y"].alias("y"), F.lit(None).cast("string").alias("jersey"), q["event_id"].alias("track")))
+    return f.select("game", "day", F.transform(D.labelled_positions(merged, tracks), lambda q: q["label"]).alias("labels"))
