@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-SPACE, LONG, CACHE = "▁", 512, 1_000_000
+SPACE, LONG, CACHE = "▁", 512, 600_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOREIGN = 1 << 22  # added to the code point of a character that no piece is
@@ -73,7 +74,7 @@ class Codec:
             raise ValueError("two pieces have one hash")
         self.worst = np.float32(min((model.scores[i] for i in normal), default=0.0) - 10.0)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k == NORMAL else b"" if k != UNKNOWN else " ⁇ ".encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
         self.pairs, self.apart = np.full(1, np.iinfo(np.int64).max), np.zeros(1, bool)  # sorted keys; whether they stay apart
 
     @staticmethod
@@ -99,7 +100,8 @@ class Codec:
         for length, words in new.items():
             for i in range(0, len(words), 4096):
                 self._encode_words(words[i : i + 4096], length)
-        return [np.concatenate([self.words[w] for w in words]) if words else np.zeros(0, np.int32) for words in split]
+        known = self.words
+        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
 
     def decode_batch(self, sequences) -> list[str]:
         out = []
@@ -212,16 +214,18 @@ class Codec:
             offer(i)
         return [self.by_piece[p] if p in self.by_piece else ord(p) + _FOREIGN for p in parts if p]
 
-    def _ids(self, tokens: list[int]) -> np.ndarray:
-        out: list[int] = []
-        for before, t in pairwise([-1, *tokens]):
-            if t < _FOREIGN:
-                out.append(t)
-            elif self.byte_ids:
-                out += [self.byte_ids[x] for x in chr(t - _FOREIGN).encode("utf-8", "surrogatepass")]
-            elif before < _FOREIGN:
-                out.append(self.unknown)  # one for a run of unknown characters
-        return np.asarray(out, np.int32)
+    def _ids(self, tokens: list[int]) -> bytes:
+        if max(tokens) >= _FOREIGN:
+            out: list[int] = []
+            for before, t in pairwise([-1, *tokens]):
+                if t < _FOREIGN:
+                    out.append(t)
+                elif self.byte_ids:
+                    out += [self.byte_ids[x] for x in chr(t - _FOREIGN).encode("utf-8", "surrogatepass")]
+                elif before < _FOREIGN:
+                    out.append(self.unknown)  # one for a run of unknown characters
+            tokens = out
+        return array("i", tokens).tobytes()
 
 
 def encoded(documents: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
