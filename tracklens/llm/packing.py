@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, checkpointed, written
 
-END_OF_DOCUMENT, QUEUES, RESOLUTION = 1, 64, 1 << 16
+END_OF_DOCUMENT, QUEUES, RESOLUTION, BROADCAST_ROWS = 1, 64, 1 << 16, 200_000
 
 
 class Encoder:
@@ -129,7 +129,9 @@ def packed(documents: DataFrame, *, length: int = 2048, id_col: str = "doc_id",
     schedule = Schedule([max(1, round(RESOLUTION * w / max(sum(wanted), 1e-300))) for w in wanted], lengths, length)
     queue = F.coalesce(*[F.when(F.col("_source") == s, F.lit(k)) for k, s in enumerate(names)], F.lit(len(names))) if names else F.lit(0)
     order = Window.partitionBy("_queue").orderBy("_source", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shares.withColumn("_queue", queue).select("_source", "_part", "_queue", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
+    bases = checkpointed(shares.withColumn("_queue", queue).select("_source", "_part", "_queue", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base")))
+    if bases.count() <= BROADCAST_ROWS:  # else a plain join
+        bases = F.broadcast(bases)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
