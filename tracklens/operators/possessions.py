@@ -136,9 +136,15 @@ def annotated(possessions: DataFrame, reads: DataFrame, spans: DataFrame, plays:
     inside = reads.join(spans, "game").filter(F.col("t").between(F.col("t_lo"), F.col("t_hi"))).select("game", "period", "t", "clock", "clock_text", "away", "home")
     clean = clean_timeline(inside, keys=["game", "period"], states=states).persist()  # read for six values
     p = possessions.join(spans, "game").filter((F.col("end_time") >= F.col("t_lo")) & (F.col("start_time") <= F.col("t_hi"))).withColumn("_n", F.row_number().over(Window.partitionBy("game", "possession").orderBy(F.desc("period")))).filter("_n = 1").drop("_n", "t_lo", "t_hi")
-    p = p.withColumn("_after", F.col("end_time") + 3.0)
-    for name, at, value in (("clock_start", "start_time", "clock"), ("clock_end", "end_time", "clock"), ("away_before", "start_time", "away"), ("home_before", "start_time", "home"), ("away_after", "_after", "away"), ("home_after", "_after", "home")):
-        p = nearest_within(p, clean.select("game", "period", F.col("t").alias("_rt0"), F.col(value).alias("_v0")), keys=["game", "period"], left_t=at, right_t="_rt0", value="_v0", tolerance=reach if value == "clock" else 6.0, left_id=["game", "period", "possession"], out=name)
+    own = ["game", "period", "possession"]
+    p = p.persist()  # read by three look-ups
+    moment = lambda name, t: F.struct(F.lit(name).alias("which"), t.alias("at"))
+    moments = p.select(*own, F.inline(F.array(moment("start", F.col("start_time")), moment("end", F.col("end_time")), moment("after", F.col("end_time") + 3.0))))
+    for value, wanted in (("clock", {"clock_start": "start", "clock_end": "end"}), ("away", {"away_before": "start", "away_after": "after"}), ("home", {"home_before": "start", "home_after": "after"})):
+        shown = clean.select("game", "period", F.col("t").alias("_rt0"), F.col(value).alias("_v0"))
+        found = nearest_within(moments, shown, keys=["game", "period"], left_t="at", right_t="_rt0", value="_v0", tolerance=reach if value == "clock" else 6.0, left_id=[*own, "which"], out="_v")
+        p = p.join(found.groupBy(*own).agg(*[F.max(F.when(F.col("which") == which, F.col("_v"))).alias(name) for name, which in wanted.items()]), own, "left")
+    p = p.persist()
     windows = p.select("game", "period", F.col("possession").alias("window_id"), F.least("clock_start", "clock_end").alias("lo"), F.greatest("clock_start", "clock_end").alias("hi"), F.col("clock_start").alias("start"), F.col("offense_team").alias("team")).filter("lo is not null and hi is not null")
     e = plays.withColumn("event_id", F.col("seq")).withColumn("offensive", F.col("team").isNotNull() & X.is_offensive(F.col("type"), F.col("text"))).withColumn("dead", X.is_dead_ball(F.col("type"), F.col("text")))
     picked = assign_to_windows(windows, e.select("game", "period", "event_id", "clock", "team", "offensive", "dead"), keys=["game", "period"])
@@ -147,5 +153,5 @@ def annotated(possessions: DataFrame, reads: DataFrame, spans: DataFrame, plays:
     unique = events.withColumn("event_id", F.concat_ws(":", "game", "period", "seq"))
     events = mentioned_player(unique, rosters.select("team", "name", F.monotonically_increasing_id().alias("ord")).dropDuplicates(["team", "name"]))
     results = outcome(events, ["game", "period", "possession"])
-    p = p.join(results.withColumnRenamed("points", "points_scored"), ["game", "period", "possession"], "left").drop("_after")
+    p = p.join(results.withColumnRenamed("points", "points_scored"), own, "left")
     return {"possessions": p, "events": events}
