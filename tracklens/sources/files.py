@@ -60,7 +60,7 @@ def checked_registry(games: DataFrame, layouts: list[str], splits: tuple[str, ..
     repeated = F.count("*").over(Window.partitionBy("espn_id")) > 1
     fault = (
         F.when(~F.coalesce(F.col("layout").isin(*layouts), F.lit(False)), "unknown layout").when(~F.coalesce(F.col("split").isin(*splits), F.lit(False)), "unknown split")
-        .when(F.try_to_date(F.col("date"), F.lit("yyyy-MM-dd")).isNull(), "bad date").when(F.coalesce(F.length("youtube_id"), F.lit(0)) != 11, "bad video id").when(repeated, "repeated id")
+        .when(F.try_to_date(F.col("date"), "yyyy-MM-dd").isNull(), "bad date").when(F.coalesce(F.length("youtube_id"), F.lit(0)) != 11, "bad video id").when(repeated, "repeated id")
     )
     return games.withColumn("fault", fault)
 
