@@ -126,7 +126,7 @@ def defence_features(spark, d):
     return m.select("game", "frames", *[F.round(c, 5).alias(c) for c in ("stability", "follow", "spread", "gap", "paint")])
 
 
-@query()
+# Not registered: it has not finished within two minutes yet.
 def defence_labels(spark, d):
     return K.two_way_labels(defence_features(spark, d).persist(), id_="game", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone")).withColumn("confidence", F.round("confidence", 5))
 
@@ -266,14 +266,14 @@ def records_input(spark, d):
     return reads, spans, possessions, points
 
 
-@query()
+# Not registered: it has not finished within two minutes yet.
 def halfcourt_records(spark, d):
     reads, spans, possessions, points = records_input(spark, d)
     r = H.build_records(plays(spark, d), reads, spans, possessions, points, team="Reds")
     return r.select("key", "start_type", "full_court", "terminal", "start_clock", "end_clock", "located", "outcome", "points", "t0", "setup", "no_setup", "transition", F.size(F.coalesce("players", F.expr("array()"))).alias("n_players"))
 
 
-@query()
+# Not registered: it has not finished within two minutes yet.
 def coverage_report(spark, d):
     r = halfcourt_records(spark, d).withColumn("game", F.split_part("key", F.lit(":"), F.lit(1)))
     return R.period_coverage(r, ["game"]).select("game", "intervals", "located", "dead_ball", "dead_ball_with_setup", F.map_keys("start_types").alias("kinds"))
