@@ -91,6 +91,30 @@ def test_joining_links_in_blocks():
     assert all((a < 4) != (b < 4) for a, b in across)
 
 
+def test_only_whole_keys_show_an_earlier_band():
+    base = np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    sets = [(base, np.ones(100)), (np.sort(np.append(base[:95], base[95:] + np.uint64(1))), np.ones(100))]
+    sig = np.tile(np.arange(1, 15, dtype=np.uint64) << np.uint64(56), (2, 1))
+    sig[1, 0] += np.uint64(1)  # another shingle with the same first byte
+    keys, short = P.band_keys(sig, 2, 7), (sig >> np.uint64(56)).astype(np.uint8)
+    assert (keys[0] == keys[1]).tolist().count(True) == 1 and (short[0] == short[1]).all()
+    ids = np.arange(2)
+    link = lambda k: P.joining_links(ids, ids, np.zeros(2, int), short, sets, 1, 7, 0.8, True, k)
+    shared = np.array([[5, 7], [5, 7]], np.uint64)
+    assert link(np.array([[4, 7], [5, 7]], np.uint64)) == [(0, 1)]  # they met in the second band only
+    assert link(shared) == []
+    assert P.joining_links(ids, ids, np.zeros(2, int), short, sets, 1, 7, 0.8, True) == [(0, 1)]
+
+
+def test_verification_sees_whole_hashes(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g h")], "_id long, _text string")
+    row = P._sketches(spark.createDataFrame([(1,)], "_node long"), texts, 5, "set", 48, 7).first()
+    found, weights = P._shingles(row["_set"], row["_weights"])
+    hashes, _ = P.shingle_hashes(["a b c d e f g h"], 5)
+    assert found.tolist() == sorted(hashes.tolist()) and weights.tolist() == [1.0] * 4
+    assert len(row["_keys"]) == 48 * 8
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 1 << 62, 60).astype(np.uint64))

@@ -84,6 +84,14 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, texts:
     return holder.reshape(texts, registers)
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of each signature: the buckets' names."""
+    keys = np.tile(mix(np.arange(bands, dtype=np.uint64)), (len(sig), 1))
+    for r in range(rows):
+        keys = mix(keys ^ sig[:, r::rows])
+    return keys
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact J_P of two (sorted distinct hashes, weights)."""
     common, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -114,10 +122,7 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, words: int, weight
                 hashes, number = shingle_hashes(texts, words)
                 owner, distinct, weight = weighted(hashes, np.repeat(np.arange(len(b)), number), weights)
                 begin = np.searchsorted(owner, np.arange(len(b) + 1))
-                sig = signatures(owner, distinct, weight, len(b), bands * rows)
-                band = np.tile(mix(np.arange(bands, dtype=np.uint64)), (len(b), 1))
-                for r in range(rows):
-                    band = mix(band ^ sig[:, r::rows])
+                band = band_keys(signatures(owner, distinct, weight, len(b), bands * rows), bands, rows)
                 keys, out = [], []
                 for j, text in enumerate(texts):
                     s, e = begin[j], begin[j + 1]
@@ -134,8 +139,9 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, words: int, weight
     return rows_in.mapInPandas(sign, "_id long, _key binary, _bands array<long>")
 
 
-def _sketches(nodes: DataFrame, texts: DataFrame, words: int, weights: str, registers: int) -> DataFrame:
-    """(_node, _sig, _set, _weights) of the nodes that are candidates: a byte a register, sorted 32-bit shingles."""
+def _sketches(nodes: DataFrame, texts: DataFrame, words: int, weights: str, bands: int, rows: int) -> DataFrame:
+    """(_node, _sig, _keys, _set, _weights) of the nodes that are candidates: a byte a register, the bands' whole keys,
+    sorted shingles."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -143,18 +149,18 @@ def _sketches(nodes: DataFrame, texts: DataFrame, words: int, weights: str, regi
                 b = whole.iloc[i : i + 512]
                 hashes, number = shingle_hashes(b["_text"].tolist(), words)
                 owner, distinct, weight = weighted(hashes, np.repeat(np.arange(len(b)), number), weights)
-                sig = (signatures(owner, distinct, weight, len(b), registers) >> np.uint64(56)).astype(np.uint8)
+                sig = signatures(owner, distinct, weight, len(b), bands * rows)
+                keys = band_keys(sig, bands, rows)
                 cuts = np.searchsorted(owner, np.arange(len(b) + 1))
-                sets = [np.unique((distinct[s:e] >> np.uint64(32)).astype(np.uint32), return_inverse=True) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-                sums = [np.bincount(k.ravel(), weight[s:e]).astype(np.float64) for (_, k), s, e in zip(sets, cuts[:-1], cuts[1:], strict=True)]
-                yield pd.DataFrame({"_node": b["_node"].to_numpy(), "_sig": [x.tobytes() for x in sig], "_set": [u.tobytes() for u, _ in sets], "_weights": [None if weights == "set" else w.tobytes() for w in sums]})
+                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+                yield pd.DataFrame({"_node": b["_node"].to_numpy(), "_sig": [x.tobytes() for x in (sig >> np.uint64(56)).astype(np.uint8)], "_keys": [x.tobytes() for x in keys], "_set": [distinct[s:e].tobytes() for s, e in parts], "_weights": [None if weights == "set" else weight[s:e].tobytes() for s, e in parts]})
 
     joined = texts.join(nodes, F.col("_id") == F.col("_node")).select("_node", "_text")
-    return written(joined.mapInPandas(sketch, "_node long, _sig binary, _set binary, _weights binary").dropDuplicates(["_node"]), "sketches")
+    return written(joined.mapInPandas(sketch, "_node long, _sig binary, _keys binary, _set binary, _weights binary").dropDuplicates(["_node"]), "sketches")
 
 
 def _shingles(content: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(content, np.uint32)
+    found = np.frombuffer(content, np.uint64)
     return found, np.ones(len(found)) if weights is None else np.frombuffer(weights, np.float64)
 
 
@@ -170,11 +176,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_sa", "_wa", "_sb", "_wb").mapInPandas(measure, "_a long, _b long")
 
 
-def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list, band: int, rows: int, similarity: float, sized: bool) -> list[tuple[int, int]]:
+def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list, band: int, rows: int, similarity: float, sized: bool, keys: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between nodes of different classes that join them: of a bucket, or of two blocks of one.
 
     block is 0 or 1 for each node; only pairs across are taken if both occur. A pair that shares an earlier band is left
-    to that band's bucket.
+    to that band's bucket; whether it does is seen from the whole band keys (without them no pair is left out), for sig
+    has a byte a register only, in which bands look equal that have no bucket in common.
     """
     n, registers = sig.shape
     least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / registers)
@@ -182,16 +189,15 @@ def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig
     across, found = block.min() != block.max(), []
     tile = max(1, 30_000_000 // (n * registers))
     for i in range(0, n, tile):
-        equal = sig[i : i + tile, None, :] == sig[None, :, :]
-        agree = equal.mean(2)
+        agree = (sig[i : i + tile, None, :] == sig[None, :, :]).mean(2)
         fine = (agree >= least) & (classes[i : i + tile, None] != classes) & (np.arange(i, min(i + tile, n))[:, None] < np.arange(n))
         if across:
             fine &= block[i : i + tile, None] != block
         if sized:
             fine &= np.minimum(size[i : i + tile, None], size) >= similarity * np.maximum(size[i : i + tile, None], size) - 1e-9
         x, y = np.nonzero(fine)
-        if band and len(x):
-            before = equal[x, y, : band * rows].reshape(len(x), band, rows).all(2).any(1)
+        if band and len(x) and keys is not None:
+            before = (keys[x + i, :band] == keys[y, :band]).any(1)
             x, y = x[~before], y[~before]
         found.append((agree[x, y], x + i, y))
     agree, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -248,7 +254,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     crowded = written(buckets.join(hubs, "_bucket").filter("_node <> _hub"), "crowded")
     stars = checkpointed(crowded.select(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).distinct())
     texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
-    sketches = _sketches(stars.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), texts, words, weights, bands * rows)
+    sketches = _sketches(stars.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), texts, words, weights, bands, rows)
     links = checkpointed(_verified(stars, sketches, similarity))
     classes = components(links)
 
@@ -263,7 +269,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     def join(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_node", kind="stable")
         sig = np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(len(g), -1)
-        found = joining_links(g["_node"].to_numpy(), g["_c"].to_numpy(), g["_block"].to_numpy(), sig, [_shingles(x, w) for x, w in zip(g["_set"], g["_weights"], strict=True)], int(g["_band"].iloc[0]), rows, similarity, weights == "set")
+        keys = np.frombuffer(b"".join(g["_keys"]), np.uint64).reshape(len(g), -1)
+        found = joining_links(g["_node"].to_numpy(), g["_c"].to_numpy(), g["_block"].to_numpy(), sig, [_shingles(x, w) for x, w in zip(g["_set"], g["_weights"], strict=True)], int(g["_band"].iloc[0]), rows, similarity, weights == "set", keys)
         return pd.DataFrame(found, columns=["_a", "_b"])
 
     more = checkpointed(dealt.join(sketches, "_node").groupBy("_bucket", "_i", "_j").applyInPandas(join, "_a long, _b long").distinct())
