@@ -58,6 +58,38 @@ def test_neighbours(spark):
     assert [i for i, _ in ours[100]] == [101, 102, 103, 104, 105]  # ties to the smaller id
 
 
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(4)
+    v = [(rng.standard_normal(8 if i % 3 == 0 else 16) * 0.3).astype(np.float32) for i in range(600)]
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    ours, hit = result(nearest_neighbours(df)), 0
+    assert set(ours) == set(range(0, 600, 50))
+    for q in ours:
+        ids = [i for i in range(600) if len(v[i]) == len(v[q])]
+        x = np.array([v[i] for i in ids], float)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        exact = brute(x @ x[ids.index(q)], ids, q)
+        hit += len({i for i, _ in exact} & {i for i, _ in ours[q]})
+    assert hit >= 0.9 * 5 * len(ours)
+
+
+def test_codebooks_are_fitted_in_a_task(spark, monkeypatch):
+    def checked(*args, fit=fit, **named):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None, "fitted on the driver"
+        return fit(*args, **named)
+
+    monkeypatch.setattr("tracklens.llm.additive.fit", checked)
+    assert nearest_neighbours(vectors(spark)[1]).count() == 60
+
+
+def test_more_rows_of_a_larger_block_are_reranked():
+    from tracklens.llm.additive import reranked
+
+    assert [reranked(n, 96) for n in (500, 4096, 8192, 131_072)] == [96, 256, 512, 8192]
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 16))

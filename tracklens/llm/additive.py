@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A unit vector is the sum of one word from each of several full-dimensional codebooks. The codebooks are fitted on a
-bounded hashed sample: residual k-means, then rounds of beam-search encoding and joint least squares. Every row is
+bounded hashed sample of the vectors of one length, in one task: residual k-means, then rounds of beam-search encoding and joint least squares. Every row is
 encoded by beam search over the residual codebooks and stored with the norm of its reconstruction. A query's products
 with all words make a lookup table; a row's approximate cosine is a sum of table entries over its norm, and the best
-of every block are ranked again by their exact cosine.
+of every block, in proportion to its rows, are ranked again by their exact cosine.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import TILE, best, matrix, one_of_each, search, usable
-from .common import hashed_sample
 
-BEAM = 4
+BEAM, PART, SHARE = 4, 2048, 16
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -62,7 +62,7 @@ def fit(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 2, seed:
         found.append(c)
     out = np.stack(found)
     for _ in range(rounds):
-        codes, _ = encode(x, out)
+        codes = np.concatenate([encode(x[i : i + PART], out)[0] for i in range(0, len(x), PART)])
         flat = codes.astype(np.int64) + np.arange(books) * words
         gram, right = np.zeros((books * words,) * 2), np.zeros((books * words, x.shape[1]))
         for a in range(books):
@@ -80,31 +80,56 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v**2).sum(1, keepdims=True))
 
 
+def reranked(rows: int, rerank: int) -> int:
+    """How many of a block's rows are compared exactly: one in SHARE, but at least `rerank`."""
+    return max(rerank, -(-rows // SHARE))
+
+
+def _codebooks(rows: DataFrame, sample_rows: int, books: int, words: int) -> dict[int, np.ndarray]:
+    """Codebooks by vector length, fitted in a task for each length on the sample_rows vectors of the smallest hashes.
+
+    As in hashed_sample, rows far beyond the bar are filtered out where they are read.
+    """
+    rows = rows.withColumn("_dim", F.size("_v"))
+    bar = F.when(F.col("_n") > 4 * sample_rows, F.lit(-(2.0**63)) + F.lit(2.0**64 * (2 * sample_rows + 100)) / F.col("_n"))
+    counts = rows.groupBy("_dim").agg(F.count("*").alias("_n")).select("_dim", bar.alias("_bar"))
+    hashed = rows.join(F.broadcast(counts), "_dim").withColumn("_hash", F.xxhash64("_id")).filter(F.col("_bar").isNull() | (F.col("_hash") < F.col("_bar")))
+    place = F.row_number().over(Window.partitionBy("_dim").orderBy("_hash", "_id"))
+    sample = hashed.withColumn("_place", place).filter(F.col("_place") <= sample_rows).select("_dim", "_id", "_v")
+
+    def learn(t: pa.Table) -> pa.Table:
+        ids, v = t["_id"].to_numpy(), matrix(t)
+        found = fit(_unit(v[one_of_each(ids, v)]), books, words)
+        return pa.table({"_dim": pa.array([v.shape[1]], pa.int32()), "_books": pa.array([found.tobytes()], pa.binary())})
+
+    found = sample.groupBy("_dim").applyInArrow(learn, "_dim int, _books binary").collect()  # one for each length
+    return {r["_dim"]: np.frombuffer(r["_books"]).reshape(books, -1, r["_dim"]) for r in found}
+
+
 def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, books: int = 8, words: int = 256, rerank: int = 96) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, k other rows of the largest
     cosine, ties to the smaller id; all, if there are fewer. score is the exact cosine of the original vectors.
 
-    The codebooks are fitted on at most sample_rows vectors; every row is encoded, and `rerank` rows of each block are
-    compared exactly. Vectors that are null, empty or zero, or hold null or non-finite components, and null ids take
-    no part; nor do vectors whose length is not the sample's most frequent one. Rows that repeat an id count once.
+    The codebooks of each vector length are fitted on at most sample_rows of its vectors; every row is encoded, and one
+    in SHARE rows of each block, but at least `rerank`, is compared exactly. Vectors are compared with those of their
+    length. Vectors that are null, empty or zero, or hold null or non-finite components, and null ids
+    take no part. Rows that repeat an id count once.
     """
     rows = usable(vectors, id_col, vector_col, nonzero=True)
-    sample = hashed_sample(rows, F.col("_id"), sample_rows).toPandas()["_v"].tolist()  # bounded
-    dims = np.bincount([len(v) for v in sample]).argmax() if sample else 0
-    rows = rows.filter(F.size("_v") == int(dims))
     queries = rows.filter(F.col("_id") % every == 0)
-    codebooks = fit(_unit(np.array([v for v in sample if len(v) == dims])), books, words) if sample else np.zeros((books, 1, 1))
+    codebooks = _codebooks(rows, sample_rows, books, words)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            unit, codes, norms = _unit(matrix(pa.Table.from_batches([b]))), [], []
-            for i in range(0, len(unit), 2048):
-                c, n = encode(unit[i : i + 2048], codebooks)
-                codes += [x.tobytes() for x in c]
-                norms.append(n)
-            yield pa.RecordBatch.from_arrays([b["_id"], b["_v"], pa.array(codes, pa.binary()), pa.array(np.concatenate(norms))], ["_id", "_v", "_code", "_norm"])
+        for whole in batches:
+            lengths = pc.list_value_length(whole["_v"])
+            for length in pc.unique(lengths):
+                b = whole.filter(pc.equal(lengths, length))
+                unit, codes, norms = _unit(matrix(pa.Table.from_batches([b]))), [], []
+                for i in range(0, len(unit), PART):
+                    c, n = encode(unit[i : i + PART], codebooks[length.as_py()])
+                    codes += [x.tobytes() for x in c]
+                    norms.append(n)
+                yield pa.RecordBatch.from_arrays([b["_id"], b["_v"], pa.array(codes, pa.binary()), pa.array(np.concatenate(norms))], ["_id", "_v", "_code", "_norm"])
 
     def find(a: pa.Table, b: pa.Table):
         ids, v = a["_id"].to_numpy(), matrix(a)
@@ -117,9 +142,9 @@ def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
         order = one_of_each(qids, q)
         qids, q = qids[order], q[order].astype(np.float64)
         unit, out = _unit(q), []
-        own = np.searchsorted(ids, qids)
+        own, books_here, exactly = np.searchsorted(ids, qids), codebooks[v.shape[1]], reranked(len(ids), rerank)
         for t in range(0, len(q), TILE):
-            tables = np.einsum("qd,mkd->mkq", unit[t : t + TILE], codebooks, optimize=True)
+            tables = np.einsum("qd,mkd->mkq", unit[t : t + TILE], books_here, optimize=True)
             scores = np.zeros((len(ids), tables.shape[2]))
             for m, table in enumerate(tables):
                 scores += table[code[:, m]]
@@ -128,7 +153,7 @@ def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
                 at = own[t + j]
                 if at < len(ids) and ids[at] == qids[t + j]:
                     row[at] = -np.inf
-                near = best(row, rerank)
+                near = best(row, exactly)
                 near = np.sort(near[row[near] > -np.inf])
                 exact = (v[near] * q[t + j]).sum(1) / (lengths[near] * np.sqrt((q[t + j] * q[t + j]).sum()))
                 top = best(exact, k)
