@@ -88,6 +88,34 @@ def test_sentencepiece_equals_the_library_and_round_trips(spark, edge_documents,
     assert SP.encoded(no_documents, model).count() == 0
 
 
+def test_pairs_are_merged_like_single_strings():
+    codec = SP.Codec(SP.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = np.random.default_rng(5)
+    a, b = (rng.choice(codec.ids[codec.ids >= 0], 4000) for _ in range(2))
+    a[:200] = -1
+    b[200:300] = SP._FOREIGN + 0x1F999
+    spell = lambda t: "" if t < 0 else chr(t - SP._FOREIGN) if t >= SP._FOREIGN else codec.model.pieces[t]
+    slow = [codec.merged(spell(x) + spell(y)) == ([x, y] if x >= 0 else [y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert codec._stay_apart(a, b).tolist() == slow
+    assert codec._stay_apart(a, b).tolist() == slow  # now from the table
+    assert any(slow) and not all(slow)
+
+
+def test_a_substring_with_a_pieces_hash_is_seen():
+    for unigram in (True, False):
+        codec = SP.Codec(SP.PieceModel(["<unk>", "a", "b", "c", "ab", "▁"], [0.0, -3.0, -4.0, -5.0, -1.0, -9.0], [2, 1, 1, 1, 1, 1], unigram=unigram))
+        assert codec.encode_batch(["abc"])[0].tolist() == [5, 4, 3]
+        codec.words.clear()
+        codec.points[4] = codec.points[3]  # as if the hash of "ab" were also that of another text
+        assert codec.encode_batch(["abc"])[0].tolist() == [5, 4, 3]
+
+
+def test_sentencepiece_keeps_clashing_columns_out(spark):
+    model = SP.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(1, "a b", "x", 2, 3), (None, None, None, None, None), (1, "a b", "x", 2, 3)], "doc_id long, text string, ids string, _id int, _text int")
+    assert [(r["doc_id"], r["decoded"]) for r in SP.encoded(docs, model).orderBy("doc_id").collect()] == [(None, ""), (1, "a b"), (1, "a b")]
+
+
 def test_unigram_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     pieces = ["<unk>", *"abc", "▁", "▁a", "ab", "bc", "abc", "ca", "▁ab", "cab"]
