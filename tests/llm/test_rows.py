@@ -1,10 +1,13 @@
 """Scores, shards, tokens and packing against brute force, exact round trips and held-out accuracy."""
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracklens.llm import packing as K
@@ -135,16 +138,34 @@ def test_unigram_viterbi_is_the_best_path():
     assert codec.encode_batch(["azzb"])[0].tolist().count(0) == 1  # a run of unknown characters
 
 
-def test_encoder_equals_the_tokenizers_library(sf_dir, spark):
+def test_encoder_equals_the_tokenizers_library(spark):
+    """On every text of the table of sf0.01, and on texts that are no prose."""
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ours = K.byte_bpe_encoder()
-    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(150).collect()]
-    for t in [*texts, "a<|endoftext|>b", "  \n\n  x", "\U0001f999 日本語", "don't we'll"]:
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the driver's tables are not here")
+    library, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), K.byte_bpe_encoder()
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
+    assert len(texts) >= 1000
+    texts += ["a<|endoftext|>b", "  \n\n  x", "\U0001f999 日本語", "don't we'll", "x" * 5000, " " * 3000 + "y", "\x00\x01\r\n", "a\u0301\u200d\ufeff"]
+    for t in texts:
         assert ours(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@given(st.text(max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_encoder_on_any_text(text):
+    from tokenizers import Tokenizer
+
+    if "both" not in _encoders:
+        _encoders["both"] = K.byte_bpe_encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours, library = _encoders["both"]
+    assert ours(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+_encoders: dict = {}
+
+
 def check_packing(docs, pieces, length):
     ids = {}
     encoder = K.byte_bpe_encoder()
@@ -174,25 +195,80 @@ def test_packing_covers_every_token_once(spark, edge_documents, no_documents):
     assert K.packed(no_documents).count() == 0
 
 
+def sources(spark, sizes):
+    """Documents of about `size` words for each (source, size), alternating."""
+    rows, left = [], dict(sizes)
+    while any(left.values()):
+        for s in sizes:
+            if left[s]:
+                n = min(left[s], 37)
+                rows.append((len(rows), " ".join(["alpha"] * n), s))
+                left[s] -= n
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def shares(pieces):
+    out = {}
+    for p in pieces:
+        out.setdefault(p["sequence_id"], {}).setdefault(p["source"], 0)
+        out[p["sequence_id"]][p["source"]] += p["length"]
+    return [out[w] for w in sorted(out)]
+
+
 def test_packing_keeps_the_mixture(spark):
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("alpha beta"), (F.col("id") % 60 + 1).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"))
-    windows = check_packing(docs.collect(), K.packed(docs, length=512).collect(), 512)
-    full = [{s: sum(p["length"] for p in ps if p["source"] == s) for s in ("big", "s0", "s1")} for w, ps in windows.items() if w < max(windows) - 1]
-    for s in ("big", "s0", "s1"):
-        assert max(f[s] for f in full) - min(f[s] for f in full) <= 3
-    targets = K.packed(docs, length=512, targets={"big": 0.9}).filter("sequence_id < 3")
-    share = targets.filter("source = 'big'").agg(F.sum("length")).first()[0] / targets.agg(F.sum("length")).first()[0]
-    assert share > 0.5
+    docs = sources(spark, {"big": 6000, "s0": 3000, "s1": 1000})
+    pieces = K.packed(docs, length=512).collect()
+    check_packing(docs.collect(), pieces, 512)
+    for w in shares(pieces)[:-2]:
+        assert abs(w["big"] - 0.6 * 512) < 4 and abs(w["s0"] - 0.3 * 512) < 4 and abs(w["s1"] - 0.1 * 512) < 4
+    pieces = K.packed(docs, length=512, targets={"big": 0.9, "absent": 0.02}).collect()
+    check_packing(docs.collect(), pieces, 512)
+    for w in shares(pieces)[:10]:
+        assert abs(w["big"] / 512 - 0.9 / 0.98) < 0.01  # an absent source's share is shared by those that are there
+    pieces = K.packed(docs, length=512, targets={"s1": 0.5, "s0": 0.5}).collect()
+    check_packing(docs.collect(), pieces, 512)
+    assert [set(w) <= {"s0", "s1"} or w["big"] <= 1 for w in shares(pieces)[:3]] == [True] * 3
+    for bad in ({"big": 0.7, "s0": 0.4}, {"big": -0.1}):
+        with pytest.raises(ValueError):
+            K.packed(docs, targets=bad)
+
+
+def test_packing_of_many_sources(spark):
+    """Sources beyond the queues are all served evenly, and a small one's target holds."""
+    docs = sources(spark, {f"s{k}": 148 for k in range(200)})
+    pieces = K.packed(docs, length=2048, queues=16, targets={"s199": 0.05}).collect()
+    check_packing(docs.collect(), pieces, 2048)
+    first = shares(pieces)[0]
+    assert abs(first["s199"] - 0.05 * 2048) < 3
+    half = shares(pieces)[: len(shares(pieces)) // 2]
+    served = {s: sum(w.get(s, 0) for w in half) for s in {f"s{k}" for k in range(199)}}
+    assert min(served.values()) >= 37 and max(served.values()) <= 120  # of 152 tokens each
+
+
+def test_null_and_empty_sources_are_two(spark):
+    docs = spark.createDataFrame([(i, "alpha " * 50, s) for i, s in enumerate([None, ""] * 20)], "doc_id long, text string, source string")
+    pieces = K.packed(docs, length=256, targets={None: 0.75}).collect()
+    check_packing(docs.collect(), pieces, 256)
+    assert {p["source"] for p in pieces} == {None, ""}
+    assert abs(shares(pieces)[0][None] - 192) < 3
 
 
 def test_schedule_is_deficit_round_robin():
-    s = K.Schedule([5, 3, 2], [500, 300, 100], 64)
-    order = sorted(((2 * i + 1) / p, q, i) for q, (p, n) in enumerate(zip(s.p, s.n)) for i in range(n))
-    q, i = (np.array([o[k] for o in order]) for k in (1, 2))
-    assert s.position(q, i).tolist() == list(range(900))
-    taken = s.taken(np.arange(16))
-    for w in range(15):
-        assert taken[w].tolist() == [int(((q == k) & (np.arange(900) < 64 * w)).sum()) for k in range(3)]
+    rng = np.random.default_rng(0)
+    for _ in range(6):
+        n = rng.integers(1, 60, 5).tolist()
+        a = rng.choice([1000, K.RESOLUTION // 3, K.RESOLUTION * 2, K.RESOLUTION * 5 + 77], 5).tolist()
+        order, deficit, taken = [], [K.HALF] * 5, [0] * 5  # simulated
+        while sum(taken) < sum(n):
+            for k in range(5):
+                deficit[k] += a[k]
+                while deficit[k] >= K.RESOLUTION and taken[k] < n[k]:
+                    order.append((k, taken[k]))
+                    deficit[k] -= K.RESOLUTION
+                    taken[k] += 1
+        schedule = K.Schedule(a, n, 64)
+        q, i = (np.array(c) for c in zip(*order))
+        assert schedule.position(q, i).tolist() == list(range(len(order)))
 
 
 def test_licences(spark, sf_dir, edge_documents, no_documents):
