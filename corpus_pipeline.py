@@ -15,7 +15,7 @@ from tracklens.llm.linedup import drop_repeated_lines
 from tracklens.llm.packing import ids_crc32, packed
 from tracklens.llm.probminhash import class_heads, near_duplicates
 from tracklens.llm.quality import quality_score
-from tracklens.llm.queries import quality_model, toxicity_model
+from tracklens.llm.queries import MIXTURE, quality_model, toxicity_model
 from tracklens.llm.toxicity import toxicity_score
 
 
@@ -44,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2,048 tokens."""
-    pieces = packed(docs)
+    pieces = packed(docs, targets=MIXTURE)
     return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
