@@ -1,5 +1,6 @@
 """Near-duplicates and line de-duplication against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -127,30 +128,44 @@ def test_signatures_estimate_weighted_similarity():
 
 
 def brute_lines(rows):
+    """By (id, text); rows equal in both are one document."""
+    key = lambda r: (r[0], int(hashlib.md5(r[1].encode()).hexdigest()[:15], 16))
     seen, gone = set(), {}
-    for i, t in sorted(rows):
+    for i, t in sorted(set(rows), key=key):
         lines = [x.strip(" ") for x in t.split("\n")]
         for p in range(len(lines) - 2):
             w = tuple(lines[p : p + 3])
             if not any(w):
                 continue
             if w in seen:
-                gone.setdefault(i, set()).update((p, p + 1, p + 2))
+                gone.setdefault((i, t), set()).update((p, p + 1, p + 2))
             seen.add(w)
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
+    return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ()))) for i, t in rows)
 
 
 def test_lines_equal_brute_force(spark):
     rng = random.Random(5)
-    rows = [(i, "\n".join(rng.choice("abcd ") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    rows = [(i % 50, "\n".join(rng.choice("abcd ") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(1, 30)))) for i in range(70)]
+    rows += rows[:5]
     out = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(rows)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == brute_lines(rows)
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    passage = "one line of the passage\ntwo lines of the passage\nthree lines of it"
+    rows = [(1, passage), (2, passage), (2, "these lines\nare found\nnowhere else")]
+    out = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, passage), (2, ""), (2, "these lines\nare found\nnowhere else")]
 
 
 def test_line_edge_cases(spark, edge_documents, no_documents):
-    rows = drop_repeated_lines(edge_documents.withColumn("p", F.lit(9)).withColumn("_covered", F.lit(1)).withColumnRenamed("_covered", "a"))
+    clashing = ["p", "_covered", "_covered_id", "_COVERED_KEY", "_lines", "covered", "text_key", "_id", "_key", "_text"]
+    rows = edge_documents
+    for c in clashing:
+        rows = rows.withColumn(c, F.lit(9))
+    rows = drop_repeated_lines(rows, counts=("lines", "removed"))
     out = {r["doc_id"]: r for r in rows.collect()}
-    assert len(rows.columns) == len(edge_documents.columns) + 4
-    assert out[8]["text"] == "head\ntail" and out[8]["_removed"] == 3 and out[7]["_removed"] == 0
-    assert out[5]["text"] is None and out[5]["_lines"] == 0 and out[10]["text"] == "\n\n\n\n"
+    assert rows.columns == [*edge_documents.columns, *clashing, "lines", "removed"] and out[8]["_covered"] == 9
+    assert out[8]["text"] == "head\ntail" and out[8]["removed"] == 3 and out[7]["removed"] == 0
+    assert out[5]["text"] is None and out[5]["lines"] == 0 and out[10]["text"] == "\n\n\n\n"
     assert drop_repeated_lines(no_documents).count() == 0

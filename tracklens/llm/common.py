@@ -55,6 +55,17 @@ def clear_written(spark: SparkSession) -> None:
         _written.remove((session, path))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that df has no columns of (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def bounded_batches(spark: SparkSession | None = None) -> None:
     """Python workers get at most BATCH rows at once, for texts can be long; a smaller setting stays."""
     spark, key = spark or SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"

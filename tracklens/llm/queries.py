@@ -79,7 +79,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("_lines").alias("lines"), F.col("_removed").alias("removed"), "text")
+    return drop_repeated_lines(read_table(spark, sf_dir, "documents"), counts=("lines", "removed")).select("doc_id", "lines", "removed", "text")
 
 
 def queries() -> dict:
@@ -104,16 +104,16 @@ WITH flat AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
         "op10_line_dedup": """
-WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-trimmed AS (SELECT doc_id, [trim(l, ' ') FOR l IN ls] AS tl FROM rows WHERE doc_id IS NOT NULL AND len(ls) >= 3),
+WITH rows AS (SELECT doc_id, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS h, string_split(text, chr(10)) AS ls FROM documents),
+trimmed AS (SELECT DISTINCT doc_id, h, [trim(l, ' ') FOR l IN ls] AS tl FROM rows WHERE doc_id IS NOT NULL AND len(ls) >= 3),
 windows AS (
-  SELECT doc_id, p, tl[p + 1] AS a, tl[p + 2] AS b, tl[p + 3] AS c
-  FROM (SELECT doc_id, tl, unnest(range(0, len(tl) - 2)) AS p FROM trimmed) WHERE tl[p + 1] || tl[p + 2] || tl[p + 3] <> ''
+  SELECT doc_id, h, p, tl[p + 1] AS a, tl[p + 2] AS b, tl[p + 3] AS c
+  FROM (SELECT doc_id, h, tl, unnest(range(0, len(tl) - 2)) AS p FROM trimmed) WHERE tl[p + 1] || tl[p + 2] || tl[p + 3] <> ''
 ),
-marked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM windows),
-covered AS (SELECT DISTINCT doc_id, p + o AS p FROM marked, (VALUES (0), (1), (2)) AS t(o) WHERE n > 1),
-gone AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id)
+marked AS (SELECT doc_id, h, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, h, p) AS n FROM windows),
+covered AS (SELECT DISTINCT doc_id, h, p + o AS p FROM marked, (VALUES (0), (1), (2)) AS t(o) WHERE n > 1),
+gone AS (SELECT doc_id, h, list(p) AS ps FROM covered GROUP BY doc_id, h)
 SELECT r.doc_id, CAST(CASE WHEN r.text IS NULL THEN 0 ELSE len(ls) END AS INT) AS lines, CAST(coalesce(len(ps), 0) AS INT) AS removed,
   CASE WHEN ps IS NULL THEN r.text ELSE coalesce(array_to_string([ls[i + 1] FOR i IN range(0, len(ls)) IF NOT list_contains(ps, i)], chr(10)), '') END AS text
-FROM rows r LEFT JOIN gone g ON r.doc_id = g.doc_id""",
+FROM rows r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.h = g.h""",
     }
