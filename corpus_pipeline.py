@@ -31,7 +31,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; every document stays, with its new text and length."""
-    shorter = drop_repeated_lines(docs).drop("_lines", "_removed")
+    shorter = drop_repeated_lines(docs)
     return shorter.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
