@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,10 +14,11 @@ from tracklens.llm.linedup import drop_repeated_lines
 
 
 def brute_classes(rows, similarity=0.8):
+    """Classes by (id, text), from all pairs: links are J_P >= similarity of shingles weighted by their counts."""
     sets = {}
     for i, t in rows:
         w = re.findall(r"\w+", t.lower())
-        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else t
+        sets[i, t] = Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else t
     head = {i: i for i in sets}
 
     def root(x):
@@ -24,14 +26,21 @@ def brute_classes(rows, similarity=0.8):
             x = head[x]
         return x
 
+    def alike(x, y):
+        if x == y:
+            return True
+        if not (isinstance(x, Counter) and isinstance(y, Counter)):
+            return False
+        every = x.keys() | y.keys()
+        return len(x.keys() & y.keys()) >= 0.3 * len(every) and sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in every) for d in x.keys() & y.keys()) >= similarity - 1e-12
+
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            x, y = sets[a], sets[b]
-            if x == y or (isinstance(x, frozenset) and isinstance(y, frozenset) and len(x & y) >= similarity * len(x | y) - 1e-12):
-                ra, rb = root(a), root(b)
+            ra, rb = root(a), root(b)
+            if ra != rb and alike(sets[a], sets[b]):
                 head[max(ra, rb)] = min(ra, rb)
-    return {i: root(i) for i in ids}
+    return {i: root(i)[0] for i in ids}
 
 
 def planted(seed=3):
@@ -58,7 +67,26 @@ def test_classes_equal_brute_force(spark, seed):
     rows = planted(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     ours = {r["doc_id"]: r["class_id"] for r in P.near_duplicates(df).collect()}
-    assert ours == brute_classes(rows)
+    assert ours == {i: c for (i, _), c in brute_classes(rows).items()}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(i // 2, t) for i, t in planted(6)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id string, text string")  # ids of any type
+    brute = brute_classes([(str(i), t) for i, t in rows])
+    ours = P.near_duplicates(df, deviations=None)
+    assert sorted((r["doc_id"], r["class_id"]) for r in ours.collect()) == sorted((str(i), brute[str(i), t]) for i, t in rows)
+    kept = P.one_of_each_class(df).collect()
+    assert len(kept) == ours.select("component").distinct().count() and len({r["text"] for r in kept}) == len(kept)
+
+
+def test_one_of_each_class(spark, edge_documents, no_documents):
+    rows = edge_documents.withColumn("_head_id", F.lit(1)).withColumn("_own_hash", F.lit("x")).withColumn("component", F.lit(2))
+    kept = P.one_of_each_class(rows)
+    assert kept.columns == rows.columns
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in kept.collect()) == [-1, 1, 3, 5, 6, 7, 9, 10, 11]  # 8 is like 7
+    assert P.one_of_each_class(no_documents).count() == 0
 
 
 def test_edge_cases(spark, edge_documents, no_documents):
@@ -108,12 +136,14 @@ def test_only_whole_keys_show_an_earlier_band():
 
 
 def test_verification_sees_whole_hashes(spark):
-    texts = spark.createDataFrame([(1, "a b c d e f g h")], "_id long, _text string")
-    row = P._sketches(spark.createDataFrame([(1,)], "_node long"), texts, 5, "set", 48, 7).first()
-    found, weights = P._shingles(row["_set"], row["_weights"])
+    texts = spark.createDataFrame([(1, 5, "a b c d e f g h"), (2, 6, "a b a b a b a b")], "_id long, _hash long, _text string")
+    nodes = spark.createDataFrame([(1, 5, 1, bytearray(336), [0] * 48), (2, 6, 2, bytearray(336), [0] * 48)], "_id long, _hash long, _node long, _sig binary, _bands array<long>")
+    rows = {r["_node"]: r for r in P._sketches(nodes, texts, 5, "count").collect()}
+    found, weights = P._shingles(rows[1]["_set"], rows[1]["_weights"])
     hashes, _ = P.shingle_hashes(["a b c d e f g h"], 5)
-    assert found.tolist() == sorted(hashes.tolist()) and weights.tolist() == [1.0] * 4
-    assert len(row["_keys"]) == 48 * 8
+    assert found.tolist() == sorted(hashes.tolist()) and weights.tolist() == [1.0] * 4 and rows[1]["_weights"] is None
+    assert sorted(P._shingles(rows[2]["_set"], rows[2]["_weights"])[1].tolist()) == [2.0, 2.0]
+    assert len(rows[1]["_keys"]) == 48 * 8
 
 
 def test_signatures_estimate_weighted_similarity():

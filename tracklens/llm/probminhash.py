@@ -4,12 +4,13 @@ A text's weighted word shingles are signed as Poisson processes: shingle d of we
 of exponential steps of rate w, each arrival in a register chosen by chance, both a function of the shingle and the
 number of the arrival only. A register keeps its first arrival, and a shingle stops once its next arrival is later
 than the text's last register. Two texts agree in a register with a probability that is their probability Jaccard
-similarity, J_P. With unit weights (the default) J_P is the Jaccard similarity of the shingle sets itself.
+similarity, J_P. With unit weights J_P is the Jaccard similarity of the shingle sets itself.
 
 Signatures are banded; texts that share a band are candidates, and a candidate pair counts only after its exact J_P is
 computed from the shingles. The passes:
 
-1. Texts with the same weighted shingles become one node (a group of exact copies has no pairs at all).
+1. Texts with the same weighted shingles become one node (a group of exact copies has no pairs at all), which keeps
+   the signature they share; texts are signed once.
 2. In each bucket every node is paired with the bucket's first node only, whatever the bucket's size. Verified pairs
    are links; connected components are found with links in the shared folder.
 3. Where a bucket still holds several components its nodes meet in one task (in blocks of a bounded number of nodes,
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bounded_batches, checkpointed, mix, word_lists, written
+from .common import GOLDEN, bounded_batches, checkpointed, free_names, mix, word_lists, written
 
-BANDS, ROWS, BLOCK = 48, 7, 4096
+BANDS, ROWS, BLOCK = 48, 7, 1024
 
 
 def shingle_hashes(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,51 +114,58 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _signed(documents: DataFrame, id_col: str, text_col: str, words: int, weights: str, bands: int, rows: int) -> DataFrame:
-    """(_id, _key, _bands): _key names the weighted shingles (or a text without words itself), null for a null text."""
+    """(_id, _hash, _key, _sig, _bands): _hash of the text; _key names the weighted shingles (or a text without words
+    itself), null for a null text; _sig has a byte of each register, _bands the bands' whole keys, null without words."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), 512):
-                b = whole.iloc[i : i + 512]
-                texts = b["_text"].tolist()
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                texts = b["_text"].to_pylist()
                 hashes, number = shingle_hashes(texts, words)
-                owner, distinct, weight = weighted(hashes, np.repeat(np.arange(len(b)), number), weights)
-                begin = np.searchsorted(owner, np.arange(len(b) + 1))
-                band = band_keys(signatures(owner, distinct, weight, len(b), bands * rows), bands, rows)
-                keys, out = [], []
-                for j, text in enumerate(texts):
-                    s, e = begin[j], begin[j + 1]
-                    if not isinstance(text, str):
+                owner, distinct, weight = weighted(hashes, np.repeat(np.arange(len(texts)), number), weights)
+                begin = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+                sig = signatures(owner, distinct, weight, len(texts), bands * rows)
+                band, short = band_keys(sig, bands, rows).view(np.int64), (sig >> np.uint64(56)).astype(np.uint8)
+                keys = []
+                for text, s, e in zip(texts, begin[:-1], begin[1:], strict=True):
+                    if text is None:
                         keys.append(None)
                     elif s == e:
                         keys.append(b"t" + xxhash.xxh3_128_digest(text.encode()))
                     else:
                         keys.append(b"s" + xxhash.xxh3_128_digest(distinct[s:e].tobytes() + weight[s:e].tobytes()))
-                    out.append(band[j].view(np.int64) if s < e else None)
-                yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_key": keys, "_bands": out})
+                some = [s < e for s, e in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b["_id"], b["_hash"], pa.array(keys, pa.binary()), pa.array([x.tobytes() if y else None for x, y in zip(short, some, strict=True)], pa.binary()), pa.array([x if y else None for x, y in zip(band, some, strict=True)], pa.list_(pa.int64()))],
+                    ["_id", "_hash", "_key", "_sig", "_bands"],
+                )
 
-    rows_in = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows_in.mapInPandas(sign, "_id long, _key binary, _bands array<long>")
+    rows_in = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    return rows_in.mapInArrow(sign, f"_id {documents.schema[id_col].dataType.simpleString()}, _hash long, _key binary, _sig binary, _bands array<long>")
 
 
-def _sketches(nodes: DataFrame, texts: DataFrame, words: int, weights: str, bands: int, rows: int) -> DataFrame:
-    """(_node, _sig, _keys, _set, _weights) of the nodes that are candidates: a byte a register, the bands' whole keys,
-    sorted shingles."""
+def _sketches(candidates: DataFrame, texts: DataFrame, words: int, weights: str) -> DataFrame:
+    """(_node, _sig, _keys, _set, _weights) of candidates (_node, _sig, _bands and the _id and _hash of one of its
+    texts): a byte a register, the bands' whole keys, sorted shingles."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), 512):
-                b = whole.iloc[i : i + 512]
-                hashes, number = shingle_hashes(b["_text"].tolist(), words)
-                owner, distinct, weight = weighted(hashes, np.repeat(np.arange(len(b)), number), weights)
-                sig = signatures(owner, distinct, weight, len(b), bands * rows)
-                keys = band_keys(sig, bands, rows)
-                cuts = np.searchsorted(owner, np.arange(len(b) + 1))
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                hashes, number = shingle_hashes(b["_text"].to_pylist(), words)
+                owner, distinct, weight = weighted(hashes, np.repeat(np.arange(b.num_rows), number), weights)
+                cuts = np.searchsorted(owner, np.arange(b.num_rows + 1)).tolist()
                 parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-                yield pd.DataFrame({"_node": b["_node"].to_numpy(), "_sig": [x.tobytes() for x in (sig >> np.uint64(56)).astype(np.uint8)], "_keys": [x.tobytes() for x in keys], "_set": [distinct[s:e].tobytes() for s, e in parts], "_weights": [None if weights == "set" else weight[s:e].tobytes() for s, e in parts]})
+                one = [bool((weight[s:e] == 1).all()) for s, e in parts]
+                keys = [np.asarray(x, np.int64).tobytes() for x in b["_bands"].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b["_node"], b["_sig"], pa.array(keys, pa.binary()), pa.array([distinct[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([None if x else weight[s:e].tobytes() for (s, e), x in zip(parts, one, strict=True)], pa.binary())],
+                    ["_node", "_sig", "_keys", "_set", "_weights"],
+                )
 
-    joined = texts.join(nodes, F.col("_id") == F.col("_node")).select("_node", "_text")
-    return written(joined.mapInPandas(sketch, "_node long, _sig binary, _keys binary, _set binary, _weights binary").dropDuplicates(["_node"]), "sketches")
+    joined = texts.join(candidates, ["_id", "_hash"]).select("_node", "_sig", "_bands", "_text")
+    return written(joined.mapInArrow(sketch, "_node long, _sig binary, _keys binary, _set binary, _weights binary").dropDuplicates(["_node"]), "sketches")
 
 
 def _shingles(content: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +185,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_sa", "_wa", "_sb", "_wb").mapInPandas(measure, "_a long, _b long")
 
 
-def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list, band: int, rows: int, similarity: float, sized: bool, keys: np.ndarray | None = None) -> list[tuple[int, int]]:
+def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list, band: int, rows: int, similarity: float, sized: bool, keys: np.ndarray | None = None, deviations: float | None = 5.0) -> list[tuple[int, int]]:
     """Links between nodes of different classes that join them: of a bucket, or of two blocks of one.
 
     block is 0 or 1 for each node; only pairs across are taken if both occur. A pair that shares an earlier band is left
@@ -184,7 +193,7 @@ def joining_links(nodes: np.ndarray, classes: np.ndarray, block: np.ndarray, sig
     has a byte a register only, in which bands look equal that have no bucket in common.
     """
     n, registers = sig.shape
-    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / registers)
+    least = -1.0 if deviations is None else similarity - deviations * np.sqrt(similarity * (1 - similarity) / registers)
     size = np.array([len(s[0]) for s in sets])
     across, found = block.min() != block.max(), []
     tile = max(1, 30_000_000 // (n * registers))
@@ -234,27 +243,33 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, copies, class_size) for every row: class_id is the smallest id of its class, copies the rows with
-    the same weighted shingles as this one, class_size the rows of the class.
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, weights: str = "count", bands: int = BANDS, rows: int = ROWS, deviations: float | None = 5.0) -> DataFrame:
+    """(id, class_id, copies, class_size, component, text_hash) for every row: class_id is the smallest id of its class,
+    copies the rows with the same weighted shingles as this one, class_size the rows of the class, component a number
+    of the class in this run (other than class_id it tells classes apart whose ids meet), text_hash xxhash64(text).
 
-    Words are runs of letters, digits and underscores in lower case. A text of fewer than `words` words is one
-    shingle. Texts without words, the empty one included, are in a class with their exact copies; a null text is in a
-    class of its own; rows with a null id get nulls. Rows that share an id are one document. With 48 bands of 7
-    registers a pair at 0.8 is missed with probability 1.2e-5 in its own right, and mostly joined through others then.
+    Words are runs of letters, digits and underscores in lower case; a shingle weighs as often as it occurs ("count") or
+    1 ("set"). A text of fewer than `words` words is one shingle. Texts without words, the empty one included, are in a
+    class with their exact copies; a null text is in a class of its own, without a component; rows with a null id get
+    nulls. Rows that share an id but differ in text are different documents. With 48 bands of 7 registers a pair at 0.8
+    is missed with probability 1.2e-5 in its own right, and mostly joined through others then. Where a bucket's nodes
+    all meet, a pair whose estimate is `deviations` under the threshold is not computed (None: all are).
     """
     bounded_batches(documents.sparkSession)
     signed = written(_signed(documents, id_col, text_col, words, weights, bands, rows), "signed")
     known = signed.filter("_id is not null and _key is not null")
-    groups = written(known.groupBy("_key").agg(F.min("_id").alias("_node"), F.count("*").alias("_copies")), "groups")
-    # One row of each group goes on; a key shared by a third of all rows is a plain join that adaptive execution splits.
-    nodes = known.filter(F.col("_bands").isNotNull()).join(groups.select(F.col("_key").alias("_k"), "_node"), (F.col("_id") == F.col("_node")) & (F.col("_key") == F.col("_k"))).dropDuplicates(["_node"])
-    buckets = written(nodes.select("_node", F.posexplode("_bands").alias("_band", "_bucket")), "buckets")
+    # One node for each group of equal shingles, numbered when it is written. Partial aggregation leaves a row for each
+    # group and task, so a group of a third of all rows never meets in one place.
+    firsts = [F.first(c, ignorenulls=True).alias(c) for c in ("_sig", "_bands")]  # the same in all rows of a group
+    groups = known.groupBy("_key").agg(F.min(F.struct("_id", "_hash")).alias("_one"), F.count("*").alias("_copies"), *firsts)
+    groups = written(groups.withColumn("_node", F.monotonically_increasing_id()), "groups")
+    buckets = written(groups.filter(F.col("_bands").isNotNull()).select("_node", F.posexplode("_bands").alias("_band", "_bucket")), "buckets")
     hubs = checkpointed(buckets.groupBy("_bucket").agg(F.min("_node").alias("_hub"), F.max("_node").alias("_last")).filter("_hub < _last").drop("_last"))
     crowded = written(buckets.join(hubs, "_bucket").filter("_node <> _hub"), "crowded")
     stars = checkpointed(crowded.select(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).distinct())
-    texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
-    sketches = _sketches(stars.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), texts, words, weights, bands, rows)
+    texts = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
+    candidates = groups.select("_node", "_sig", "_bands", "_one.*").join(stars.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), "_node", "left_semi")
+    sketches = _sketches(candidates, texts, words, weights)
     links = checkpointed(_verified(stars, sketches, similarity))
     classes = components(links)
 
@@ -266,27 +281,37 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     dealt = met.join(checkpointed(mixed), "_bucket").withColumn("_own", own).withColumn("_other", other)
     dealt = dealt.select("_bucket", "_band", "_node", "_c", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_block"))
 
-    def join(key, g: pd.DataFrame) -> pd.DataFrame:
+    def join(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_node", kind="stable")
         sig = np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(len(g), -1)
         keys = np.frombuffer(b"".join(g["_keys"]), np.uint64).reshape(len(g), -1)
-        found = joining_links(g["_node"].to_numpy(), g["_c"].to_numpy(), g["_block"].to_numpy(), sig, [_shingles(x, w) for x, w in zip(g["_set"], g["_weights"], strict=True)], int(g["_band"].iloc[0]), rows, similarity, weights == "set", keys)
+        found = joining_links(g["_node"].to_numpy(), g["_c"].to_numpy(), g["_block"].to_numpy(), sig, [_shingles(x, w) for x, w in zip(g["_set"], g["_weights"], strict=True)], int(g["_band"].iloc[0]), rows, similarity, weights == "set", keys, deviations)
         return pd.DataFrame(found, columns=["_a", "_b"])
 
     more = checkpointed(dealt.join(sketches, "_node").groupBy("_bucket", "_i", "_j").applyInPandas(join, "_a long, _b long").distinct())
     if not more.isEmpty():
         classes = components(links.unionByName(more))
 
-    named = written(groups.join(classes, F.col("_node") == F.col("_id"), "left").select("_key", "_copies", F.coalesce("_class", "_node").alias("_class")), "classes")
-    sizes = named.groupBy("_class").agg(F.sum("_copies").alias("_size"))
-    named = written(named.join(sizes, "_class"), "named")
-    rows_out = signed.select("_id", "_key").join(named, "_key", "left")
+    named = written(groups.select("_key", "_node", "_copies", "_one._id").join(classes.select(F.col("_id").alias("_end"), "_class"), F.col("_node") == F.col("_end"), "left").select("_key", "_copies", "_id", F.coalesce("_class", "_node").alias("_class")), "classes")
+    sizes = named.groupBy("_class").agg(F.sum("_copies").alias("_size"), F.min("_id").alias("_least"))
+    named = written(named.drop("_id").join(sizes, "_class"), "named")
+    rows_out = signed.select("_id", "_hash", "_key").join(named, "_key", "left")
     known_id = F.col("_id").isNotNull()
     return rows_out.select(
-        F.col("_id").alias(id_col), F.coalesce("_class", "_id").alias("class_id"), F.when(known_id, F.coalesce("_copies", F.lit(1))).alias("copies"), F.when(known_id, F.coalesce("_size", F.lit(1))).alias("class_size"),
+        F.col("_id").alias(id_col), F.when(known_id, F.coalesce("_least", "_id")).alias("class_id"), F.when(known_id, F.coalesce("_copies", F.lit(1))).alias("copies"),
+        F.when(known_id, F.coalesce("_size", F.lit(1))).alias("class_size"), F.when(known_id, F.col("_class")).alias("component"), F.col("_hash").alias("text_hash"),
     )
 
 
-def class_heads(classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The ids that stay when one document of each class does."""
-    return classes.filter((F.col(id_col) == F.col("class_id")) | F.col(id_col).isNull()).select(id_col)
+def one_of_each_class(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of documents that stay when one document of each class does: the one of the smallest id, then text hash.
+
+    Of rows equal in id and text one stays. Rows with a null id or text are in no class and all stay.
+    """
+    classes = near_duplicates(documents, id_col=id_col, text_col=text_col, **options)
+    heads = classes.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(id_col, "text_hash")).alias("_head")).select("_head.*")
+    head_id, head_hash, own_hash = free_names(documents, "head_id", "head_hash", "own_hash")
+    hashed = documents.withColumn(own_hash, F.xxhash64(text_col))
+    fits = (F.col(id_col) == F.col(head_id)) & (F.col(own_hash) == F.col(head_hash))
+    kept = hashed.filter(F.col(text_col).isNotNull()).join(heads.toDF(head_id, head_hash), fits, "left_semi").dropDuplicates([id_col, own_hash])
+    return kept.unionByName(hashed.filter(F.col(id_col).isNull() | F.col(text_col).isNull())).drop(own_hash)

@@ -75,7 +75,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "class_size")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
