@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracklens.llm.common import written
 from tracklens.llm.linedup import drop_repeated_lines
 from tracklens.llm.packing import ids_crc32, packed
-from tracklens.llm.probminhash import class_heads, near_duplicates
+from tracklens.llm.probminhash import one_of_each_class
 from tracklens.llm.quality import quality_score
 from tracklens.llm.queries import MIXTURE, quality_model, toxicity_model
 from tracklens.llm.toxicity import toxicity_score
@@ -36,10 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays (one row of it, should its id repeat)."""
-    heads = class_heads(near_duplicates(docs)).distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One document of each class of near-duplicates stays; rows without an id or a text are in no class and stay."""
+    return one_of_each_class(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
