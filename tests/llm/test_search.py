@@ -1,10 +1,13 @@
 """Exact and approximate search against brute force."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tracklens.llm.additive import encode, fit, nearest_neighbours
-from tracklens.llm.vafile import VaFile, exact_top_k
+from tracklens.llm import vafile as V
+from tracklens.llm.vafile import exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -39,10 +42,36 @@ def test_exact_top_k(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    x, q = np.floor(rng.standard_normal((200, 8)) * 100), np.floor(rng.standard_normal((20, 8)) * 100)
-    assert (VaFile(x).upper_bounds(q) >= q @ x.T).all()
-    same = np.tile(x[:1], (5, 1))
-    assert (VaFile(same).upper_bounds(q) >= q @ same.T).all()
+    for spread in (1e-3, 100.0, 1e30):
+        x, q = np.floor(rng.standard_normal((200, 8)) * spread), np.floor(rng.standard_normal((20, 8)) * spread)
+        for rows in (x, np.tile(x[:1], (5, 1))):
+            grid = V.Grid.between(rows.min(0), rows.max(0))
+            p, s, m, e = grid.products(grid.codes(rows), q)
+            assert (np.abs(m[:, None] + s[:, None] * p - q @ rows.T) <= e[:, None]).all()
+
+
+def test_only_what_can_be_among_the_best_is_read(spark, monkeypatch):
+    """Batches grow until the next upper bound is under the kth score; the second batch is small or empty."""
+    v, df = vectors(spark, n=3000, copies=0)
+    read = []
+    monkeypatch.setattr(V, "exactly", lambda pairs, *rest, f=V.exactly: (read.append(pairs.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0), f(pairs, *rest))[1])
+    x = np.floor(256 * v.astype(float))
+    ours = result(exact_top_k(df))
+    for q in ours:
+        assert ours[q] == [(i, int(s)) for i, s in brute(x @ x[q], range(3000), q)]
+    assert sum(read) < 300
+
+
+def test_products_beyond_53_bits(spark):
+    rng = np.random.default_rng(2)
+    big = [(i, [float(np.float64(c)) for c in rng.integers(2**28, 2**29, 3)], 0) for i in range(60)]
+    ours = result(exact_top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>, label int"), scale=3.0))
+    for q in ours:
+        scores = {i: sum(int(3 * a) * int(3 * b) for a, b in zip(v, big[q][1])) for i, v, _ in big if i != q}
+        assert ours[q] == sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+    huge = spark.createDataFrame([(i, [1e30, 1e30], 0) for i in range(3)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(Exception, match="OverflowError"):
+        exact_top_k(huge).collect()
 
 
 def test_neighbours(spark):
@@ -84,10 +113,24 @@ def test_codebooks_are_fitted_in_a_task(spark, monkeypatch):
     assert nearest_neighbours(vectors(spark)[1]).count() == 60
 
 
-def test_more_rows_of_a_larger_block_are_reranked():
-    from tracklens.llm.additive import reranked
+def test_recall_over_several_blocks(spark):
+    """More rows than the fit sees, in five blocks, without structure: the hardest case for the codes."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((20_000, 32)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()})).repartition(4)
+    ours, hit = result(nearest_neighbours(df, every=1000, sample_rows=4000)), 0
+    x = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(1, keepdims=True))
+    for q in ours:
+        hit += len({i for i, _ in brute(x @ x[q], range(len(v)), q)} & {i for i, _ in ours[q]})
+    assert len(ours) == 20 and hit >= 0.9 * 5 * 20
+
 
-    assert [reranked(n, 96) for n in (500, 4096, 8192, 131_072)] == [96, 256, 512, 8192]
+def test_search_keeps_clashing_columns_out(spark):
+    _, df = vectors(spark, n=120, copies=0)
+    for c in ("_id", "_v", "_dim", "_code", "rank", "query_id", "upper", "place"):
+        df = df.withColumn(c, F.lit("x"))
+    for f in (exact_top_k, nearest_neighbours):
+        assert f(df).count() == 15
 
 
 def test_beam_search_is_no_worse_than_greedy():

@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A unit vector is the sum of one word from each of several full-dimensional codebooks. The codebooks are fitted on a
-bounded hashed sample of the vectors of one length, in one task: residual k-means, then rounds of beam-search encoding and joint least squares. Every row is
-encoded by beam search over the residual codebooks and stored with the norm of its reconstruction. A query's products
-with all words make a lookup table; a row's approximate cosine is a sum of table entries over its norm, and the best
-of every block, in proportion to its rows, are ranked again by their exact cosine.
+bounded hashed sample of the vectors of one length, in one task: residual k-means, then rounds of beam-search encoding
+and joint least squares. Every row is encoded by beam search over the residual codebooks and stored with the norm of its reconstruction. A query's products
+with all words make a lookup table; a row's approximate cosine is a sum of table entries over its norm. The rows of the
+best approximations of each query are ranked again by their exact cosine.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import TILE, best, matrix, one_of_each, search, usable
+from .blocks import TILE, by_length, exactly, largest, matrix, ranked, scanned, usable
+from .common import written
 
-BEAM, PART, SHARE = 4, 2048, 16
+BEAM, PART = 4, 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -80,17 +80,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v**2).sum(1, keepdims=True))
 
 
-def reranked(rows: int, rerank: int) -> int:
-    """How many of a block's rows are compared exactly: one in SHARE, but at least `rerank`."""
-    return max(rerank, -(-rows // SHARE))
-
-
 def _codebooks(rows: DataFrame, sample_rows: int, books: int, words: int) -> dict[int, np.ndarray]:
     """Codebooks by vector length, fitted in a task for each length on the sample_rows vectors of the smallest hashes.
 
     As in hashed_sample, rows far beyond the bar are filtered out where they are read.
     """
-    rows = rows.withColumn("_dim", F.size("_v"))
     bar = F.when(F.col("_n") > 4 * sample_rows, F.lit(-(2.0**63)) + F.lit(2.0**64 * (2 * sample_rows + 100)) / F.col("_n"))
     counts = rows.groupBy("_dim").agg(F.count("*").alias("_n")).select("_dim", bar.alias("_bar"))
     hashed = rows.join(F.broadcast(counts), "_dim").withColumn("_hash", F.xxhash64("_id")).filter(F.col("_bar").isNull() | (F.col("_hash") < F.col("_bar")))
@@ -98,67 +92,64 @@ def _codebooks(rows: DataFrame, sample_rows: int, books: int, words: int) -> dic
     sample = hashed.withColumn("_place", place).filter(F.col("_place") <= sample_rows).select("_dim", "_id", "_v")
 
     def learn(t: pa.Table) -> pa.Table:
-        ids, v = t["_id"].to_numpy(), matrix(t)
-        found = fit(_unit(v[one_of_each(ids, v)]), books, words)
+        v = matrix(t["_v"])
+        found = fit(_unit(v[np.argsort(t["_id"].to_numpy())]), books, words)
         return pa.table({"_dim": pa.array([v.shape[1]], pa.int32()), "_books": pa.array([found.tobytes()], pa.binary())})
 
     found = sample.groupBy("_dim").applyInArrow(learn, "_dim int, _books binary").collect()  # one for each length
     return {r["_dim"]: np.frombuffer(r["_books"]).reshape(books, -1, r["_dim"]) for r in found}
 
 
-def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, books: int = 8, words: int = 256, rerank: int = 96) -> DataFrame:
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision."""
+    x, q = x.astype(np.float64), q.astype(np.float64)
+    return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
+
+
+def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, books: int = 16, words: int = 256, rerank: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, k other rows of the largest
     cosine, ties to the smaller id; all, if there are fewer. score is the exact cosine of the original vectors.
 
-    The codebooks of each vector length are fitted on at most sample_rows of its vectors; every row is encoded, and one
-    in SHARE rows of each block, but at least `rerank`, is compared exactly. Vectors are compared with those of their
-    length. Vectors that are null, empty or zero, or hold null or non-finite components, and null ids
-    take no part. Rows that repeat an id count once.
+    The codebooks of each vector length (books * words vectors, which go through the driver) are fitted on at most
+    sample_rows of its vectors; every row is encoded, in `books` bytes and a norm, and the `rerank` best of all rows
+    for each query, by the codes, are compared exactly. Vectors are compared with those of their length. Vectors that
+    are null, empty or zero, or hold null or non-finite components, and null ids take no part. Rows that repeat an id
+    count once.
     """
     rows = usable(vectors, id_col, vector_col, nonzero=True)
     queries = rows.filter(F.col("_id") % every == 0)
     codebooks = _codebooks(rows, sample_rows, books, words)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            lengths = pc.list_value_length(whole["_v"])
-            for length in pc.unique(lengths):
-                b = whole.filter(pc.equal(lengths, length))
-                unit, codes, norms = _unit(matrix(pa.Table.from_batches([b]))), [], []
-                for i in range(0, len(unit), PART):
-                    c, n = encode(unit[i : i + PART], codebooks[length.as_py()])
-                    codes += [x.tobytes() for x in c]
-                    norms.append(n)
-                yield pa.RecordBatch.from_arrays([b["_id"], b["_v"], pa.array(codes, pa.binary()), pa.array(np.concatenate(norms))], ["_id", "_v", "_code", "_norm"])
-
-    def find(a: pa.Table, b: pa.Table):
-        ids, v = a["_id"].to_numpy(), matrix(a)
-        order = one_of_each(ids, v)
-        ids, v = ids[order], v[order].astype(np.float64)
-        code = np.frombuffer(b"".join(a["_code"].to_pylist()), np.uint8).reshape(a.num_rows, -1)[order]
-        norm = np.maximum(a["_norm"].to_numpy()[order], 1e-12)
-        lengths = np.sqrt((v * v).sum(1))
-        qids, q = b["_id"].to_numpy(), matrix(b)
-        order = one_of_each(qids, q)
-        qids, q = qids[order], q[order].astype(np.float64)
-        unit, out = _unit(q), []
-        own, books_here, exactly = np.searchsorted(ids, qids), codebooks[v.shape[1]], reranked(len(ids), rerank)
-        for t in range(0, len(q), TILE):
-            tables = np.einsum("qd,mkd->mkq", unit[t : t + TILE], books_here, optimize=True)
-            scores = np.zeros((len(ids), tables.shape[2]))
-            for m, table in enumerate(tables):
-                scores += table[code[:, m]]
+        for dim, b in by_length(batches):
+            unit = _unit(matrix(b["_v"]))
+            parts = [encode(unit[i : i + PART], codebooks[dim]) for i in range(0, len(unit), PART)]
+            codes = pa.array([x.tobytes() for c, _ in parts for x in c], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_dim"], codes, pa.array(np.concatenate([n for _, n in parts]))], ["_id", "_dim", "_code", "_norm"])
+
+    def find(a: pa.Table, b: pa.Table, blocks: int):
+        ids = a["_id"].to_numpy()
+        order = np.argsort(ids)
+        code = np.frombuffer(b"".join(a["_code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.copy()
+        ids, norm = ids[order], np.maximum(a["_norm"].to_numpy()[order], 1e-12).astype(np.float32)
+        qids, unit, out = b["_id"].to_numpy(), _unit(matrix(b["_v"])), []
+        # Rows are dealt to blocks by hash, so a block has its share of a query's shortlist, and hardly ever twice that.
+        kept = rerank if blocks == 1 else min(rerank, 2 * -(-rerank // blocks) + 16)
+        own = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
+        for t in range(0, len(qids), TILE):
+            tables = np.einsum("qd,mkd->mkq", unit[t : t + TILE], codebooks[unit.shape[1]], optimize=True).astype(np.float32)
+            scores = np.zeros((len(ids), tables.shape[2]), np.float32)
+            for table, words_of in zip(tables, code, strict=True):
+                scores += table[words_of]
             scores /= norm[:, None]
-            for j, row in enumerate(scores.T):
-                at = own[t + j]
-                if at < len(ids) and ids[at] == qids[t + j]:
-                    row[at] = -np.inf
-                near = best(row, exactly)
-                near = np.sort(near[row[near] > -np.inf])
-                exact = (v[near] * q[t + j]).sum(1) / (lengths[near] * np.sqrt((q[t + j] * q[t + j]).sum()))
-                top = best(exact, k)
-                out.append((np.full(len(top), qids[t + j]), ids[near[top]], exact[top]))
+            for j, row in enumerate(np.ascontiguousarray(scores.T)):
+                if ids[own[t + j]] == qids[t + j]:
+                    row[own[t + j]] = -np.inf
+                at = largest(row, kept)
+                at = at[row[at] > -np.inf]
+                out.append((np.full(len(at), qids[t + j]), ids[at], row[at].astype(np.float64)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    coded = rows.mapInArrow(index, f"_id long, _v {rows.schema['_v'].dataType.simpleString()}, _code binary, _norm double")
-    return search(coded, queries, find, k, "double")
+    codes = written(rows.mapInArrow(index, "_id long, _dim int, _code binary, _norm double"), "codes")
+    found = scanned(codes, queries, find, "query_id long, vec_id long, score double")
+    return ranked(exactly(ranked(found, rerank).select("query_id", "vec_id"), rows, cosines, "double"), k)

@@ -1,71 +1,91 @@
-"""Search of a query set against all rows, block by block.
+"""Search of a query set against all rows: codes are scanned block by block, exact vectors are read for a shortlist.
 
-Rows and queries are dealt into blocks by a hash of their id. Each block of rows meets each block of queries in a task
-of its own, so neither side is ever broadcast or held whole; a task holds one block of either. Each task returns the k
-best of its rows for its queries, and a window over those (k for each query and block of rows) ranks them.
+Coded rows and queries are dealt into blocks by a hash of their id. Each block of codes meets each block of queries in
+a task of its own, so neither side is ever broadcast or held whole. A task returns the rows of its block that can be
+among a query's best; exact vectors are joined to those pairs only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 ROWS, LEAST_ROWS, QUERIES, TILE = 131_072, 4096, 65_536, 128
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, *, nonzero: bool = False) -> DataFrame:
-    """(_id, _v): rows with an id and a vector without null or non-finite components."""
+    """(_id, _dim, _v): a table of the rows with an id and a vector without null or non-finite components.
+
+    Rows that repeat an id count once, with the smallest of their vectors.
+    """
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).filter(F.col("_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: F.coalesce(fine(x), F.lit(False))))
-    return rows.filter(F.exists("_v", lambda x: x != 0)) if nonzero else rows
+    rows = rows.filter(F.exists("_v", lambda x: x != 0)) if nonzero else rows
+    return written(rows.groupBy("_id").agg(F.min("_v").alias("_v")).select("_id", F.size("_v").alias("_dim"), "_v"), "vectors")
 
 
-def matrix(table: pa.Table, column: str = "_v") -> np.ndarray:
-    values = table[column].combine_chunks()
-    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+def matrix(column) -> np.ndarray:
+    """The vectors of an Arrow column, all of one length."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def one_of_each(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Row numbers in the order of ids, each id once (with its smallest vector, should rows disagree)."""
-    order = np.argsort(ids, kind="stable")
-    if (ids[order][1:] == ids[order][:-1]).any():
-        order = np.lexsort([*vectors.T[::-1], ids])
-    return order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(order) else order
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut so that all vectors of one have the same length."""
+    for b in batches:
+        lengths = b["_dim"].to_numpy()
+        for dim in np.unique(lengths).tolist():
+            yield dim, b.filter(pa.array(lengths == dim))
 
 
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest, ties to the earlier place, in no order."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-    over = np.flatnonzero(scores > bar)
-    return np.concatenate([over, np.flatnonzero(scores == bar)[: k - len(over)]])
+def largest(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest in no order."""
+    return np.arange(len(scores)) if len(scores) <= k else np.argpartition(scores, len(scores) - k)[len(scores) - k :]
 
 
-def search(rows: DataFrame, queries: DataFrame, find: Callable, k: int, score_type: str) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best rows, ties to the smaller id.
+def scanned(coded: DataFrame, queries: DataFrame, find: Callable, columns: str) -> DataFrame:
+    """What find returns for every block of coded rows (_id, _dim and more) and block of queries (_id, _dim, _v).
 
-    rows and queries have _id and _v (and more, for find). find(rows table, queries table) returns arrays of query
-    ids, row ids and scores with at least every pair of those blocks that is among the k best of its query.
+    find(codes, queries, blocks) gets Arrow tables of one vector length and the number of blocks of rows, and returns
+    arrays of the columns `columns` names.
     """
-    n, m = rows.count(), queries.count()
+    n, m = coded.count(), queries.count()
     per_block = min(ROWS, max(LEAST_ROWS, n // 64))
     row_blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-m // QUERIES))
     deal = lambda salt, blocks: F.pmod(F.xxhash64(F.lit(salt), "_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("_dim", F.size("_v")).withColumn("_r", deal("row", row_blocks)).withColumn("_q", every(query_blocks))
-    right = queries.withColumn("_dim", F.size("_v")).withColumn("_q", deal("query", query_blocks)).withColumn("_r", every(row_blocks))
+    left = coded.withColumn("_r", deal("row", row_blocks)).withColumn("_q", every(query_blocks))
+    right = queries.withColumn("_q", deal("query", query_blocks)).withColumn("_r", every(row_blocks))
+    names = [c.split()[0] for c in columns.split(", ")]
 
-    def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        found = find(a, b) if a.num_rows and b.num_rows else (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64() if score_type == "double" else pa.int64())})
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = find(a, b, row_blocks) if a.num_rows and b.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0)] * (len(names) - 2))
+        return pa.table(dict(zip(names, found, strict=True)))
 
     key = ["_dim", "_r", "_q"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"query_id long, vec_id long, score {score_type}")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, columns)
+
+
+def exactly(pairs: DataFrame, rows: DataFrame, measure: Callable, score_type: str) -> DataFrame:
+    """(query_id, vec_id, score) of pairs (query_id, vec_id), by measure(row vectors, query vectors) of exact vectors."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in by_length(batches):
+            scores = pa.array(measure(matrix(b["_v"]), matrix(b["_qv"])), pa.float64() if score_type == "double" else pa.int64())
+            yield pa.RecordBatch.from_arrays([b["query_id"], b["vec_id"], scores], ["query_id", "vec_id", "score"])
+
+    theirs = pairs.join(rows.select(F.col("_id").alias("vec_id"), "_dim", "_v"), "vec_id")
+    both = theirs.join(rows.select(F.col("_id").alias("query_id"), F.col("_v").alias("_qv")), "query_id")
+    return both.select("query_id", "vec_id", "_dim", "_v", "_qv").mapInArrow(score, f"query_id long, vec_id long, score {score_type}")
+
+
+def ranked(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k best, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
