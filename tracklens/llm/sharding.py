@@ -1,21 +1,25 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
-A record's id is hashed into one of a fixed number of virtual slots, for ever. Bytes and rows are added up for each
-slot, and a slot map (version, slot, shard) says where each slot lives. Version 1 deals the slots out in turn;
-rebalancing appends a version in which slots have moved. Only the map is ever edited, so placing a record is one hash
-and one lookup in a table whose size is fixed, whatever the corpus holds.
+A record is hashed into one of a fixed number of virtual slots, for ever. Bytes and rows are added up for each slot,
+and a slot map, a versioned table of (version, vslot, shard), says where each slot lives. Version 1 deals the slots out
+in turn; rebalancing appends a version in which as few slots have moved as the bytes require. Only the map is ever
+edited, so placing a record is one hash and one lookup in a table whose size is fixed, whatever the corpus holds.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+from .common import shared_folder, written
+
+SLOTS, SALTS = 4096, 16
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(slots)).cast("int")
+def virtual_slot(*key: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(slots)).cast("int")
 
 
 def record_bytes(text: Column) -> Column:
@@ -23,62 +27,128 @@ def record_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def slot_sizes(records: DataFrame, *, id_col: str, size: Column, slots: int = SLOTS) -> DataFrame:
-    """(vslot, bytes, rows) for all slots, empty ones included: a table of `slots` rows."""
-    used = records.select(virtual_slot(F.col(id_col), slots).alias("vslot"), size.alias("_size")).groupBy("vslot").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows"))
-    every = records.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+def slot_sizes(parts: DataFrame, *, slots: int = SLOTS) -> DataFrame:
+    """(vslot, bytes, rows) for all slots, empty ones included, of (vslot, size, rows): a table of `slots` rows."""
+    used = parts.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.sum("rows").alias("rows"))
+    every = parts.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(used, "vslot", "left").select("vslot", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-def initial_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Version 1: (version, vslot, shard), the slots dealt out in turn."""
-    return spark.range(slots).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard"))
+class SlotMap:
+    """The stored map: a Parquet table with a folder for each version. Versions are added, never changed."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
-    """slot_map with one more version, in which the shards' bytes are near equal.
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, *, shards: int, slots: int = SLOTS) -> SlotMap:
+        """Version 1: the slots dealt out in turn."""
+        out = cls(spark, path)
+        out._add(spark.range(slots).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard")))
+        return out
 
-    The slots are dealt out anew, largest first, each to the shard that is lightest so far (the one it lives in
-    already, else the lowest, on ties). This is a fold over one row that holds the `slots` sizes, a fixed number.
-    """
-    latest = slot_map.groupBy("vslot").agg(F.max(F.struct("version", "shard")).alias("_at")).select("vslot", F.col("_at.version").alias("_version"), F.col("_at.shard").alias("_was"))
-    listed = latest.join(sizes, "vslot").groupBy().agg(
-        F.max("_version").alias("_version"),
-        F.sort_array(F.collect_list(F.struct("bytes", (-F.col("vslot")).alias("minus"), F.col("_was").alias("was"))), asc=False).alias("_all"),
-    )
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), shards).alias("load"), F.array().cast("array<int>").alias("to"))
+    def _add(self, version: DataFrame) -> None:
+        version.coalesce(1).write.partitionBy("version").mode("append").parquet(self.path)  # `slots` rows
 
-    def deal(state, slot):
-        least = F.array_min(state["load"])
-        home = F.try_element_at(state["load"], slot["was"] + 1) == least
-        to = F.when(home, slot["was"]).otherwise(F.array_position(state["load"], least).cast("int") - 1)
-        load = F.transform(state["load"], lambda x, i: F.when(i == to, x + slot["bytes"]).otherwise(x))
-        return F.struct(load.alias("load"), F.concat(state["to"], F.array(to)).alias("to"))
+    def versions(self) -> DataFrame:
+        """(version, vslot, shard) of all versions."""
+        return self.spark.read.schema("vslot int, shard int, version int").parquet(self.path)
 
-    dealt = listed.select("_version", F.posexplode(F.arrays_zip("_all", F.aggregate("_all", start, deal)["to"].alias("to"))).alias("_i", "_x"))
-    new = dealt.select((F.col("_version") + 1).alias("version"), (-F.col("_x._all.minus")).cast("int").alias("vslot"), F.col("_x.to").alias("shard"))
-    return slot_map.unionByName(new)
+    def latest(self) -> DataFrame:
+        """(version, vslot, shard) of the newest version."""
+        rows = self.versions()
+        return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).select("version", "vslot", "shard")
 
+    def rebalance(self, sizes: DataFrame, shards: int, tolerance: float = 0.001) -> None:
+        """Adds a version in which the shards' bytes are near equal; none if they are already."""
+        current = self.latest()
+        edited = written(edit(current, sizes, shards, tolerance), "map-edit")
+        if not edited.join(current.select("vslot", F.col("shard").alias("was")), "vslot").filter("shard <> was").isEmpty():
+            self._add(edited)
 
-def placed(records: DataFrame, slot_map: DataFrame, *, id_col: str, slots: int = SLOTS) -> DataFrame:
-    """records with vslot and the shard of the map's latest version, by a join with a table of `slots` rows."""
-    latest = slot_map.groupBy("vslot").agg(F.max(F.struct("version", "shard")).alias("_at")).select("vslot", F.col("_at.shard").alias("shard"))
-    return records.withColumn("vslot", virtual_slot(F.col(id_col), slots)).join(F.broadcast(latest), "vslot")
+    def place(self, records: DataFrame) -> DataFrame:
+        """records, which have vslot, with version and shard, by a lookup in a table of `slots` rows."""
+        return records.join(F.broadcast(self.latest()), "vslot")
 
 
-def shard_documents(documents: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(id, size, text_crc32, vslot, version, shard, slot) for every row.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    slot is the row's place in its shard, gapless from 0: virtual slots one after another, within one by id, then
-    text. Null ids share a virtual slot. Rows that repeat get a place each. An empty table gives no rows.
+
+def edit(current: DataFrame, sizes: DataFrame, shards: int, tolerance: float = 0.001) -> DataFrame:
+    """The version after `current` (version, vslot, shard), for `shards` shards: (version, vslot, shard).
+
+    One slot at a time moves from the heaviest to the lightest shard, the one whose bytes come closest to half of their
+    difference, until the difference is within `tolerance` of a shard's share or no slot lessens it. A shard that is
+    new starts empty; one that goes first hands its slots to the others in turn. This is a fold over one row that holds
+    the map, a fixed number of slots.
+    """
+    every = F.sort_array(F.collect_list(F.struct("vslot", "bytes", F.when(F.col("shard") < shards, F.col("shard")).otherwise(F.pmod("vslot", F.lit(shards))).cast("int").alias("shard"))))
+    row = current.join(sizes, "vslot").groupBy().agg(F.max("version").alias("version"), F.count("*").cast("int").alias("slots"), every.alias("all"))
+    row = row.select(
+        "version", "slots", F.transform("all", lambda x: x["bytes"]).alias("bytes"), F.transform("all", lambda x: x["vslot"]).alias("vslots"), F.transform("all", lambda x: x["shard"]).alias("shard"),
+        F.aggregate("all", F.array_repeat(F.lit(0).cast("bigint"), shards), lambda load, x: F.transform(load, lambda b, i: F.when(i == x["shard"], b + x["bytes"]).otherwise(b))).alias("load"),
+    )
+    total = F.aggregate("bytes", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    enough = F.greatest(F.lit(1).cast("bigint"), (total / shards * tolerance).cast("bigint"))
+    place = lambda array, value: F.array_position(array, value).cast("int") - 1
+    start = F.struct(F.col("load"), F.col("shard"), F.lit(False).alias("done"))
+
+    def move(state, _):
+        load, shard = state["load"], state["shard"]
+        high, low = F.array_max(load), F.array_min(load)
+        ends = F.struct(place(load, high).alias("giver"), place(load, low).alias("taker"), (high - low).alias("gap"))
+        stop = F.struct(load.alias("load"), shard.alias("shard"), F.lit(True).alias("done"))
+        return F.when(state["done"], stop).otherwise(_let(ends, lambda e: F.when(e["gap"] <= enough, stop).otherwise(chosen(load, shard, e))))
+
+    def chosen(load, shard, e):
+        # How good each slot of the giver would be: the less it leaves of the difference the better.
+        gains = F.zip_with(F.col("bytes"), shard, lambda b, s: F.when((s == e["giver"]) & (b > 0) & (b < e["gap"]), F.least(b, e["gap"] - b)).otherwise(F.lit(0).cast("bigint")))
+        best = _let(gains, lambda g: _let(F.array_max(g), lambda most: F.struct((most > 0).alias("fine"), place(g, most).alias("slot"))))
+        return _let(best, lambda m: _let(F.element_at(F.col("bytes"), m["slot"] + 1), lambda size: moved_by(load, shard, e, m, size)))
+
+    def moved_by(load, shard, e, m, size):
+        loads = F.transform(load, lambda b, i: F.when(m["fine"] & (i == e["giver"]), b - size).when(m["fine"] & (i == e["taker"]), b + size).otherwise(b))
+        shards_now = F.transform(shard, lambda s, i: F.when(m["fine"] & (i == m["slot"]), e["taker"]).otherwise(s))
+        return F.struct(loads.alias("load"), shards_now.alias("shard"), (~m["fine"]).alias("done"))
+
+    moved = row.select("version", "vslots", F.aggregate(F.sequence(F.lit(1), F.col("slots")), start, move)["shard"].alias("shard"))
+    pairs = moved.select("version", F.explode(F.arrays_zip("vslots", "shard")).alias("x"))
+    return pairs.select((F.col("version") + 1).alias("version"), F.col("x.vslots").alias("vslot"), F.col("x.shard").alias("shard"))
+
+
+def shard_documents(documents: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """(id, size, text_crc32, vslot, version, shard, slot) for every row, by law `bytes`.
+
+    The map is read from map_path, made there if there is none, and rebalanced for these documents; without a path it
+    is stored in the shared folder. A record is hashed by id and text, so rows that share an id (or have none) are
+    spread; only rows equal in both stay together. slot is the row's place in its shard, gapless from 0: virtual slots
+    one after another, each in SALTS parts by the partition the row was read in, so that no slot is sorted in one task.
+    Rows that repeat get a place each. An empty table gives no rows. Texts are read once, for a narrow stored table.
     """
-    size = record_bytes(F.col(text_col))
-    rows = documents.select(F.col(id_col), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
-    sizes = slot_sizes(documents, id_col=id_col, size=size, slots=slots)
-    slot_map = rebalanced(initial_map(documents.sparkSession, shards, slots), sizes, shards)
-    latest = slot_map.groupBy("vslot").agg(F.max(F.struct("version", "shard")).alias("_at")).select("vslot", F.col("_at.version").alias("version"), F.col("_at.shard").alias("shard"))
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))  # over the map's rows
-    offsets = latest.join(sizes, "vslot").select("vslot", "version", "shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("vslot").orderBy(id_col, "text_crc32", "size")
-    numbered = rows.withColumn("vslot", virtual_slot(F.col(id_col), slots)).withColumn("_inside", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(offsets), "vslot").select(F.col(id_col), "size", "text_crc32", "vslot", "version", "shard", (F.col("_before") + F.col("_inside")).cast("long").alias("slot"))
+    spark, text = documents.sparkSession, F.col(text_col)
+    rows = documents.select(
+        F.col(id_col).alias("_id"), record_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        virtual_slot(F.col(id_col), text, slots=slots).alias("vslot"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"),
+    )
+    rows = written(rows, "records")
+    parts = written(rows.groupBy("vslot", "_salt").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "slot-parts")  # SALTS rows a slot at most
+    sizes = written(slot_sizes(parts, slots=slots), "slot-sizes")
+    slot_map = _stored_map(spark, map_path, shards, slots)
+    slot_map.rebalance(sizes, shards)
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot", "_salt").rowsBetween(Window.unboundedPreceding, -1))  # over the parts
+    offsets = slot_map.place(parts).select("vslot", "_salt", "version", "shard", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("vslot", "_salt").orderBy("_id", "text_crc32", "size")
+    numbered = rows.withColumn("_inside", F.row_number().over(inside) - 1)
+    placed = numbered.join(F.broadcast(offsets), ["vslot", "_salt"])  # SALTS rows a slot at most
+    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", "vslot", "version", "shard", (F.col("_before") + F.col("_inside")).cast("long").alias("slot"))
+
+
+def _stored_map(spark: SparkSession, path: str | None, shards: int, slots: int) -> SlotMap:
+    if path is None:
+        path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return SlotMap(spark, path)
+    return SlotMap.create(spark, path, shards=shards, slots=slots)
