@@ -11,7 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracklens.llm import packing as K
+from tracklens.llm import queries as Q
 from tracklens.llm import sentencepiece as SP
+from tracklens.llm import toxicity as T
 from tracklens.llm.licenses import document_licences, fit_licences
 from tracklens.llm.quality import fit_quality, quality_score
 from tracklens.llm.sharding import SlotMap, shard_documents
@@ -51,6 +53,85 @@ def test_toxicity(spark, labelled, edge_documents, no_documents):
     assert no_documents.withColumn("s", toxicity_score("text", model)).count() == 0
 
 
+def held_out_auc(df, column):
+    rows = df.select("score", column).collect()
+    good, bad = ([r["score"] for r in rows if r[column] == y] for y in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+def sf_001():
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the driver's tables are not here")
+    return "/root/testdata/sf0.01"
+
+
+def test_quality_of_held_out_rows_and_brute_force_scores(spark):
+    """Scores are the calibrated difference of two compressed sizes and of nothing else."""
+    import zstandard
+
+    model = Q.quality_model(spark, sf_001())
+    out = Q.op1_quality(spark, sf_001())
+    labels = Q.read_table(spark, sf_001(), "labels")
+    assert held_out_auc(out.filter("held_out").join(labels, "doc_id"), "quality") >= 0.9
+    scores = {r["doc_id"]: r for r in out.collect()}
+    kind = {True: zstandard.DICT_TYPE_FULLDICT, False: zstandard.DICT_TYPE_RAWCONTENT}
+    squeeze = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind[t]), write_content_size=False, write_dict_id=False) for d, t in zip((model.good, model.bad), model.trained)]
+    for r in Q.read_table(spark, sf_001(), "documents").collect():
+        data = (r["text"] or "").encode()
+        g, b = (len(c.compress(data)) for c in squeeze)
+        z = model.intercept + model.slope * np.arcsinh(2 * ((b - g) / (len(data) + 1) - model.mean) / model.scale)
+        found = scores[r["doc_id"]]
+        assert found["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35)))) and found["predicted"] == int(found["score"] >= 0.7)
+        assert found["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    out = Q.op5_toxicity(spark, sf_001())
+    labels = Q.read_table(spark, sf_001(), "labels")
+    assert held_out_auc(out.filter("held_out").join(labels, "doc_id"), "toxic") >= 0.9
+
+
+def test_ftrl_equals_a_plain_one():
+    """With dictionaries in place of arrays, by the rule of the paper: per-coordinate rates, L1 and L2."""
+    rng = np.random.default_rng(3)
+    rows = [(sorted(rng.choice(64, rng.integers(1, 9), replace=False).tolist()), int(rng.random() < 0.4)) for _ in range(150)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.8, 0.01
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    bias = lambda: -zb / ((beta + nb**0.5) / alpha)
+    for _ in range(2):
+        for at, y in rows:
+            old = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-(sum(old.values()) + bias()))) - y
+            b = bias()
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * old[i]
+                n[i] = n.get(i, 0.0) + g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
+            nb += g * g
+    features = np.array([i for at, _ in rows for i in at])
+    starts = np.concatenate([[0], np.cumsum([len(at) for at, _ in rows])])
+    w, found = T.ftrl(features, starts, np.array([y for _, y in rows], float), 6, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    assert w.tolist() == pytest.approx([weight(i) if i in z else 0.0 for i in range(64)]) and found == pytest.approx(bias())
+    assert 0 < (w == 0).sum() < 64
+
+
+def test_features_are_words_pairs_and_skips():
+    mixed = T.hashed_features(["one two three two one two", "", None, "one two"], 24)
+    count = np.diff(mixed[1]).tolist()
+    assert count == [3 + 4 + 3, 0, 0, 2 + 1]  # one two, two three, three two, two one; one three, two two, three one, two two
+
+
+def test_conflicting_and_null_labels_are_left_out(spark, labelled):
+    docs, labels = labelled
+    noise = spark.createDataFrame([(i, 0, 0) for i in range(10)] + [(i, 1, 1) for i in range(10)] + [(11, None, None), (None, 1, 1), (99999, 1, 1)], "doc_id long, quality int, toxic int")
+    clean = labels.filter("doc_id >= 10")
+    assert fit_quality(docs, clean.unionByName(noise)) == fit_quality(docs, clean)
+    a, b = fit_toxicity(docs, clean.unionByName(noise)), fit_toxicity(docs, clean)
+    assert a.bias == b.bias and a.weight.tolist() == b.weight.tolist()
+
+
 def test_shards(spark, edge_documents, no_documents):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")).alias("text"))
     rows = shard_documents(docs, shards=8).collect()

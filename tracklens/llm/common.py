@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only where none is set (local tests) a temporary folder is made and set.
+    Only where none is set and Spark runs in one process a temporary folder is made and set; on a cluster that is an
+    error, for a folder of one machine is not seen by the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tracklens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -82,6 +86,12 @@ def fold_of(id_column, folds: int):
     return F.crc32(id_column.cast("string").cast("binary")) % folds
 
 
+def unambiguous(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y) of the ids with one label, 0 or 1; ids with both are left out."""
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
+    return rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_max")).filter("_y = _max").drop("_max")
+
+
 def hashed_sample(df: DataFrame, order, rows: int) -> DataFrame:
     """The rows with the smallest hashes: a reproducible sample of at most `rows`.
 

@@ -30,6 +30,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str):
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id is in no fold: held_out is null; it is scored like all rows."""
     score = quality_score("text", quality_model(spark, sf_dir))
     rows = read_table(spark, sf_dir, "documents").select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
@@ -56,6 +57,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id is in no fold: held_out is null; it is scored like all rows."""
     score = toxicity_score("text", toxicity_model(spark, sf_dir))
     rows = read_table(spark, sf_dir, "documents").select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

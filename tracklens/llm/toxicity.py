@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bounded_batches, hashed_sample, mix, sigmoid, word_lists
+from .common import GOLDEN, bounded_batches, hashed_sample, mix, sigmoid, unambiguous, word_lists
 
 
 SLICE = 1000  # texts whose words are in memory at once
@@ -72,14 +72,15 @@ def ftrl(features: np.ndarray, starts: np.ndarray, labels: np.ndarray, bits: int
     return w, bias
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, shards: int = 1, bits: int = 20, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.01, epochs: int = 4) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 16_000, shards: int = 1, bits: int = 20, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.134, l2: float = 0.01, epochs: int = 4) -> ToxicityModel:
     """Learns from rows of labels (id, 0/1); pass only those that may be learned from.
 
-    At most sample_rows of them, by hash of the id, are used. Null labels, and labels whose document is missing, are
-    ignored; without any rows all scores are 0.5. l1 holds for 8,000 rows or more and shrinks with the root of fewer.
+    At most sample_rows of them, by hash of the id, are used. Null labels, labels whose document is missing, and ids
+    with both labels are ignored; without any rows all scores are 0.5. The L1 penalty is l1 times the root of the rows:
+    a coordinate's sum of gradients that is mere chance grows with the root of the rows it was summed over.
     """
     bounded_batches(documents.sparkSession)
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = unambiguous(labels, id_col, label_col)
     sample = hashed_sample(known, F.col("_id"), sample_rows)
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -93,7 +94,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_
         starts = np.concatenate([[0], np.cumsum(group["_f"].map(len))])
         labels_of, rows = group["_y"].to_numpy(float), len(group)
         features = np.concatenate([*group.pop("_f"), np.zeros(0, np.int32)])
-        w, bias = ftrl(features, starts, labels_of, bits, alpha=alpha, beta=beta, l1=l1 * min(1.0, rows / 8000) ** 0.5, l2=l2, epochs=epochs)
+        w, bias = ftrl(features, starts, labels_of, bits, alpha=alpha, beta=beta, l1=l1 * rows**0.5, l2=l2, epochs=epochs)
         at = np.flatnonzero(w)
         return pd.DataFrame({"n": [rows], "at": [at.astype(np.int32)], "w": [w[at]], "bias": [bias]})
 
