@@ -1,6 +1,7 @@
 """Scores, shards, tokens and packing against brute force, exact round trips and held-out accuracy."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from tracklens.llm import packing as K
 from tracklens.llm import queries as Q
 from tracklens.llm import sentencepiece as SP
 from tracklens.llm import toxicity as T
-from tracklens.llm.licenses import document_licences, fit_licences
+from tracklens.llm.licenses import TEMPLATES, document_licences, fit_licences, scan_paragraphs
 from tracklens.llm.quality import fit_quality, quality_score
 from tracklens.llm.sharding import SlotMap, shard_documents
 from tracklens.llm.toxicity import fit_toxicity, toxicity_score
@@ -400,17 +401,84 @@ def test_schedule_is_deficit_round_robin():
         assert schedule.position(q, i).tolist() == list(range(len(order)))
 
 
-def test_licences(spark, sf_dir, edge_documents, no_documents):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit_licences(docs)
+MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License."""
+BSD = """  Redistribution and use in source and binary forms, with or without
+  modification, are permitted provided that the following conditions
+  are met:"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark, sf_dir):
+    return fit_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def test_licences(spark, licence_model, edge_documents, no_documents):
+    prose = "Along the quiet river some old boats were waiting for the summer and the people of the town walked by. " * 40
     texts = {
         1: ("MIT", "prose before\nReleased under the MIT License."), 2: ("Apache-2.0", "Licensed under the Apache License, Version 2.0.\nmore"), 3: ("GPL", "This work is licensed under the GNU General Public License, version 3."),
-        4: ("CC-BY-NC", "x\nLicensed under CC BY-NC 4.0."), 5: ("none", "The general public gave a copy to the library."), 6: ("none", "My driving license was renewed."), 7: ("none", ""), 8: ("none", None),
+        4: ("CC-BY-NC", "x\nLicensed under CC BY-NC 4.0."), 5: (None, "The general public gave a copy to the library."), 6: (None, "My driving license was renewed."), 7: ("none", ""), 8: ("none", None),
         9: ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+        10: ("MIT", MIT), 11: ("GPL", GPL), 12: ("BSD", BSD), 13: ("Apache-2.0", APACHE), 14: ("MIT", "This file is distributed under the MIT licence."), 15: ("proprietary", "Copyright 2020 X.\nAll rights reserved."),
+        16: ("GPL", f"{prose}\n{GPL}\n{prose}"), 17: ("MIT", prose + MIT.replace("\n", " ") + prose), 18: ("none", prose),
     }
-    df = spark.createDataFrame([(k, t) for k, (_, t) in texts.items()], "doc_id long, text string")
-    out = {r["doc_id"]: r["licence"] for r in document_licences(df, model).collect()}
-    assert {k: v for k, v in out.items() if k not in (5, 6)} == {k: f for k, (f, _) in texts.items() if k not in (5, 6)}
-    assert out[5] in ("none", "unknown") and out[6] in ("none", "unknown")
-    assert document_licences(edge_documents.withColumn("family", F.lit(1)), model).count() == edge_documents.count()
-    assert document_licences(no_documents, model).count() == 0
+    both = f"{MIT}\n\n{prose}\n \n{GPL}"
+    df = spark.createDataFrame([(k, t) for k, (_, t) in texts.items()] + [(19, both), (20, "prose"), (20, MIT)], "doc_id long, text string")
+    rows = document_licences(df, licence_model).collect()
+    out = {r["doc_id"]: r for r in rows if r["doc_id"] < 20}
+    assert {k: out[k]["licence"] for k, (f, _) in texts.items() if f} == {k: f for k, (f, _) in texts.items() if f}
+    assert out[5]["licence"] in ("none", "unknown") and out[6]["licence"] in ("none", "unknown")
+    assert out[19]["licences"] == ["GPL", "MIT"] and out[19]["paragraphs"] == 2
+    assert sorted(r["licence"] for r in rows if r["doc_id"] == 20) == ["MIT", "none"]  # rows that share an id
+    clashing = edge_documents.withColumn("family", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("words", F.lit(3)).withColumn("text_key", F.lit(4))
+    assert document_licences(clashing, licence_model).count() == edge_documents.count()
+    assert document_licences(no_documents, licence_model).count() == 0
+
+
+def test_licence_scores_equal_a_plain_scan(spark, licence_model):
+    """Windows, n-grams, scores and coverage of the texts, in Python."""
+    texts = {1: MIT, 2: f"head\n\n{GPL}\n\nAll rights reserved.", 3: " ".join(["word"] * 70) + " " + APACHE, 4: "nothing here", 5: "the mit building and the license of the public"}
+    m = licence_model
+    words = lambda t: re.findall(r"[^\W_]+", re.sub("licen[cs]e", "license", t.lower()))
+    grams = lambda w, n: [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+    expected = {}
+    for i, t in texts.items():
+        for p, block in enumerate(re.split(r"\n[ \t\r]*\n\s*", t)):
+            whole = words(block)
+            for k in range(0, max(0, len(whole) - 33) + 1, 32):
+                w = whole[k : k + 64]
+                found = [m.weights[g] for g in {*w, *grams(w, 2), *grams(w, 3)} if g in m.weights]
+                if not found:
+                    continue
+                s = np.sum(found, axis=0) + np.array(m.intercepts)
+                probability = 1 / (1 + np.exp(-np.clip((s[:-1].max() - s[-1]) * m.slope + m.offset, -35, 35)))
+                if probability >= 0.5:
+                    family = m.families[int(s[:-1].argmax())]
+                    share = max(len(set(grams(w, 2)) & set(grams(words(x), 2))) / len(set(grams(words(x), 2))) for x in TEMPLATES[family])
+                    expected[i, p, k // 32, family] = (probability, share)
+    rows = scan_paragraphs(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), m).collect()
+    found = {(r["doc_id"], r["paragraph"], r["window"], r["family"]): (r["probability"], r["coverage"]) for r in rows}
+    assert found.keys() == expected.keys() and all(found[x] == pytest.approx(expected[x], abs=1e-5) for x in found)
+    assert {f for _, _, _, f in expected} == {"MIT", "GPL", "proprietary", "Apache-2.0"}
+
+
+def test_planted_licences_are_found(spark):
+    """Recall on the driver's table: of documents with a licence line of a known family, and of those without."""
+    planted = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "proprietary", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    rows = {r["doc_id"]: r["licences"] for r in Q.op6_licences(spark, sf_001()).collect()}
+    hit = missed = wrong = 0
+    for r in Q.read_table(spark, sf_001(), "documents").collect():
+        families = {f for line, f in planted.items() if line in r["text"].split("\n")}
+        hit += len(families & set(rows[r["doc_id"]]))
+        missed += len(families - set(rows[r["doc_id"]]))
+        wrong += len(set(rows[r["doc_id"]]) - families)
+    print("licences: found", hit, "missed", missed, "others", wrong)
+    assert hit >= 0.97 * (hit + missed) and wrong <= 0.02 * len(rows)
