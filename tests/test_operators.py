@@ -1,0 +1,214 @@
+"""Joins, chains, clusters and look-ups against brute force and small cases."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracklens.operators import clusters as K
+from tracklens.operators import display as D
+from tracklens.operators import features as FE
+from tracklens.operators import joins as J
+from tracklens.operators import states as ST
+from tracklens.operators import tracks as T
+from tracklens.operators import votes as V
+from tracklens.operators import windows as W
+from tracklens.sources import files as S
+
+
+def test_merge_chains_stop_after_ten_steps(spark):
+    rows = [(str(i), f"merge:{i + 1}") for i in range(16)] + [("16", "late set"), ("a", "merge:b"), ("b", "merge:a"), ("c", "discard"), ("d", "merge:e"), ("e", "near set")]
+    found = {r["id"]: r["name"] for r in W.resolved_labels(spark.createDataFrame(rows, "id string, label string")).collect()}
+    assert [found[str(i)] for i in range(17)] == [None] * 6 + ["late set"] * 11  # ten steps from 6 to 16
+    assert found["a"] is found["b"] is found["c"] is None and found["d"] == "near set"
+    records = spark.createDataFrame([("k", "d"), ("l", "c"), ("m", "zz")], "key string, cluster string")
+    named = W.labelled_records(records, spark.createDataFrame(rows, "id string, label string"))
+    assert {r["key"]: r["set_name"] for r in named.collect()} == {"k": "near set", "l": None, "m": None}
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert W.closure(edges, spark.range(20, 21).select(F.col("id").alias("node"))).count() == 41
+
+
+def test_names_are_of_the_own_game(spark):
+    events = spark.createDataFrame([("g", "1", "Ann Lee makes layup"), ("h", "2", "Ann Lee makes layup"), ("g", "3", "Ann Lee Smith rebound")], "game string, event_id string, text string")
+    roster = spark.createDataFrame([("g", "Ann Lee", "Reds", 1), ("h", "Bo Ray", "Blues", 1), ("g", "Ann Lee Smith", "Blues", 2)], "game string, name string, team string, ord int")
+    found = {r["event_id"]: (r["player"], r["player_team"]) for r in J.mentioned_player(events, roster, keys=["game"]).collect()}
+    assert found == {"1": ("Ann Lee", "Reds"), "2": (None, None), "3": ("Ann Lee Smith", "Blues")}
+
+
+def test_offence_of_segments_borrows_from_segments(spark):
+    """Two votes are too few; a segment within the window lends its own, which count for its half."""
+    segs = spark.createDataFrame([("g", 1, 1, 0.0, 10.0), ("g", 2, -1, 20.0, 30.0), ("g", 3, 1, 900.0, 910.0)], "game string, segment int, half int, t_lo double, t_hi double")
+    votes = [(1.0, 1, 0), (2.0, 1, 0)] + [(20.0 + i, -1, 1) for i in range(6)] + [(15.0, 1, 1)] * 50  # outside of all segments
+    votes = spark.createDataFrame([("g", *v) for v in votes], "game string, t double, half int, cluster int")
+    found = {r["segment"]: r["offense"] for r in V.segment_offense(segs, votes, keys=["game"], min_votes=5).collect()}
+    assert found == {1: 0, 2: 1, 3: 1}
+
+
+def test_maps_of_spans(spark):
+    spans = spark.createDataFrame([("g", 1, 0.0, 100.0), ("g", 2, 100.0, 200.0), ("g", 3, 200.0, 300.0)], "game string, span int, t_lo double, t_hi double")
+    votes = spark.createDataFrame([("g", 10.0, 1, 0), ("g", 99.0, 1, 0), ("g", 100.0, 1, 1), ("g", 150.0, -1, 0)], "game string, t double, half int, cluster int")
+    rows = V.offense_maps_by_span(votes, spans, keys=["game"]).orderBy("span").collect()
+    assert [(r["right_team"], r["n"]) for r in rows] == [(0, 2), (1, 2), (1, 0)]
+
+
+def test_located_and_contained_equal_all_pairs(spark):
+    rng = random.Random(4)
+    reads = [("g", float(t), rng.uniform(0, 40)) for t in range(60)]
+    events = [("g", i, rng.uniform(0, 40), s := rng.uniform(0, 50), s + 8.0, 20.0, 10.0) for i in range(40)]
+    r = spark.createDataFrame(reads, "game string, t double, clock double")
+    e = spark.createDataFrame(events, "game string, event_id int, clock double, start_t double, end_t double, clock_start double, clock_end double")
+    found = {x["event_id"]: x["t"] for x in J.located_events(e, r, keys=["game"]).collect()}
+    for _, i, c, s, end, c0, c1 in events:
+        seen = [t for _, t, v in reads if s - 2 <= t <= end + 3 and abs(v - c) < 0.6]
+        assert found[i] == pytest.approx(min(seen) if seen else s + max(0, min(1, (c0 - c) / (c0 - c1))) * (end - s), abs=0.0051)
+    points = [("g", i, rng.uniform(-50, 300), rng.uniform(-50, 300)) for i in range(80)]
+    boxes = [("g", i, [x := rng.uniform(-60, 250), y := rng.uniform(-60, 250), x + rng.uniform(0, 160), y + rng.uniform(0, 160)]) for i in range(40)]
+    got = J.smallest_container(spark.createDataFrame(points, "game string, point_id int, x double, y double"), spark.createDataFrame(boxes, "game string, box_id int, bbox array<double>"), keys=["game"])
+    found = {x["point_id"]: x["box_id"] for x in got.collect()}
+    for _, i, px, py in points:
+        inside = [((b[2] - b[0]) * (b[3] - b[1]), k) for _, k, b in boxes if b[0] <= px <= b[2] and b[1] <= py <= b[3]]
+        assert found[i] == (min(inside)[1] if inside else None)
+
+
+def test_grouped_rows_come_in_order_and_whole(spark):
+    """A group larger than a batch, many small ones, and null values, against a plain loop."""
+    rng = random.Random(7)
+    rows = [("big", 1, i, rng.random()) for i in range(25_000)] + [(f"g{i % 300}", i % 3, i, None if i % 7 == 0 else rng.random()) for i in range(4000)]
+    rng.shuffle(rows)
+    from tracklens.operators.groups import by_group
+
+    df = spark.createDataFrame(rows, "game string, part int, i long, v double").repartition(7)
+    out = by_group(df, ["game", "part"], ["i"], "n int, first long, missing int", lambda g: {"n": [len(g["i"])], "first": [g["i"][0]], "missing": [sum(v is None for v in g["v"])]})
+    expected = {}
+    for game, part, i, v in sorted(rows, key=lambda r: r[2]):
+        e = expected.setdefault((game, part), [0, i, 0])
+        e[0] += 1
+        e[2] += v is None
+    assert {(r["game"], r["part"]): [r["n"], r["first"], r["missing"]] for r in out.collect()} == expected
+
+
+def test_sixth_man_needs_a_rank(spark):
+    rows = [("g", 1, "off", k, 10.0 * k, 0.0, k) for k in range(6)] + [("g", 1, "def", k, 10.0 * k, 1.0, 9 - k) for k in range(6)]
+    df = spark.createDataFrame(rows, "game string, t int, side string, track long, x double, y double, rank int")
+    with pytest.raises(Exception, match="more than five"):
+        T.matchups(df, keys=["game", "t"]).collect()
+    pairs = {(r["off"], r["def"]) for r in T.matchups(df, keys=["game", "t"], rank=["rank"]).collect()}
+    assert {a for a, _ in pairs} == {0, 1, 2, 3, 4} and {b for _, b in pairs} == {1, 2, 3, 4, 5}
+
+
+def test_periods_are_cleaned_apart(spark):
+    """At half time the clock starts anew: cleaned as one series it would be lost or continue the first half."""
+    reads = [("g", float(t), 100.0 - t if t < 100 else 1200.0 - (t - 100), None, None, None) for t in range(160)]
+    df = spark.createDataFrame(reads, "game string, t double, clock double, clock_text string, away int, home int")
+    spans = spark.createDataFrame([("g", 1, 0.0, 99.0), ("g", 2, 100.0, 159.0)], "game string, period int, t_lo double, t_hi double")
+    out = ST.clean_periods(df, spans).collect()
+    first, second = ([r for r in out if r["period"] == p] for p in (1, 2))
+    assert {r["t"] for r in first} == set(map(float, range(105))) and {r["t"] for r in second} == set(map(float, range(95, 160)))
+    assert all(r["clock"] == 100.0 - r["t"] for r in first if r["t"] < 100) and [r["clock"] for r in second if r["t"] > 110] == [1300.0 - r["t"] for r in second if r["t"] > 110]
+
+
+def blobs(spark, n=40, dims=6, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((4, dims)) * 8
+    x = np.concatenate([c + 0.3 * rng.standard_normal((n, dims)) for c in centres])
+    return spark.createDataFrame([(i, i // n, v.tolist()) for i, v in enumerate(x)], "id long, blob int, v array<double>"), x
+
+
+def test_clusters_of_blobs(spark, tmp_path):
+    df, _ = blobs(spark)
+    rows, model = K.fit_clusters(df, id_="id", vector="v", dims=6, starts=4)
+    assert model.k == 4 and model.stability == 1.0 and model.silhouette > 0.8 and len(model.sweep) >= 3
+    both = rows.join(df, "id")
+    assert K.adjusted_rand_index(both, "cluster", "blob").first()["ari"] == 1.0
+    model.save(spark, str(tmp_path / "model"))
+    again = K.ClusterModel.load(spark, str(tmp_path / "model"))
+    assert again == model
+    assert {r["id"]: r["cluster"] for r in again.assign(df, id_="id", vector="v").collect()} == {r["id"]: r["cluster"] for r in rows.collect()}
+    some, _ = K.fit_and_assign(df, id_="id", vector="v", dims=6, fit=F.col("id") % 3 > 0, starts=2, ks=range(4, 5))
+    assert some.filter("fitted").count() == df.filter("id % 3 > 0").count() and some.count() == df.count()
+    assert K.adjusted_rand_index(some.join(df, "id"), "cluster", "blob").first()["ari"] == 1.0
+    with pytest.raises(ValueError):
+        K.fit_clusters(df.limit(2), id_="id", vector="v", dims=6)
+
+
+def test_silhouettes_equal_brute_force_in_blocks(spark):
+    df, x = blobs(spark, n=15)
+    label = lambda i: i % 3
+    got = {r["id"]: r["silhouette"] for r in K.silhouettes(df.withColumn("c", F.col("id") % 3), "id", "c", "v", block=16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        mean = {c: np.mean([d[i, j] for j in range(len(x)) if j != i and label(j) == c]) for c in range(3)}
+        a, b = mean[label(i)], min(m for c, m in mean.items() if c != label(i))
+        assert got[i] == pytest.approx((b - a) / max(a, b))
+    alone = df.limit(3).withColumn("c", F.col("id"))
+    assert [r["silhouette"] for r in K.silhouettes(alone, "id", "c", "v").collect()] == [0.0] * 3
+
+
+def test_team_model_is_stored(spark, tmp_path):
+    df, _ = blobs(spark)
+    rows = df.withColumn("crop", F.when(F.col("id") % 2 == 0, (F.col("blob") % 2)).otherwise(-1))
+    model = K.fit_team(rows, vector="v", label="crop")
+    K.save_team(model, str(tmp_path / "team"))
+    found = K.predicted_team(K.load_team(str(tmp_path / "team")), rows, vector="v")
+    assert found.filter("team <> blob % 2").count() == 0 and found.count() == df.count()
+    assert K.predicted_team(K.fit_team(rows.filter("crop = -1"), vector="v", label="crop"), rows, vector="v").select("team").distinct().count() == 2
+
+
+def test_cluster_summary(spark):
+    zones = ["a", "b", "c"]
+    rows = [(1, 0, 0.5, "ato", "train", [0.0, 0, 0, 1, 2, 0], [0, 2], True), (2, 0, 0.1, "ato", "test", [0.0, 0, 0, 9, 0, 0], [1, 1], False), (3, 0, 0.2, "inbound", "train", [0.0, 0, 2, 1, 4, 0], [-1, 2], True), (4, 1, 0.3, "inbound", "train", [1.0, 0, 0, 0, 0, 0], [-1, -1], False)]
+    rows = [(*r[:5], [float(x) for x in r[5]], *r[6:]) for r in rows]
+    df = spark.createDataFrame(rows, "key long, cluster int, distance double, bucket string, split string, vector array<double>, handler array<int>, fitted boolean")
+    out = {r["cluster"]: r for r in K.cluster_summary(df, cluster="cluster", id_="key", distance="distance", bucket="bucket", split="split", vector="vector", handler="handler", fitted="fitted", bins=2, zones=zones, top=2).collect()}
+    assert (out[0]["n"], out[0]["n_fit"], out[0]["by_bucket"], out[0]["by_split"]) == (3, 2, {"ato": 2, "inbound": 1}, {"train": 2, "test": 1})
+    assert out[0]["occupancy"] == [[0, 0, 1], [1, 3, 0]] and out[0]["top_zones"] == ["b", "a"] and out[0]["handler_path"] == ["a", "c"]
+    assert [m["id"] for m in out[0]["members"]] == [3, 1]  # fitted ones, the nearest first
+    assert out[1]["n_fit"] == 0 and out[1]["handler_path"] == ["-", "-"] and [m["id"] for m in out[1]["members"]] == [4]
+
+
+def test_feature_rows(spark):
+    records = spark.createDataFrame([("g:1:0", "g", "ato", False, 700.0, 3, 1, False, 10.0, 18.0, 10.0), ("h:1:0", "h", "dead", True, 30.0, -9, 2, True, 0.0, 5.0, None)], "key string, game string, start_type string, full_court boolean, start_clock double, margin int, period int, no_setup boolean, anchor double, t_end double, setup double")
+    points = spark.createDataFrame([("g:1:0", "Ann", 10.0, 20.0, 25.0), ("g:1:0", "Bo", 11.0, 30.0, 10.0)], "key string, name string, t double, x double, y double")
+    handler = spark.createDataFrame([("g:1:0", 10.5, 20.0, 25.0)], "key string, t double, x double, y double")
+    splits = spark.createDataFrame([("g", "holdout")], "game string, split string")
+    roster = spark.createDataFrame([("Ann",), ("Cy",)], "name string")
+    out = {r["key"]: r for r in FE.feature_rows(records, points, handler, splits, roster=roster).collect()}
+    g, h = out["g:1:0"], out["h:1:0"]
+    assert (g["bucket"], g["split"], h["bucket"], h["split"], h["no_setup"]) == ("ato", "holdout", "after_score", "train", True)
+    assert len(g["vector"]) == 118 == len(h["vector"]) and sum(g["vector"][:110]) > 0 and h["handler"] == [-1] * 5
+    assert len(g["snapshot"]) == 46 and g["snapshot"][45] == 1.0 and h["snapshot"] is None
+
+
+def test_lookups_of_pages(spark):
+    games = spark.createDataFrame([("1", "Owls U"), ("2", "Kings"), ("3", None)], "game_id string, opponent string")
+    teams = spark.createDataFrame([("1", "home", "Reds"), ("1", "away", "Owls"), ("2", "home", "Reds")], "game_id string, side string, team string")
+    assert {r["game_id"]: r["opponent"] for r in D.opponent_names(games, teams, "Reds").collect()} == {"1": "Owls", "2": "Kings", "3": "3"}
+    points = spark.createDataFrame([("g", 1, 4, "Ann", t / 10, t * 1.0, 2.0, [0.0, 0.0, 1.0, 1.0]) for t in range(20)], "game string, possession int, track int, name string, t double, x double, y double, bbox array<double>")
+    events = spark.createDataFrame([("g", 1, "Ann", 0.52, "e1"), ("g", 1, "Bo", 0.5, "e2"), ("g", 1, "Ann", 9.0, "e3")], "game string, possession int, player string, t double, event string")
+    found = {r["event"]: (r["track"], r["x"]) for r in D.players_of_events(events, points).collect()}
+    assert found == {"e1": (4, 5.0), "e2": (None, None), "e3": (None, None)}
+    at = D.position_at(points, spark.createDataFrame([("g", 1, 4, 1.04), ("g", 1, 4, 7.0)], "game string, possession int, track int, t double"), keys=["game", "possession", "track"])
+    assert {r["t"]: r["x"] for r in at.collect()} == {1.04: 10.0, 7.0: None}
+    assert D.boxes_by_time(points).count() == 20
+    tiles = spark.createDataFrame([("a", "g", "live", 900.0), ("b", "g", "ato", 100.0), ("c", "g", "ato", 800.0), ("d", "g", "dead", 5.0)], "key string, game string, start_type string, start_clock double")
+    assert [r["key"] for r in D.tiles_in_order(tiles).orderBy("tile").collect()] == ["c", "b", "d", "a"] and D.tiles_in_order(tiles, n=2).count() == 2
+    assert D.team_map("0=Reds", "Reds", "Blues") == {0: "Reds", 1: "Blues"} and D.team_map("auto", "Reds", "Blues") is None
+    for bad in ("2=Reds", "0=Greens", "0=Reds,1=Reds", "0=Reds,0=Blues"):
+        with pytest.raises(ValueError):
+            D.team_map(bad, "Reds", "Blues")
+
+
+def test_small_sources(spark, tmp_path):
+    log = spark.createDataFrame([("GPU cost estimate: $6.99",), ("done",)], "line string")
+    assert [r["cost"] for r in S.cost_of(log).collect()] == [6.99, None]
+    games = spark.createDataFrame([("2", "a", "train", "2024-01-02"), ("1", "b", "test", "2024-01-01"), ("3", "a", "train", "2023-01-01")], "espn_id string, layout string, split string, date string")
+    assert [r["espn_id"] for r in S.chosen_games(games, layouts=["a"], limit=1).collect()] == ["3"]
+    assert [r["espn_id"] for r in S.chosen_games(games, only=["1", "9"]).collect()] == ["1"] and S.chosen_games(games, split="train").count() == 2
+    S.write_csv(games, str(tmp_path / "csv"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 3
+    (tmp_path / "x.JPG").write_bytes(b"abc")
+    assert S.images_as_data_uris(spark, str(tmp_path / "x.JPG")).first()["uri"] == "data:image/jpeg;base64,YWJj"

@@ -70,7 +70,6 @@ def test_json_round_trip(spark, built, tmp_path):
     assert len(back) == 2 and len(back[0]["players"]) == 10 and len(back[0]["players"][0]["trajectory"]) == 70
 
 
-@pytest.mark.skip(reason="its plan takes minutes to run; annotated() and build_records() are unverified end to end")
 def test_annotation_and_records(spark, built):
     reads = spark.createDataFrame([("g", float(t), 1200.0 - t, None, 0 if t < 6 else 0, 0 if t < 6 else 2) for t in range(0, 21)], "game string, t double, clock double, clock_text string, away int, home int")
     spans = spark.createDataFrame([("g", 1, 0.0, 30.0)], "game string, period int, t_lo double, t_hi double")
@@ -97,6 +96,13 @@ def test_jobs(spark):
         jobs.period_check(spans, spark.createDataFrame([("g", 3)], "game string, period int"))
 
 
+def test_home_check(spark):
+    games = spark.createDataFrame([(str(i), "abcdefghijk", "2024-01-02", "X", h) for i, h in ((1, True), (2, False), (3, True), (4, True), (5, None))], "espn_id string, youtube_id string, date string, opponent string, home boolean")
+    sides = [(g, s, t) for g in ("1", "2", "5") for s, t in (("home", "Reds"), ("away", "Blues"))] + [("3", "home", "Greens"), ("3", "away", "Blues")]
+    teams = spark.createDataFrame(sides, "game_id string, side string, team string")
+    assert {r["espn_id"]: r["check"] for r in S.home_check(games, teams, "Reds").collect()} == {"1": "ok", "2": "mismatch", "3": "unknown", "4": "unknown", "5": "unknown"}
+
+
 def test_empty_source_is_an_error(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text("\n")
     with pytest.raises(S.EmptySource):

@@ -6,7 +6,7 @@ from compare import assert_same
 import __spark_entry__ as entry
 from tracklens import catalog
 
-SLOW = {"kmeans_sets", "defence_labels"}
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))

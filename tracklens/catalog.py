@@ -5,15 +5,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import court as C
 from .functions import text as X
+from .operators import features as FE
 from .operators import joins as J
 from .operators import votes as V
 from .operators import windows as W
 from .plans import spec
+from .sources import files as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,7 +74,7 @@ def zone_by_type(spark, d):
 
 @query(f"WITH {ZONED} SELECT game, list(n ORDER BY k) AS occupancy FROM (SELECT g.game, k, CAST(count(z.zone) AS DOUBLE) AS n FROM (SELECT DISTINCT game FROM v) g CROSS JOIN range(22) r(k) LEFT JOIN z ON z.game = g.game AND z.zone = k GROUP BY g.game, k) GROUP BY game")
 def zone_occupancy(spark, d):
-    return zoned(spark, d).groupBy("game").agg(*[F.count_if(F.col("zone") == k).cast("double").alias(f"_{k}") for k in range(spec.ZONES)]).select("game", F.array(*[f"_{k}" for k in range(spec.ZONES)]).alias("occupancy"))
+    return zoned(spark, d).groupBy("game").agg(C.occupancy(F.col("zone")).alias("occupancy"))
 
 
 @query(f"WITH {COURT} SELECT event_id, CASE WHEN cluster = 0 THEN x ELSE 94.0 - x END AS cx, y BETWEEN 1.0 AND 49.0 AND x BETWEEN 1.0 AND 93.0 AS inside, CAST(round_even(x * 10 + 20, 0) AS INT) AS px FROM v")
@@ -239,13 +241,13 @@ def span_containing_or_near(spark, d):
 @query(f"WITH {COURT} SELECT event_id, game FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE b.event_type = 'purchase' AND b.game = a.game AND b.t_ms // 3600000 = a.t_ms // 3600000)")
 def holding_semi_join(spark, d):
     v = court(spark, d).withColumn("hour", F.floor(F.col("t_ms") / 3600000))
-    return v.join(v.filter("event_type = 'purchase'").select("game", "hour"), ["game", "hour"], "left_semi").select("event_id", "game")
+    return J.having(v, v.filter("event_type = 'purchase'"), ["game", "hour"]).select("event_id", "game")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)")
 def unlocated_anti_join(spark, d):
     big = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(big, "o_orderkey", "left_anti")
+    return J.lacking(table(spark, d, "orders").select("o_orderkey", "o_custkey"), big, ["o_orderkey"])
 
 
 _FRAMES = """f AS (SELECT game, t_ms // 86400000 AS day, list({'x': x, 'y': y} ORDER BY event_id) AS p FROM v GROUP BY ALL)"""
@@ -263,7 +265,15 @@ def still_frames(spark, d):
     return W.still_counts(_frames(spark, d).withColumn("day", F.col("day").cast("double")), key="game", t="day", points="p", back=1.0, tolerance=0.1, radius=15.0)
 
 
-@query()
+_GREEDY = """groups AS (SELECT DISTINCT game, day FROM r), k(game, day, i, kept) AS (SELECT game, day, 0, CAST([] AS STRUCT(event_id BIGINT, x DOUBLE, y DOUBLE)[]) FROM groups
+UNION ALL SELECT k.game, k.day, i + 1, CASE WHEN len(list_filter(kept, lambda q: sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) < {apart})) > 0 THEN kept ELSE list_append(kept, {{'event_id': r.event_id, 'x': r.x, 'y': r.y}}) END FROM k JOIN r ON r.game = k.game AND r.day = k.day AND r.n = k.i + 1),
+last AS (SELECT game, day, arg_max(kept, i) AS kept FROM k GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {COURT}, r AS (SELECT game, t_ms // 86400000 AS day, event_id, x, y, row_number() OVER (PARTITION BY game, t_ms // 86400000 ORDER BY cluster = 0, -value, event_id) AS n FROM v),
+{_GREEDY.format(apart=12)} SELECT game, CAST(day AS BIGINT) AS day, [q.event_id FOR q IN kept[:5]] AS kept, CAST(len(kept) AS INT) AS merged FROM last"""
+)
 def ranked_dedup_cap5(spark, d):
     p = F.collect_list(F.struct((F.col("cluster") == 0).alias("undetected"), (-F.col("value")).alias("length"), "event_id", "x", "y"))
     frames = court(spark, d).groupBy("game", F.floor(F.col("t_ms") / 86400000).alias("day")).agg(p.alias("_p"))
@@ -340,39 +350,61 @@ def _readings(spark, d):
     return p.select("p_partkey", text.alias("s"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_partkey % 20) || ':' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') WHEN 1 THEN (p_size % 60) || '.' || (p_partkey % 10) WHEN 2 THEN CAST(p_partkey % 1000 AS VARCHAR) ELSE 'x' END AS s FROM part),
+g AS (SELECT *, regexp_replace(s, '\\D', '', 'g') AS dg, regexp_full_match(s, '\\d{1,2}:\\d{2}') AS colon, regexp_full_match(s, '\\d{1,2}\\.\\d') AS point FROM c),
+l AS (SELECT p_partkey, s, colon, list_filter([
+ CASE WHEN colon AND CAST(split_part(s, ':', 1) AS INT) <= 20 AND CAST(split_part(s, ':', 2) AS INT) < 60 THEN {'v': CAST(split_part(s, ':', 1) AS DOUBLE) * 60 + CAST(split_part(s, ':', 2) AS DOUBLE), 't': CAST(split_part(s, ':', 1) AS INT) || ':' || split_part(s, ':', 2)} END,
+ CASE WHEN point AND CAST(s AS DOUBLE) < 60 THEN {'v': CAST(s AS DOUBLE), 't': printf('%.1f', CAST(s AS DOUBLE))} END,
+ CASE WHEN NOT colon AND NOT point AND length(dg) = 4 AND CAST(dg[1:2] AS INT) <= 20 AND CAST(dg[3:4] AS INT) < 60 THEN {'v': CAST(dg[1:2] AS DOUBLE) * 60 + CAST(dg[3:4] AS DOUBLE), 't': CAST(dg[1:2] AS INT) || ':' || dg[3:4]} END,
+ CASE WHEN NOT colon AND length(dg) = 3 AND CAST(dg[2:3] AS INT) < 60 THEN {'v': CAST(dg[1:1] AS DOUBLE) * 60 + CAST(dg[2:3] AS DOUBLE), 't': dg[1:1] || ':' || dg[2:3]} END,
+ CASE WHEN NOT colon AND NOT point AND length(dg) BETWEEN 2 AND 3 AND CAST(dg AS INT) / 10.0 < 60 THEN {'v': CAST(dg AS INT) / 10.0, 't': printf('%.1f', CAST(dg AS INT) / 10.0)} END], lambda x: x IS NOT NULL) AS c FROM g)
+SELECT p_partkey, s, [CAST(x.v AS DOUBLE) FOR x IN c] AS seconds, [x.t FOR x IN c] AS texts, CAST(CASE WHEN colon THEN 0 ELSE 1 END AS INT) AS picked FROM l"""
+)
 def clock_candidates(spark, d):
     c = X.clock_candidates(F.col("s"))
-    return _readings(spark, d).select("p_partkey", "s", c.alias("candidates"), X.picked_clock(F.array("s", F.lit("7:04"), F.lit("31.1"))).alias("picked"))
+    return _readings(spark, d).select("p_partkey", "s", F.transform(c, lambda x: x["value"]).alias("seconds"), F.transform(c, lambda x: x["text"]).alias("texts"), X.picked_clock(F.array("s", F.lit("7:04"), F.lit("31.1"))).alias("picked"))
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def json_prop_roundtrip(spark, d):
-    parsed = table(spark, d, "events").withColumn("p", F.from_json("props", "k int")).withColumn("p", F.from_json(F.to_json("p"), "k int"))
-    return parsed.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
+    parsed = S.json_parsed(table(spark, d, "events"), "props", "k int")
+    parsed = S.json_parsed(S.json_written(parsed, "props"), "props", "k int")
+    return parsed.groupBy("event_type", F.col("props.k").alias("k")).agg(F.count("*").alias("n"))
 
 
-_BINNED = ZONED + """, b AS (SELECT game, t_ms, zone, CASE WHEN h < 6 THEN 0 WHEN h < 10 THEN 1 WHEN h < 14 THEN 2 WHEN h < 18 THEN 3 ELSE 4 END AS bin FROM (SELECT *, (t_ms // 3600000) % 24 AS h FROM z))"""
+_BIN = f"CASE {' '.join(f'WHEN s >= {lo} AND s < {30 if hi is None else min(hi, 30)} THEN {k}' for k, (lo, hi) in enumerate(spec.BINS))} END"
+_BINNED = ZONED + f""", b AS (SELECT *, {_BIN} AS bin FROM (SELECT *, (t - floor(t / 86400.0) * 86400.0) / 2880.0 AS s, floor(t / 86400.0) * 86400.0 + (t - floor(t / 86400.0) * 86400.0) / 2880.0 AS moment FROM z)),
+frames AS (SELECT game, bin, count(DISTINCT moment) AS f FROM b WHERE bin IS NOT NULL GROUP BY ALL), cells AS (SELECT game, bin * {spec.ZONES} + zone AS i, count(*) AS n, bin FROM b WHERE bin IS NOT NULL GROUP BY ALL),
+occ AS (SELECT g.game, list(coalesce(round(c.n / frames.f, 6), 0.0) ORDER BY r.i) AS occupancy FROM (SELECT DISTINCT game FROM v) g CROSS JOIN range({len(spec.BINS) * spec.ZONES}) r(i) LEFT JOIN cells c ON c.game = g.game AND c.i = r.i LEFT JOIN frames ON frames.game = c.game AND frames.bin = c.bin GROUP BY g.game)"""
+_HANDLED = """hz AS (SELECT game, bin, zone, count(*) AS n FROM b WHERE bin IS NOT NULL AND {held} GROUP BY ALL), hk AS (SELECT *, row_number() OVER (PARTITION BY game, bin ORDER BY n DESC, zone) AS r FROM hz),
+hand AS (SELECT g.game, list(CAST(coalesce(zone, -1) AS INT) ORDER BY i) AS handler FROM (SELECT DISTINCT game FROM v WHERE {held}) g CROSS JOIN range(5) q(i) LEFT JOIN hk ON hk.game = g.game AND hk.bin = i AND r = 1 GROUP BY g.game)"""
 
 
-def _binned(spark, d):
-    h = F.floor(F.col("t_ms") / 3600000) % 24
-    return zoned(spark, d).withColumn("bin", F.when(h < 6, 0).when(h < 10, 1).when(h < 14, 2).when(h < 18, 3).otherwise(4))
+def _anchored(spark, d):
+    """A day is 30 s from its beginning, the set-up."""
+    anchor = F.floor(F.col("t") / 86400.0) * 86400.0
+    return zoned(spark, d).withColumn("anchor", anchor).withColumn("t_end", F.col("anchor") + 30.0).withColumn("t", F.col("anchor") + (F.col("t") - F.col("anchor")) / 2880.0)
 
 
-@query(f"WITH {_BINNED}, f AS (SELECT game, bin, count(DISTINCT t_ms) AS frames FROM b GROUP BY ALL) SELECT game, bin, zone, round(count(*) / any_value(frames), 6) AS mean FROM b JOIN f USING (game, bin) GROUP BY game, bin, zone")
+@query(f"WITH {_BINNED} SELECT game, occupancy FROM occ")
 def time_bin_occupancy(spark, d):
-    b = _binned(spark, d)
-    cells = b.groupBy("game", "bin", "zone").agg(F.count("*").alias("n"))
-    return cells.join(b.groupBy("game", "bin").agg(F.countDistinct("t_ms").alias("frames")), ["game", "bin"]).select("game", "bin", "zone", F.round(F.col("n") / F.col("frames"), 6).alias("mean"))
+    return FE.occupancy_by_bin(_anchored(spark, d), "game").select("game", F.transform("occupancy", lambda x: F.round(x, 6)).alias("occupancy"))
 
 
-@query(f"WITH {_BINNED}, c AS (SELECT game, bin, zone, count(*) AS n FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game, bin ORDER BY n DESC, zone) AS r FROM c) SELECT g.game, CAST(i AS INT) AS bin, CAST(coalesce(zone, -1) AS INT) AS zone FROM (SELECT DISTINCT game FROM v) g CROSS JOIN range(5) q(i) LEFT JOIN k ON k.game = g.game AND k.bin = i AND r = 1")
+@query(f"WITH {_BINNED}, {_HANDLED.format(held='true')} SELECT game, handler FROM hand")
 def handler_modal_zone(spark, d):
-    b = _binned(spark, d)
-    modal = b.groupBy("game", "bin").agg(F.mode("zone", True).alias("zone"))
-    grid = b.select("game").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return grid.join(modal, ["game", "bin"], "left").select("game", "bin", F.coalesce("zone", F.lit(-1)).alias("zone"))
+    return FE.handler_zones(_anchored(spark, d), "game")
+
+
+@query(
+    f"""WITH {_BINNED}, {_HANDLED.format(held='event_id % 4 = 0')} SELECT occ.game, list_concat(list_concat(occupancy, [round(CASE WHEN z < 0 THEN -1.0 ELSE z / {spec.ZONES}.0 END, 6) FOR z IN coalesce(handler, [-1, -1, -1, -1, -1])]), [0.0, 1.0, 0.0]) AS vector FROM occ LEFT JOIN hand ON occ.game = hand.game"""
+)
+def feature_vectors(spark, d):
+    v = _anchored(spark, d)
+    occ, hand = FE.occupancy_by_bin(v, "game"), FE.handler_zones(v.filter("event_id % 4 = 0"), "game")
+    vector = FE.cluster_vector(F.col("occupancy"), F.coalesce("handler", F.array_repeat(F.lit(-1), 5)), F.lit("dead"))
+    return occ.join(hand, "game", "left").select("game", F.transform(vector, lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query(
@@ -413,15 +445,14 @@ def shot_epoch_ids(spark, d):
     f"""WITH {COURT} SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS trail, round(sum(value) OVER w, 6) AS trail_value FROM v WINDOW w AS (PARTITION BY game ORDER BY t_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)"""
 )
 def trail_range_frame(spark, d):
-    w = Window.partitionBy("game").orderBy("t_ms").rangeBetween(-86400000, 0)
-    return court(spark, d).select("event_id", F.count("*").over(w).alias("trail"), F.round(F.sum("value").over(w), 6).alias("trail_value"))
+    rows = W.trailing(court(spark, d), key="game", order="t_ms", width=86400000, trail=F.count("*"), trail_value=F.sum("value"))
+    return rows.select("event_id", "trail", F.round("trail_value", 6).alias("trail_value"))
 
 
 @query(f"WITH {COURT} SELECT event_id, game, coalesce(lead(event_type) OVER o = 'purchase' AND lead(t_ms) OVER o - t_ms < 3600000, false) AS stolen FROM v WINDOW o AS (PARTITION BY game ORDER BY t_ms, event_id)")
 def next_event_lookahead(spark, d):
-    w = Window.partitionBy("game").orderBy("t_ms", "event_id")
-    hit = (F.lead("event_type").over(w) == "purchase") & (F.lead("t_ms").over(w) - F.col("t_ms") < 3600000)
-    return court(spark, d).select("event_id", "game", F.coalesce(hit, F.lit(False)).alias("stolen"))
+    rows = W.followed_by(court(spark, d), key="game", order=["t_ms", "event_id"], what=F.col("event_type") == "purchase", t="t_ms", within=3600000, out="stolen")
+    return rows.select("event_id", "game", "stolen")
 
 
 @query(
@@ -429,20 +460,22 @@ def next_event_lookahead(spark, d):
 k AS (SELECT e.label, vec_id, round(list_distance(v, c), 6) AS distance, CAST(row_number() OVER (PARTITION BY e.label ORDER BY round(list_distance(v, c), 6), vec_id) AS INT) AS rank FROM e JOIN cent ON e.label = cent.label) SELECT * FROM k WHERE rank <= 9"""
 )
 def top_members_per_cluster(spark, d):
+    from .operators.clusters import centroids, nearest_members, squared_distance
+
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    cent = e.groupBy("label").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(64)]).alias("c"))
-    distance = F.round(F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 6)
-    return W.top_per(e.join(cent, "label").select("label", "vec_id", distance.alias("distance")), key=["label"], order=["distance", "vec_id"], n=9)
+    distance = F.round(F.sqrt(squared_distance(F.col("v"), F.col("centroid"))), 6)
+    rows = e.join(centroids(e, "label", "v", 64), "label").select("label", "vec_id", distance.alias("distance"))
+    return nearest_members(rows, cluster="label", id_="vec_id", distance="distance", n=9)
 
 
 @query(
     """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 5) AS za, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 5) AS zb FROM e"""
 )
 def zscore_population(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    stats = e.agg(*[f(c).alias(f"{n}{c}") for c in "ab" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda c: F.round((F.col(c) - F.col(f"m{c}")) / F.when(F.col(f"s{c}") > 0, F.col(f"s{c}")).otherwise(1.0), 5)
-    return e.crossJoin(F.broadcast(stats)).select("vec_id", z("a").alias("za"), z("b").alias("zb"))  # one row of statistics
+    from .operators.clusters import standardized
+
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
+    return standardized(e, "v", 2).select("vec_id", F.round(F.col("v")[0], 5).alias("za"), F.round(F.col("v")[1], 5).alias("zb"))
 
 
 @query(
@@ -486,9 +519,18 @@ def force_closure(spark, d):
     return W.closure(edges, spark.range(1).select(F.lit(1).alias("node")))
 
 
+_SEEN = 1704240000000  # a moment within 0.05 s of which a third of all rows is put
+
+
 @query(
-    "SELECT user_id, [CAST(bool_or(event_type = 'click') AS INT), CAST(bool_or(event_type = 'login') AS INT), CAST(bool_or(event_type = 'purchase') AS INT), CAST(bool_or(event_type = 'view') AS INT)] AS one_hot FROM events WHERE epoch_us(ts) < 1704240000000000 GROUP BY user_id"
+    f"""WITH {ZONED}, f AS (SELECT game, event_type AS name, arg_min(zone, (t_ms % 100, zone)) AS zone FROM z WHERE event_id % 3 = 0 AND t_ms % 100 < 51 GROUP BY ALL)
+SELECT g.game, flatten(list([CAST(i = coalesce(f.zone, {spec.ZONES}) AS DOUBLE) FOR i IN range({spec.ZONES + 1})] ORDER BY n.name)) AS snapshot
+FROM (SELECT DISTINCT game FROM v) g CROSS JOIN (SELECT DISTINCT event_type AS name FROM v) n LEFT JOIN f ON f.game = g.game AND f.name = n.name GROUP BY g.game"""
 )
 def snapshot_one_hot(spark, d):
-    e = table(spark, d, "events").filter(F.unix_micros(F.col("ts").cast("timestamp")) < 1704240000000000)
-    return e.groupBy("user_id").agg(*[F.max((F.col("event_type") == k).cast("int")).alias(f"_{k}") for k in ("click", "login", "purchase", "view")]).select("user_id", F.array("_click", "_login", "_purchase", "_view").alias("one_hot"))
+    v = court(spark, d).withColumn("name", F.col("event_type"))
+    near = F.when(F.col("event_id") % 3 == 0, (F.col("t_ms") % 100) / 1000.0 + _SEEN)  # the others are seen at another time
+    points = v.select("game", "name", F.coalesce(near, F.col("t") - 1e6).alias("t"), "x", "y", F.lit(float(_SEEN)).alias("setup"))
+    return FE.identity_snapshot(points, v.select("name").distinct(), "game")
+
+

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import COURT, court, query, table, zoned
+from .catalog import _GREEDY, _SEGMENTS, COURT, court, query, table
 from .functions import text as X
 from .operators import clusters as K
 from .operators import display as D
@@ -21,6 +21,7 @@ from .operators import states as S
 from .operators import tracks as TR
 from .operators import votes as V
 from .operators import windows as W
+from .plans.session import checkpointed
 from .streaming import events as ST
 
 
@@ -107,31 +108,41 @@ def path_fill(spark, d):
 
 
 def _five_a_side(spark, d) -> DataFrame:
+    """Every event in a frame of five a side at most: those of a day and side, five after five."""
     w = Window.partitionBy("game", "day", "cluster").orderBy("event_id")
-    v = court(spark, d).withColumn("day", F.floor(F.col("t_ms") / 86400000).cast("int")).withColumn("n", F.row_number().over(w))
-    return v.filter("n <= 5").select("game", "day", F.when(F.col("cluster") == 0, "off").otherwise("def").alias("side"), F.col("event_id").alias("track"), "x", "y")
+    v = court(spark, d).withColumn("day", F.floor(F.col("t_ms") / 86400000).cast("int")).withColumn("n", F.row_number().over(w) - 1)
+    frame = (F.col("day") * 1000 + F.floor(F.col("n") / 5)).cast("int")
+    return v.select("game", frame.alias("frame"), F.when(F.col("cluster") == 0, "off").otherwise("def").alias("side"), F.col("event_id").alias("track"), (F.col("n") % 5 + 1).cast("long").alias("place"), "x", "y")
 
 
 @query()
 def matchup_assignment(spark, d):
-    return TR.matchups(_five_a_side(spark, d), keys=["game", "day"], least=1).select("game", "day", "off", "def", F.round("distance", 6).alias("distance"))
+    return TR.matchups(_five_a_side(spark, d), keys=["game", "frame"], least=1).select("game", "frame", "off", "def", F.round("distance", 6).alias("distance"))
 
 
 @query()
 def defence_features(spark, d):
-    p = _five_a_side(spark, d).withColumn("t", F.col("day").cast("double")).withColumn("rank", F.row_number().over(Window.partitionBy("game", "day", "side").orderBy("track")))
-    p = p.select("game", "t", "side", F.col("rank").cast("long").alias("track"), "x", "y")
+    p = _five_a_side(spark, d).select("game", F.col("frame").cast("double").alias("t"), "side", F.col("place").alias("track"), "x", "y")
     pairs = TR.matchups(p, keys=["game", "t"], least=1).persist()  # read by four aggregates
     m = FE.defence_measures(pairs, p, key="game", least=5)
     return m.select("game", "frames", *[F.round(c, 5).alias(c) for c in ("stability", "follow", "spread", "gap", "paint")])
 
 
-# Not registered: it has not finished within two minutes yet.
+@query()
 def defence_labels(spark, d):
-    return K.two_way_labels(defence_features(spark, d).persist(), id_="game", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone")).withColumn("confidence", F.round("confidence", 5))
+    measures = checkpointed(defence_features(spark, d))
+    return K.two_way_labels(measures, id_="game", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone")).withColumn("confidence", F.round("confidence", 5))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {COURT}, tr AS (SELECT game, event_id % 12 AS track, min(CASE WHEN cluster = 0 THEN 'A' ELSE 'B' END) AS team, min(CAST(event_id % 4 AS VARCHAR)) AS jersey, count(*) AS votes, min(t) AS t_lo, max(t) AS t_hi FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY votes DESC, track) AS n FROM tr),
+k(game, i, kept, track, keeps) AS (SELECT DISTINCT game, 0, CAST([] AS STRUCT(team VARCHAR, jersey VARCHAR, t_lo DOUBLE, t_hi DOUBLE)[]), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM tr
+UNION ALL SELECT game, i, CASE WHEN clash THEN kept ELSE list_append(kept, one) END, track, NOT clash FROM (
+  SELECT k.game, i + 1 AS i, kept, r.track, {{'team': r.team, 'jersey': r.jersey, 't_lo': r.t_lo, 't_hi': r.t_hi}} AS one,
+  len(list_filter(kept, lambda q: q.team = r.team AND q.jersey = r.jersey AND q.t_lo <= r.t_hi AND r.t_lo <= q.t_hi)) > 0 AS clash FROM k JOIN r ON r.game = k.game AND r.n = k.i + 1))
+SELECT game, track, keeps FROM k WHERE track IS NOT NULL"""
+)
 def jersey_conflicts(spark, d):
     v = court(spark, d)
     tracks = v.groupBy("game", (F.col("event_id") % 12).alias("track")).agg(F.min(F.when(F.col("cluster") == 0, "A").otherwise("B")).alias("team"), F.min((F.col("event_id") % 4).cast("string")).alias("jersey"), F.count("*").alias("votes"), F.min("t").alias("t_lo"), F.max("t").alias("t_hi"))
@@ -158,14 +169,13 @@ def homography_fits(spark, d):
 
 @query(
     """WITH e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
-m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS k FROM e) WHERE k <= 30),
-d AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN m b ON a.vec_id <> b.vec_id GROUP BY ALL),
+d AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, min(CASE WHEN c = c2 THEN d END) AS a, min(CASE WHEN c <> c2 THEN d END) AS b FROM d GROUP BY vec_id)
 SELECT vec_id, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s"""
 )
 def silhouette_euclid(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return K.silhouettes(e, "vec_id", "label", "v", per_cluster=30).select("vec_id", F.round("silhouette", 6).alias("silhouette"))
+    return K.silhouettes(e, "vec_id", "label", "v").select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(
@@ -178,9 +188,10 @@ def one_se_choice(spark, d):
 
 @query()
 def kmeans_sets(spark, d):
+    """The whole sweep, ten starts for each k, and the stability of the chosen one."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows, _, _ = K.fit_clusters(e, id_="vec_id", vector="v", dims=64, starts=1, ks=range(4, 7))
-    return rows.select("vec_id", F.col("cluster") >= 0, "distance").toDF("vec_id", "clustered", "distance").withColumn("distance", F.round("distance", 4))
+    rows, model = K.fit_clusters(e, id_="vec_id", vector="v", dims=64)
+    return rows.select("vec_id", "cluster", F.round("distance", 4).alias("distance"), F.lit(model.k).alias("k"), F.round(F.lit(model.stability), 4).alias("stability"))
 
 
 @query(
@@ -222,9 +233,8 @@ def status_upsert(spark, d):
     """SELECT c_custkey, c_name, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY try_cast(regexp_replace(c_name, '\\D', '', 'g') AS INT) % 97 NULLS LAST, c_name) AS INT) AS rank FROM customer"""
 )
 def jersey_order(spark, d):
-    n = F.regexp_replace("c_name", r"\D", "").try_cast("int") % 97
-    w = Window.partitionBy("c_nationkey").orderBy(n.asc_nulls_last(), "c_name")
-    return table(spark, d, "customer").select("c_custkey", "c_name", F.row_number().over(w).alias("rank"))
+    c = table(spark, d, "customer").withColumn("jersey", F.regexp_replace("c_name", r"\D", "").try_cast("int") % 97)
+    return D.roster_order(c, team="c_nationkey", jersey="jersey", name="c_name").select("c_custkey", "c_name", "rank")
 
 
 @query(
@@ -237,7 +247,7 @@ def smallest_box(spark, d):
     v = court(spark, d)
     x1, y1 = (F.col("event_id") * 91) % 800 / 10.0, (F.col("event_id") * 17) % 400 / 10.0
     boxes = v.filter("event_id % 5 = 0").select("game", F.col("event_id").alias("box_id"), F.array(x1, y1, x1 + 2 + F.col("event_id") % 13, y1 + 2 + F.col("event_id") % 7).alias("bbox"))
-    return J.smallest_container(v.select("game", F.col("event_id").alias("point_id"), "x", "y"), boxes, keys=["game"]).select("game", "point_id", "box_id")
+    return J.smallest_container(v.select("game", F.col("event_id").alias("point_id"), "x", "y"), boxes, keys=["game"], cell=10.0).select("game", "point_id", "box_id")
 
 
 @query(
@@ -250,7 +260,13 @@ def cluster_naming(spark, d):
     return V.team_of_cluster(c)
 
 
-@query()
+@query(
+    f"""WITH {_SEGMENTS}, c AS (SELECT s.game, s.segment, s.half, s.t_lo, s.t_hi, count(v.t) FILTER (WHERE v.cluster = 1) AS n1, count(v.t) FILTER (WHERE v.cluster = 0) AS n0 FROM segs s LEFT JOIN v ON v.game = s.game AND v.t BETWEEN s.t_lo AND s.t_hi GROUP BY ALL),
+nb AS (SELECT a.game, a.segment, sum(CASE WHEN o.half = 1 THEN o.n1 ELSE o.n0 END) AS r1, sum(CASE WHEN o.half = 1 THEN o.n0 ELSE o.n1 END) AS r0 FROM c a JOIN c o ON o.game = a.game AND o.t_lo <= a.t_hi + 86400 AND o.t_hi >= a.t_lo - 86400 GROUP BY ALL),
+wh AS (SELECT game, CASE WHEN count_if((half = 1 AND cluster = 0) OR (half = -1 AND cluster = 1)) > count_if((half = 1 AND cluster = 1) OR (half = -1 AND cluster = 0)) THEN 0 ELSE 1 END AS w FROM v GROUP BY game)
+SELECT c.game, c.segment, CAST(CASE WHEN n1 + n0 >= 3 AND n1 <> n0 THEN CASE WHEN n1 > n0 THEN 1 ELSE 0 END WHEN r1 + r0 >= 3 THEN CASE WHEN c.half = 1 THEN CASE WHEN r0 > r1 THEN 0 ELSE 1 END ELSE CASE WHEN r0 > r1 THEN 1 ELSE 0 END END
+ ELSE CASE WHEN c.half = 1 THEN w ELSE 1 - w END END AS INT) AS offense FROM c JOIN nb ON c.game = nb.game AND c.segment = nb.segment JOIN wh ON wh.game = c.game"""
+)
 def segment_offense(spark, d):
     segs = W.segments(court(spark, d), key="game", t="t", label="half", max_gap=43200, merge_gap=172800, min_duration=3600, tie="event_id")
     return V.segment_offense(segs.select("game", "segment", "half", "t_lo", "t_hi"), court(spark, d).select("game", "t", "half", "cluster"), keys=["game"], min_votes=3, window=86400.0).select("game", "segment", "offense")
@@ -266,28 +282,19 @@ def records_input(spark, d):
     return reads, spans, possessions, points
 
 
-# Not registered: it has not finished within two minutes yet.
+@query()
 def halfcourt_records(spark, d):
     reads, spans, possessions, points = records_input(spark, d)
     r = H.build_records(plays(spark, d), reads, spans, possessions, points, team="Reds")
     return r.select("key", "start_type", "full_court", "terminal", "start_clock", "end_clock", "located", "outcome", "points", "t0", "setup", "no_setup", "transition", F.size(F.coalesce("players", F.expr("array()"))).alias("n_players"))
 
 
-# Not registered: it has not finished within two minutes yet.
+@query()
 def coverage_report(spark, d):
-    r = halfcourt_records(spark, d).withColumn("game", F.split_part("key", F.lit(":"), F.lit(1)))
+    r = checkpointed(halfcourt_records(spark, d)).withColumn("game", F.split_part("key", F.lit(":"), F.lit(1)))
     return R.period_coverage(r, ["game"]).select("game", "intervals", "located", "dead_ball", "dead_ball_with_setup", F.map_keys("start_types").alias("kinds"))
 
 
-@query()
-def feature_vectors(spark, d):
-    v = zoned(spark, d).withColumn("anchor", F.floor(F.col("t") / 86400.0) * 86400.0).withColumn("t_end", F.col("anchor") + 86400.0).withColumn("t", F.col("anchor") + (F.col("t") - F.col("anchor")) / 2880.0)
-    occ = FE.occupancy_by_bin(v.select("game", "t", "x", "y", "anchor", "t_end"), "game")
-    hand = FE.handler_zones(v.filter("event_id % 4 = 0").select("game", "t", "x", "y", "anchor", "t_end"), "game")
-    vector = FE.cluster_vector(F.col("occupancy"), F.coalesce("handler", F.array_repeat(F.lit(-1), 5)), F.lit("dead"))
-    return occ.join(hand, "game", "left").select("game", F.transform(vector, lambda x: F.round(x, 6)).alias("vector"))
-
-
 def _event_schema(spark, d):
     return table(spark, d, "events").schema
 
@@ -295,13 +302,23 @@ def _event_schema(spark, d):
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
     e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"))
-    rows = ST.run_available(ST.tumbling(e, keys=["event_type"]), name=f"tumbling_{abs(hash(d)) % 10**8}", mode="complete")
+    rows = ST.run_available(ST.tumbling(e, keys=["event_type"]), name="tumbling", mode="complete")
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+_SESSIONS = ("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM o), g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, sid)
 SELECT user_id, start, "end", CAST(n AS BIGINT) AS n FROM g""")
+
+
+@query(_SESSIONS)
+def stream_sessions(spark, d):
+    e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"))
+    rows = ST.run_available(ST.sessions(e, keys=["user_id"]), name="sessions", mode="complete")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(_SESSIONS)
 def batch_sessions(spark, d):
     rows = ST.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), keys=["user_id"])
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
@@ -310,14 +327,28 @@ def batch_sessions(spark, d):
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, max(value) AS top FROM events GROUP BY user_id")
 def stream_state(spark, d):
     e = ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = ST.run_available(ST.latest_by_state(e, key="user_id"), name=f"state_{abs(hash(d)) % 10**8}", mode="update")
+    rows = ST.run_available(ST.latest_by_key(e, key="user_id"), name="state", mode="update")
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
 
 
+@query("SELECT user_id, CAST(sum(new) AS BIGINT) AS runs FROM (SELECT user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) = event_type THEN 0 ELSE 1 END AS new FROM events) GROUP BY user_id")
+def stream_runs(spark, d):
+    e = ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = ST.run_available(ST.runs_by_state(e, key="user_id"), name="runs", mode="update")
+    return rows.groupBy("user_id").agg(F.max("runs").alias("runs"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 DAY * k AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events, range(2) r(k) GROUP BY ALL")
+def stream_sliding(spark, d):
+    e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"))
+    rows = ST.run_available(ST.sliding(e, keys=["event_type"]), name="sliding", mode="complete")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY ALL")
 def stream_dedup(spark, d):
     e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"), late="60 days")
-    rows = ST.run_available(ST.first_seen(e.select("user_id", "event_type", "ts"), keys=["user_id", "event_type", "ts"]), name=f"dedup_{abs(hash(d)) % 10**8}", mode="append")
+    rows = ST.run_available(ST.first_seen(e.select("user_id", "event_type", "ts"), keys=["user_id", "event_type", "ts"]), name="dedup", mode="append")
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -342,12 +373,21 @@ def active_events(spark, d):
     return D.active_events(v.filter("event_type = 'purchase'").select("game", "event_id", "t"), v.select("game", "t").distinct(), keys=["game"])
 
 
-@query()
+@query(
+    f"""WITH {COURT}, q AS (SELECT game, t / 3600 AS t, x, y FROM v), g AS (SELECT game, unnest(range(CAST(ceil(min(t) / 6) AS BIGINT), CAST(floor(max(t) / 6) AS BIGINT) + 1)) AS k FROM q GROUP BY game),
+j AS (SELECT g.game, k * 6.0::DOUBLE AS t, x, y, row_number() OVER (PARTITION BY g.game, k ORDER BY abs(k * 6.0::DOUBLE - q.t), q.t) AS r FROM g JOIN q ON q.game = g.game AND abs(k * 6.0::DOUBLE - q.t) <= 3.000000001)
+SELECT game, t, round(x, 1) AS x, round(y, 1) AS y FROM j WHERE r = 1"""
+)
 def resampled_tracks(spark, d):
     return D.resampled(court(spark, d).withColumn("t", F.col("t") / 3600).select("game", "t", "x", "y"), keys=["game"], step=6.0, tolerance=3.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {COURT}, r AS (SELECT game, t_ms // 86400000 AS day, event_id, x, y, row_number() OVER (PARTITION BY game, t_ms // 86400000 ORDER BY event_id) AS n FROM v),
+{_GREEDY.format(apart=1)}, p AS (SELECT game, day, i, q.x AS x, q.y AS y FROM (SELECT game, day, generate_subscripts(kept[:5], 1) AS i, unnest(kept[:5]) AS q FROM last)),
+m AS (SELECT p.game, p.day, i, arg_min(CAST(r.event_id % 1000 AS VARCHAR), (sqrt((r.x + 0.2 - p.x) ** 2 + (r.y - p.y) ** 2), CAST(r.event_id % 1000 AS VARCHAR))) AS label FROM p JOIN r ON r.game = p.game AND r.day = p.day AND sqrt((r.x + 0.2 - p.x) ** 2 + (r.y - p.y) ** 2) < 1 GROUP BY ALL)
+SELECT p.game, CAST(p.day AS BIGINT) AS day, list(label ORDER BY p.i) AS labels FROM p LEFT JOIN m ON p.game = m.game AND p.day = m.day AND p.i = m.i GROUP BY p.game, p.day"""
+)
 def labelled_positions(spark, d):
     p = F.sort_array(F.collect_list(F.struct("event_id", "x", "y")))
     f = court(spark, d).groupBy("game", F.floor(F.col("t_ms") / 86400000).alias("day")).agg(p.alias("_p"))

@@ -51,9 +51,9 @@ def zone_name(zone: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, spec.ZONE_NAMES)), zone + 1)
 
 
-def occupancy(zones: Column) -> Column:
-    """22 counts of an array of zones; nulls are ignored."""
-    return F.transform(F.sequence(F.lit(0), F.lit(spec.ZONES - 1)), lambda z: F.size(F.filter(zones, lambda q: q == z)).cast("double"))
+def occupancy(zone: Column) -> Column:
+    """22 counts, an aggregate of a column of zones; nulls are ignored."""
+    return F.array(*[F.count_if(zone == k).cast("double") for k in range(spec.ZONES)])
 
 
 def inside_court(x: Column, y: Column, margin: float = 0.0) -> Column:

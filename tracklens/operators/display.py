@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import nearest_within
@@ -63,9 +63,70 @@ def labelled_positions(merged: Column, tracks: Column) -> Column:
     return F.transform(merged, label)
 
 
-def opponent_names(sides: DataFrame, team: str) -> DataFrame:
-    """(game_id, opponent): the side that is not `team`."""
-    return sides.select("game_id", F.when(F.col("home") == team, F.col("away")).otherwise(F.col("home")).alias("opponent"))
+def opponent_names(games: DataFrame, teams: DataFrame, team: str) -> DataFrame:
+    """(game_id, opponent) for every game (game_id, opponent of the registry or null): the short name of the side of the
+    summary (teams: game_id, side, team) that is not `team`, where both sides are there; else the registry's; else the id."""
+    sides = teams.groupBy("game_id").agg(F.max(F.when(F.col("side") == "home", F.col("team"))).alias("_home"), F.max(F.when(F.col("side") == "away", F.col("team"))).alias("_away"))
+    seen = F.when(F.col("_home").isNotNull() & F.col("_away").isNotNull(), F.when(F.col("_home") == team, F.col("_away")).otherwise(F.col("_home")))
+    return games.join(sides, "game_id", "left").select("game_id", F.coalesce(seen, "opponent", "game_id").alias("opponent"))
+
+
+def position_at(points: DataFrame, moments: DataFrame, *, keys: list[str], tolerance: float = 0.051) -> DataFrame:
+    """moments (keys, t and more) plus x and y: the position of the point (keys, t, x, y) nearest in time, null if none is
+    within tolerance."""
+    seen = points.select(*keys, F.col("t").alias("_pt"), F.struct("x", "y").alias("_xy"))
+    found = nearest_within(moments, seen, keys=keys, left_t="t", right_t="_pt", value="_xy", tolerance=tolerance, left_id=[*keys, "t"], out="_at")
+    return found.select(*moments.columns, F.col("_at.x").alias("x"), F.col("_at.y").alias("y"))
+
+
+def players_of_events(events: DataFrame, points: DataFrame, *, tolerance: float = 0.051) -> DataFrame:
+    """events (game, possession, player, t and more) plus track, x and y: where the named player was then, by equality of
+    names; the lowest track on ties, nulls where none is seen."""
+    named = points.filter(F.col("name").isNotNull()).select("game", "possession", F.col("name").alias("player"), F.col("t").alias("_pt"), F.struct("track", "x", "y").alias("_at"))
+    first = named.groupBy("game", "possession", "player", "_pt").agg(F.min("_at").alias("_at"))
+    own = ["game", "possession", "player", "t"]
+    found = nearest_within(events, first, keys=own[:3], left_t="t", right_t="_pt", value="_at", tolerance=tolerance, left_id=own, out="_seen")
+    return found.select(*events.columns, F.col("_seen.track").alias("track"), F.col("_seen.x").alias("x"), F.col("_seen.y").alias("y"))
+
+
+def boxes_by_time(points: DataFrame) -> DataFrame:
+    """(game, possession, t, boxes): for each frame the boxes of its tracks, by track."""
+    return points.filter(F.col("bbox").isNotNull()).groupBy("game", "possession", "t").agg(F.sort_array(F.collect_list(F.struct("track", "bbox"))).alias("boxes"))
+
+
+def tiles_in_order(records: DataFrame, *, n: int = 0) -> DataFrame:
+    """records with `tile`, from 1, in the order in which they are shown: by start type (ato, dead, live), then from the
+    first to the last of a period (the clock runs down); the first n (0: all)."""
+    kind = F.array_position(F.array(F.lit("ato"), F.lit("dead"), F.lit("live")), F.col("start_type"))
+    place = F.row_number().over(Window.partitionBy("game").orderBy(F.when(kind > 0, kind).otherwise(9), F.desc("start_clock"), "key"))
+    rows = records.withColumn("tile", place)
+    return rows.filter(F.col("tile") <= n) if n else rows
+
+
+def team_map(text: str, home: str, away: str) -> dict[int, str] | None:
+    """{cluster: team} of "0=Team" or "0=Team,1=Other"; the second follows from the first. "auto" and "" give null; other
+    clusters, unknown teams and contradictions are a ValueError."""
+    if text in ("", "auto"):
+        return None
+    found: dict[int, str] = {}
+    for part in text.split(","):
+        cluster, _, team = part.strip().partition("=")
+        if cluster not in ("0", "1") or team not in (home, away):
+            raise ValueError(f"not a cluster and one of the teams: {part}")
+        if found.get(int(cluster), team) != team:
+            raise ValueError(f"two teams for cluster {cluster}")
+        found[int(cluster)] = team
+    for cluster in (0, 1):
+        found.setdefault(cluster, away if found[1 - cluster] == home else home) if 1 - cluster in found else None
+    if found[0] == found[1]:
+        raise ValueError("one team for both clusters")
+    return found
+
+
+def roster_order(players: DataFrame, *, team: str, jersey: str, name: str) -> DataFrame:
+    """players with their rank in their team: by the number of the jersey, those without a number last, then by name."""
+    number = F.regexp_replace(F.col(jersey).cast("string"), r"\D", "").try_cast("int")
+    return players.withColumn("rank", F.row_number().over(Window.partitionBy(team).orderBy(number.asc_nulls_last(), name)))
 
 
 def spans_json(spans: DataFrame) -> DataFrame:

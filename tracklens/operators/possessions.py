@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import court as C
 from ..functions import text as X
 from ..plans import spec
-from .joins import assign_to_windows, located_events, mentioned_player, nearest_within
+from ..plans.session import checkpointed
+from .joins import assign_to_windows, located_events, mentioned_player, nearest_within, overlapping
 from .states import clean_timeline, debounced
 from .tracks import clean_paths, homography, resolve_conflicts, stitch_tracks
 from .votes import capped_team, first_seen_majority, outcome, plurality, segment_offense, team_by_jersey
@@ -68,7 +69,7 @@ def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *
     on_court = detections_on_court(proj)
     states = frame_states(on_court).persist()
     segs = possession_segments(states, fps=fps).withColumnRenamed("segment", "possession").persist()
-    grid = states.join(segs.select("game", "possession", "t_lo", "t_hi"), "game").filter(F.col("t").between(F.col("t_lo"), F.col("t_hi")))
+    grid = overlapping(states.withColumn("_t2", F.col("t")), segs.select("game", "possession", "t_lo", "t_hi"), keys=["game"], left_range=("t", "_t2"), right_range=("t_lo", "t_hi"), width=60.0)
     grid = grid.withColumn("frame", F.row_number().over(Window.partitionBy("game", "possession").orderBy("t")).cast("long")).select("game", "possession", "t", "frame")
 
     d = on_court.join(grid, ["game", "t"])
@@ -133,25 +134,26 @@ def annotated(possessions: DataFrame, reads: DataFrame, spans: DataFrame, plays:
     changed = plays.withColumn("_s", state).withColumn("_p", F.lag("_s").over(w)).filter(~F.col("_p").eqNullSafe(F.col("_s")))
     zero = F.struct(F.lit(0).alias("away"), F.lit(0).alias("home"))
     states = changed.groupBy("game", "period").agg(F.concat(F.array(zero), F.transform(F.sort_array(F.collect_list(F.struct("seq", "_s"))), lambda x: x["_s"])).alias("states"))
-    inside = reads.join(spans, "game").filter(F.col("t").between(F.col("t_lo"), F.col("t_hi"))).select("game", "period", "t", "clock", "clock_text", "away", "home")
-    clean = clean_timeline(inside, keys=["game", "period"], states=states).persist()  # read for six values
-    p = possessions.join(spans, "game").filter((F.col("end_time") >= F.col("t_lo")) & (F.col("start_time") <= F.col("t_hi"))).withColumn("_n", F.row_number().over(Window.partitionBy("game", "possession").orderBy(F.desc("period")))).filter("_n = 1").drop("_n", "t_lo", "t_hi")
+    inside = overlapping(reads.withColumn("_t2", F.col("t")), spans, keys=["game"], left_range=("t", "_t2"), right_range=("t_lo", "t_hi"), width=600.0).select("game", "period", "t", "clock", "clock_text", "away", "home")
+    clean = checkpointed(clean_timeline(inside, keys=["game", "period"], states=states))  # read for six values
+    p = overlapping(possessions, spans, keys=["game"], left_range=("start_time", "end_time"), right_range=("t_lo", "t_hi"), width=600.0).withColumn("_n", F.row_number().over(Window.partitionBy("game", "possession").orderBy(F.desc("period")))).filter("_n = 1").drop("_n", "t_lo", "t_hi")
     own = ["game", "period", "possession"]
-    p = p.persist()  # read by three look-ups
+    p = checkpointed(p)  # read by three look-ups
     moment = lambda name, t: F.struct(F.lit(name).alias("which"), t.alias("at"))
     moments = p.select(*own, F.inline(F.array(moment("start", F.col("start_time")), moment("end", F.col("end_time")), moment("after", F.col("end_time") + 3.0))))
     for value, wanted in (("clock", {"clock_start": "start", "clock_end": "end"}), ("away", {"away_before": "start", "away_after": "after"}), ("home", {"home_before": "start", "home_after": "after"})):
         shown = clean.select("game", "period", F.col("t").alias("_rt0"), F.col(value).alias("_v0"))
         found = nearest_within(moments, shown, keys=["game", "period"], left_t="at", right_t="_rt0", value="_v0", tolerance=reach if value == "clock" else 6.0, left_id=[*own, "which"], out="_v")
         p = p.join(found.groupBy(*own).agg(*[F.max(F.when(F.col("which") == which, F.col("_v"))).alias(name) for name, which in wanted.items()]), own, "left")
-    p = p.persist()
+    p = checkpointed(p)
     windows = p.select("game", "period", F.col("possession").alias("window_id"), F.least("clock_start", "clock_end").alias("lo"), F.greatest("clock_start", "clock_end").alias("hi"), F.col("clock_start").alias("start"), F.col("offense_team").alias("team")).filter("lo is not null and hi is not null")
     e = plays.withColumn("event_id", F.col("seq")).withColumn("offensive", F.col("team").isNotNull() & X.is_offensive(F.col("type"), F.col("text"))).withColumn("dead", X.is_dead_ball(F.col("type"), F.col("text")))
     picked = assign_to_windows(windows, e.select("game", "period", "event_id", "clock", "team", "offensive", "dead"), keys=["game", "period"])
     events = e.join(picked, ["game", "period", "event_id"]).withColumnRenamed("window_id", "possession").join(p.select("game", "period", "possession", F.col("start_time").alias("start_t"), F.col("end_time").alias("end_t"), "clock_start", "clock_end", F.col("offense_team").alias("offense")), ["game", "period", "possession"])
     events = located_events(events, clean.select("game", "period", "t", "clock"), keys=["game", "period"])
     unique = events.withColumn("event_id", F.concat_ws(":", "game", "period", "seq"))
-    events = mentioned_player(unique, rosters.select("team", "name", F.monotonically_increasing_id().alias("ord")).dropDuplicates(["team", "name"]))
+    ord_ = F.row_number().over(Window.partitionBy("game").orderBy(*(["ord"] if "ord" in rosters.columns else []), "team", "name"))
+    events = mentioned_player(unique, rosters.dropDuplicates(["game", "team", "name"]).select("game", "team", "name", ord_.alias("ord")), keys=["game"])
     results = outcome(events, ["game", "period", "possession"])
     p = p.join(results.withColumnRenamed("points", "points_scored"), own, "left")
     return {"possessions": p, "events": events}

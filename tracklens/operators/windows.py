@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpointed
+
 
 def segments(states: DataFrame, *, key: str, t: str, label: str, max_gap: float, merge_gap: float, min_duration: float, frame: float = 0.0, tie: str | None = None) -> DataFrame:
     """(key, segment, label, t_lo, t_hi, n, duration): runs of one label without gaps.
@@ -94,33 +96,58 @@ def filled_and_smoothed(df: DataFrame, *, key: list[str], order: str, value: str
     return d.withColumn("smooth", (edge(2) + edge(1) + F.col("filled") + edge(-1) + edge(-2)) / 5).drop("_a", "_b")
 
 
+def trailing(df: DataFrame, *, key: str, order: str, width: int, **aggregates: Column) -> DataFrame:
+    """df plus aggregates over the rows of the last `width` of order, the row itself included."""
+    w = Window.partitionBy(key).orderBy(order).rangeBetween(-width, 0)
+    return df.withColumns({name: a.over(w) for name, a in aggregates.items()})
+
+
+def followed_by(df: DataFrame, *, key: str, order: list[str], what: Column, t: str, within: float, out: str = "followed") -> DataFrame:
+    """df plus out: whether `what` holds for the next row of the key, less than `within` later."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("_hit", what).withColumn(out, F.coalesce(F.lead("_hit").over(w) & (F.lead(t).over(w) - F.col(t) < within), F.lit(False))).drop("_hit")
+
+
 def top_per(df: DataFrame, *, key: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int = 30) -> DataFrame:
-    """(node) of all nodes reached from start (node) along edges (src, dst) in at most `depth` steps, themselves included."""
-    reached = frontier = start.select("node").distinct()
-    for _ in range(depth):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached, "node", "left_anti").cache()
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node) of all nodes reached from start (node) along edges (src, dst), themselves included, however far.
+
+    Each round adds the nodes one step further that are new, and is checkpointed, so plans do not grow; the rounds end
+    when there are none.
+    """
+    links = checkpointed(edges.select(F.col("src").alias("node"), "dst").distinct())
+    reached = frontier = checkpointed(start.select("node").distinct())
+    while True:
+        step = frontier.join(links, "node").select(F.col("dst").alias("node")).distinct()
+        frontier = checkpointed(step.join(reached, "node", "left_anti"))
         if frontier.isEmpty():
             return reached
-        reached = reached.unionByName(frontier)
-    return reached
+        reached = checkpointed(reached.unionByName(frontier))
 
 
 def resolved_labels(chain: DataFrame, depth: int = 10) -> DataFrame:
-    """(id, name) from (id, label): labels merge:<id> are followed; discarded, unset and circular ones are null.
+    """(id, name) from (id, label): labels merge:<id> are followed for at most `depth` steps; discarded, unset and
+    circular ones are null.
 
-    Each round doubles the steps taken, so that `depth` steps are a handful of joins.
+    Each round doubles the steps taken, so that `depth` steps are a handful of joins; the steps are counted.
     """
     to = F.when(F.col("label").startswith("merge:"), F.substring("label", 7, 1 << 20))
-    d = chain.select("id", to.alias("_next"), F.when(to.isNull() & (F.col("label") != "discard") & (F.col("label") != ""), F.col("label")).alias("name"))
+    name = F.when(to.isNull() & (F.col("label") != "discard") & (F.col("label") != ""), F.col("label"))
+    d = chain.select("id", to.alias("_next"), name.alias("name"), F.when(to.isNotNull(), 1).otherwise(0).alias("_steps"))
     steps = 1
     while steps < depth + 1:
-        other = d.select(F.col("id").alias("_o"), F.col("_next").alias("_n2"), F.col("name").alias("_name2"))
-        d = d.join(other, F.col("_next") == F.col("_o"), "left").select("id", F.col("_n2").alias("_next"), F.coalesce("name", "_name2").alias("name"))
+        other = d.select(F.col("id").alias("_o"), F.col("_next").alias("_n2"), F.col("name").alias("_name2"), F.col("_steps").alias("_s2"))
+        d = d.join(other, F.col("_next") == F.col("_o"), "left").select("id", F.col("_n2").alias("_next"), F.coalesce("name", "_name2").alias("name"), (F.col("_steps") + F.coalesce("_s2", F.lit(0))).alias("_steps"))
         steps *= 2
-    return d.select("id", "name")
+    return d.select("id", F.when(F.col("_steps") <= depth, F.col("name")).alias("name"))
+
+
+def labelled_records(records: DataFrame, chain: DataFrame, *, cluster: str = "cluster") -> DataFrame:
+    """records plus set_name: the resolved name of their cluster, null where it has none. chain is of the clusters'
+    number and left to Spark's size estimate."""
+    names = resolved_labels(chain).select(F.col("id").alias("_cluster"), F.col("name").alias("set_name"))
+    return records.join(names, F.col(cluster).cast("string") == F.col("_cluster"), "left").drop("_cluster")

@@ -1,14 +1,38 @@
-"""Makes this package importable in Python workers wherever the session runs."""
+"""What a session needs: the package on its Python workers, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where none is set one is made for Spark in a single process (tests);
+    on a cluster that is an error, for a folder of one machine is not seen by the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tracklens-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder, so that loops do not nest their plans and a lost executor costs no
+    recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship_package(spark) -> None:
     """Adds the package to the session's Python files, once a Spark application."""
     context = spark.sparkContext

@@ -42,8 +42,10 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(records: DataFrame, *, order: str | None = None) -> DataFrame:
-    """Records keyed game:period:index, of which the last duplicate counts (by `order`, else by place in the input)."""
-    keyed = records.withColumn("key", F.concat_ws(":", "game_id", "period", "index")).withColumn("_o", F.col(order) if order else F.monotonically_increasing_id())
+    """Records keyed game:period:index, of which the last duplicate counts: by `order`, else by file name and place in
+    the file (records read from files)."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()) if order is None else F.col(order)
+    keyed = records.withColumn("_o", place).withColumn("key", F.concat_ws(":", "game_id", "period", "index"))
     return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_o")))).filter("_n = 1").drop("_n", "_o")
 
 
@@ -122,14 +124,15 @@ def parsed_plays(summaries: DataFrame, teams: DataFrame) -> DataFrame:
     return rows.join(teams.select("game_id", "team_id", "team"), ["game_id", "team_id"], "left").drop("team_id")
 
 
-def home_check(games: DataFrame, sides: DataFrame) -> DataFrame:
-    """(espn_id, check): whether the registry and the summary agree on who is at home; never an error."""
-    j = games.join(sides, F.col("espn_id") == F.col("game_id"), "left")
-    names = F.coalesce(F.lower("opponent"), F.lit(""))
-    at_home = F.lower("away").contains(names)
-    away = F.lower("home").contains(names)
-    known = F.col("home").isNotNull() & (names != "") & (at_home | away)
-    return j.select("espn_id", F.when(~F.coalesce(known, F.lit(False)), "unknown").when((F.col("home_flag") if "home_flag" in j.columns else at_home) == at_home, "ok").otherwise("mismatch").alias("check"))
+def home_check(games: DataFrame, teams: DataFrame, team: str) -> DataFrame:
+    """(espn_id, check) for every game of the registry: "ok" where its flag `home` agrees with the side on which the
+    summary (teams: game_id, side, team) has `team`, "mismatch" where not, "unknown" where the summary has no such side
+    or there is none; never an error."""
+    of_team = teams.filter(F.col("team") == team)
+    at_home = of_team.groupBy(F.col("game_id").alias("_game")).agg(F.max(F.col("side") == "home").alias("_at_home"))
+    j = games.join(at_home, F.col("espn_id") == F.col("_game"), "left")
+    known = F.col("_at_home").isNotNull() & F.col("home").isNotNull()
+    return j.select("espn_id", F.when(~known, "unknown").when(F.col("home") == F.col("_at_home"), "ok").otherwise("mismatch").alias("check"))
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -147,8 +150,36 @@ def save_labels(labels: DataFrame, path: str) -> None:
 
 
 def images_as_data_uris(spark: SparkSession, path: str) -> DataFrame:
-    """(path, uri) of the existing files of a glob."""
-    return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("data:image/png;base64,"), F.base64("content")).alias("uri"))
+    """(path, uri) of the existing files of a glob; the type is that of the file's name, PNG where it tells none."""
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    kind = F.when(ending.isin("jpg", "jpeg"), "jpeg").when(ending == "svg", "svg+xml").when(ending.isin("gif", "webp"), ending).otherwise("png")
+    return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64("content")).alias("uri"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table of reports, with a header."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def json_parsed(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """df with a column of JSON texts as structs; texts that do not fit give null fields."""
+    return df.withColumn(column, F.from_json(column, schema))
+
+
+def json_written(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.to_json(column))
+
+
+def chosen_games(games: DataFrame, *, only: list[str] | None = None, layouts: list[str] | None = None, split: str | None = None, limit: int = 0) -> DataFrame:
+    """Games of the registry by ids, layouts and split; the first `limit` by date and id (0: all)."""
+    for column, values in (("espn_id", only), ("layout", layouts), ("split", [split] if split else None)):
+        games = games.filter(F.col(column).isin(*values)) if values else games
+    return games.orderBy("date", "espn_id").limit(limit) if limit else games
+
+
+def cost_of(log: DataFrame, line: str = "line") -> DataFrame:
+    """log plus cost: the dollars that a line of a job's output states ("estimated cost: $6.99"), else null."""
+    return log.withColumn("cost", F.regexp_extract(line, r"(?i)cost[^$]*\$\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"))
 
 
 def corpus_of(spark: SparkSession, root: str, games: list[str], name: str, schema: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..plans.session import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str, schema, name: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
@@ -42,25 +43,65 @@ def first_seen(events: DataFrame, *, keys: list[str], ts: str = "ts") -> DataFra
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def latest_by_state(events: DataFrame, *, key: str, ts: str = "ts", value: str = "value") -> DataFrame:
-    """A stateful operator: for each key the count, the largest value and the last event time so far."""
+def latest_by_key(events: DataFrame, *, key: str, ts: str = "ts", value: str = "value") -> DataFrame:
+    """For each key the count, the largest value and the last event time so far: a built-in aggregate keeps the state."""
+    return events.groupBy(key).agg(F.count("*").alias("n"), F.max(value).alias("top"), F.max(ts).alias("last"))
+
+
+def runs_by_state(events: DataFrame, *, key: str, ts: str = "ts", label: str = "event_type") -> DataFrame:
+    """A stateful operator that aggregates cannot express: for each key how many runs of equal labels its events make,
+    in the order of time within a batch, the last label being carried to the next batch."""
 
     def update(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, top, last = state.get if state.exists else (0, float("-inf"), 0)
-        for b in batches:
-            n, top = n + len(b), max(top, float(b[value].max()))
-            last = max(last, int(b[ts].astype("int64").max()))
-        state.update((n, top, last))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "top": [top]})
+        runs, last = state.get if state.exists else (0, None)
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        labels = rows[label].tolist()
+        runs += sum(a != b for a, b in zip(labels, [last, *labels[:-1]], strict=True))
+        state.update((runs, labels[-1]))
+        yield pd.DataFrame({key: [k[0]], "runs": [runs]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, top double", "n long, top double, last long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, runs long", "runs long, last string", "update", GroupStateTimeout.NoTimeout)
+
+
+def clean_clock_stream(reads: DataFrame, *, key: str) -> DataFrame:
+    """Cleaned scoreboard reads (key, t, clock) as they come in: reads (key, t, clock) of a stream go through the clock's
+    rules with the last accepted reading carried from batch to batch. A read needs its neighbours, so the last of a
+    batch is held back until the next batch."""
+    from ..operators.states import clean_clock
+
+    def update(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, anchor = ([tuple(r) for r in state.get[0]], state.get[1:]) if state.exists else ([], (None, None))
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
+        reads_now = [*held, *zip(rows["t"].tolist(), rows["clock"].tolist(), strict=True)]
+        known = [(t, c) for t, c in [(anchor[0], anchor[1])] if t is not None]
+        options = [[] if c != c or c is None else [(c, None)] for _, c in [*known, *reads_now]]
+        cleaned = [c for c, _ in clean_clock([t for t, _ in [*known, *reads_now]], options)][len(known) :]
+        out = list(zip([t for t, _ in reads_now], cleaned, strict=True))[:-1]
+        accepted = [x for x in out if x[1] is not None]
+        state.update(([list(map(float, reads_now[-1]))], *(accepted[-1] if accepted else anchor)))
+        yield pd.DataFrame({key: [k[0]] * len(out), "t": [t for t, _ in out], "clock": [c for _, c in out]})
+
+    kind = dict(reads.dtypes)[key]
+    return reads.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, t double, clock double", "held array<array<double>>, t double, clock double", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(df: DataFrame, *, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what there is, into an in-memory table: for demonstrations and tests."""
+    """Runs a stream over what there is into a Parquet table of the shared folder, and reads it back.
+
+    In mode "complete" and "update" each batch is written to a folder of its own, and the rows have _batch: the newest
+    row of a key is that of the largest _batch.
+    """
     spark = df.sparkSession
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracklens-stream-")
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/stream-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{root}/rows")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/_batch={number}")  # again after a failure: the same folder
+
+    writer.foreachBatch(write).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _batch long").option("basePath", f"{root}/rows").parquet(f"{root}/rows/_batch=*")
+    return rows.filter(F.col("_batch") == rows.agg(F.max("_batch")).first()[0]).drop("_batch") if mode == "complete" else rows
