@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained, one on good and one on bad labelled text. A text that its own kind's
 dictionary compresses better than the other's shows where it belongs: the difference of the two compressed sizes, in
 bytes saved for each byte of text, becomes a probability through a logistic calibration. The difference is the only
-input of the score.
+input of the score. All chunks of a whole text are compressed apart, like those that the dictionaries were trained on:
+in one piece a long text would soon be compressed by what it said before, and the dictionaries would hardly differ.
 
 Dictionaries and calibration are fitted on bounded hashed samples of labelled rows (`per_class`, `calibration_rows`),
 disjoint from each other, of which whole texts are used; the dictionaries are trained in tasks. Every whole text is
@@ -50,7 +51,8 @@ def compressed_differences(texts, good: tuple[bytes, bool], bad: tuple[bytes, bo
     saved, size = np.zeros(len(texts)), np.zeros(len(texts))
     for i, text in enumerate(texts):
         data = text.encode("utf-8", "replace") if isinstance(text, str) else b""
-        saved[i], size[i] = len(second.compress(data)) - len(first.compress(data)), len(data)
+        chunks = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)] or [b""]
+        saved[i], size[i] = sum(len(second.compress(c)) - len(first.compress(c)) for c in chunks), len(data)
     return saved / (size + 1)
 
 
@@ -118,7 +120,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
 
 
 def _inputs(x: np.ndarray, mean: float, scale: float) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), np.arcsinh((x - mean) / scale * 2)])  # long tails count less
+    return np.column_stack([np.ones(len(x)), np.arcsinh((x - mean) / scale)])  # long tails count less
 
 
 def quality_scores(texts, model: QualityModel) -> np.ndarray:
