@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, bounded_batches, checkpointed, free_names, mix, word_lists, written
 
-BANDS, ROWS, BLOCK = 48, 7, 1024
+BANDS, ROWS, BLOCK, SALTS = 48, 7, 1024, 16
 
 
 def shingle_hashes(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,9 +292,15 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     if not more.isEmpty():
         classes = components(links.unionByName(more))
 
-    named = written(groups.select("_key", "_node", "_copies", "_one._id").join(classes.select(F.col("_id").alias("_end"), "_class"), F.col("_node") == F.col("_end"), "left").select("_key", "_copies", "_id", F.coalesce("_class", "_node").alias("_class")), "classes")
-    sizes = named.groupBy("_class").agg(F.sum("_copies").alias("_size"), F.min("_id").alias("_least"))
-    named = written(named.drop("_id").join(sizes, "_class"), "named")
+    ends = classes.select(F.col("_id").alias("_end"), "_class")
+    members = groups.select("_key", "_node", "_copies", "_one._id").join(ends, F.col("_node") == F.col("_end"), "left").withColumn("_linked", F.col("_class").isNotNull())
+    named = written(members.select("_key", "_node", "_copies", "_id", "_linked", F.coalesce("_class", "_node").alias("_class")), "classes")
+    # Only classes of several nodes need sums; each has SALTS copies, so that the nodes of a large class meet its sums in
+    # many tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    sizes = named.filter("_linked").groupBy("_class").agg(F.sum("_copies").alias("_size"), F.min("_id").alias("_least")).select("*", salts)
+    salted = named.withColumn("_salt", F.pmod(F.xxhash64("_node"), F.lit(SALTS)).cast("int")).join(sizes, ["_class", "_salt"], "left")
+    named = written(salted.select("_key", "_class", "_copies", F.coalesce("_size", "_copies").alias("_size"), F.coalesce("_least", "_id").alias("_least")), "named")
     rows_out = signed.select("_id", "_hash", "_key").join(named, "_key", "left")
     known_id = F.col("_id").isNotNull()
     return rows_out.select(
