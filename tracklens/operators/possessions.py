@@ -65,24 +65,30 @@ def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *
     names: (game, home, away, home_cluster), the cluster that plays at home. points: a row a track and frame with the
     team, jersey and name that the track got; tracks shorter than 1.5 s are left out.
     """
-    proj = projected(frames).persist()  # the fits are read by five branches
-    on_court = detections_on_court(proj)
-    states = frame_states(on_court).persist()
-    segs = possession_segments(states, fps=fps).withColumnRenamed("segment", "possession").persist()
+    proj = checkpointed(projected(frames))  # the fits are read by five branches; so are the tables below
+    on_court = checkpointed(detections_on_court(proj))
+    states = checkpointed(frame_states(on_court))
+    segs = possession_segments(states, fps=fps).withColumnRenamed("segment", "possession")
+    segs = checkpointed(segs)
     grid = overlapping(states.withColumn("_t2", F.col("t")), segs.select("game", "possession", "t_lo", "t_hi"), keys=["game"], left_range=("t", "_t2"), right_range=("t_lo", "t_hi"), width=60.0)
     grid = grid.withColumn("frame", F.row_number().over(Window.partitionBy("game", "possession").orderBy("t")).cast("long")).select("game", "possession", "t", "frame")
+    grid = checkpointed(grid)
 
     d = on_court.join(grid, ["game", "t"])
     clusters = first_seen_majority(on_court, ["game", "track"], "cluster", "t_ms").select("game", "track", F.col("cluster").alias("_c"))
     d = d.join(clusters, ["game", "track"], "left").withColumn("cluster", F.col("_c")).drop("_c").withColumnRenamed("track", "member").dropDuplicates(["game", "possession", "member", "frame"])
-    members = stitch_tracks(d.withColumn("track", F.col("member")), keys=["game", "possession"], fps=fps)
+    d = checkpointed(d)
+    members = checkpointed(stitch_tracks(d.withColumn("track", F.col("member")), keys=["game", "possession"], fps=fps))
     d = d.join(members, ["game", "possession", "member"])
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("game", "possession", "track", "frame").orderBy("ord"))).filter("_n = 1").drop("_n")
+    d = checkpointed(d)
     tracks = d.groupBy("game", "possession", "track").agg(F.count("*").alias("length"), F.first("cluster", True).alias("cluster"), F.min("t").alias("t_lo"), F.max("t").alias("t_hi")).filter(F.col("length") >= max(2, int(LEAST_TRACK_S * fps)))
 
     whole = tracks.select("game", "possession", "track").join(grid, ["game", "possession"]).join(d.select("game", "possession", "track", "frame", "x", "y", "bbox"), ["game", "possession", "track", "frame"], "left")
+    whole = checkpointed(whole)
     paths = clean_paths(whole, keys=["game", "possession", "track"])
     seen = whole.filter("x is not null").select("game", "possession", "track", "frame", "t", "bbox").join(paths, ["game", "possession", "track", "frame"])
+    seen = checkpointed(seen)
 
     votes = track_numbers(proj, rosters, names).join(members, ["game", "member"]).groupBy("game", "possession", "track").agg(*[F.sum(F.coalesce(f"{s}_votes", F.lit(0))).alias(f"{s}_votes") for s in ("home", "away")], *[F.max_by(f"{s}_jersey", f"{s}_votes").alias(f"{s}_jersey") for s in ("home", "away")])
     t = tracks.join(votes, ["game", "possession", "track"], "left").join(names, "game").fillna(0, ["home_votes", "away_votes"])
@@ -91,7 +97,7 @@ def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *
     at_home = F.col("team") == F.col("home")
     t = t.withColumn("jersey", F.when(at_home, F.col("home_jersey")).when(F.col("team") == F.col("away"), F.col("away_jersey"))).withColumn("votes", F.when(at_home, F.col("home_votes")).otherwise(F.col("away_votes")))
     t = t.join(resolve_conflicts(t, keys=["game", "possession"]), ["game", "possession", "track"]).withColumn("jersey", F.when(F.col("keeps"), F.col("jersey")))
-    t = t.join(rosters.select("game", "team", "jersey", "name"), ["game", "team", "jersey"], "left")
+    t = checkpointed(t.join(rosters.select("game", "team", "jersey", "name"), ["game", "team", "jersey"], "left"))
     rows = seen.join(t.select("game", "possession", "track", "team", "name", "length"), ["game", "possession", "track"]).withColumn("named", F.col("name").isNotNull())
     capped = capped_team(rows, keys=["game", "possession"]).filter("demoted").select("game", "possession", "track", "demoted")
     t = t.join(capped, ["game", "possession", "track"], "left").withColumn("team", F.when(F.col("demoted").isNull(), F.col("team")))
