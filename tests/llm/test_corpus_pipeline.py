@@ -20,7 +20,10 @@ def test_pipeline(spark, sf_dir):
     assert docs.select("doc_id").distinct().count() == counts[4]
     pieces = C.STAGES[-1][1](spark, docs, sf_dir)
     assert pieces.select("doc_id").distinct().count() == counts[4]
+    before = set(C.written_tables(spark))
     assert C.run(spark, sf_dir).count() == pieces.count()
+    left = [path.rsplit("/", 1)[-1].rsplit("-", 1)[0] for path in C.written_tables(spark) if path not in before]
+    assert sorted(left) == ["tracklens-near-duplicates", "tracklens-tokens"]  # what the last stage still reads
     assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
 
 

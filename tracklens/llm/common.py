@@ -50,13 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_written(spark: SparkSession) -> None:
-    """Deletes the tables that written() left in the shared folder; call it when no result is needed any more."""
+def written_tables(spark: SparkSession) -> list[str]:
+    """The tables that written() has left in the shared folder so far."""
+    return [path for session, path in _written if session is spark]
+
+
+def delete_written(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such tables; for those that no result still to be read depends on."""
     jvm = spark.sparkContext._jvm
-    for session, path in [x for x in _written if x[0] is spark]:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _written.remove((session, path))
+        _written.remove((spark, path))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
