@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import written
+from tracklens.llm.common import delete_written, written, written_tables
 from tracklens.llm.linedup import drop_repeated_lines
 from tracklens.llm.packing import ids_crc32, packed
 from tracklens.llm.probminhash import one_of_each_class
@@ -59,9 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has left in the shared folder goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    older = set(written_tables(spark))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            needed_no_more = [path for path in written_tables(spark) if path not in older]
             docs = written(docs, name.replace(" ", "-"))
+            delete_written(spark, needed_no_more)
     return docs
