@@ -11,6 +11,7 @@ from .common import fold_of, read_table
 from .licenses import document_licences, fit_licences
 from .linedup import drop_repeated_lines
 from .packing import ids_crc32, packed
+from .phrases import collocations
 from .probminhash import near_duplicates
 from .quality import fit_quality, quality_score
 from .sentencepiece import PieceModel, encoded
@@ -84,10 +85,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read_table(spark, sf_dir, "documents"), counts=("lines", "removed")).select("doc_id", "lines", "removed", "text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_quality, op2_sharding, op3_sentencepiece, op4_packing, op5_toxicity, op6_licences, op7_exact_top_k, op8_nearest_neighbours, op9_near_duplicates, op10_line_dedup)
+    found = (op1_quality, op2_sharding, op3_sentencepiece, op4_packing, op5_toxicity, op6_licences, op7_exact_top_k, op8_nearest_neighbours, op9_near_duplicates, op10_line_dedup, op11_collocations)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -118,4 +123,27 @@ gone AS (SELECT doc_id, h, list(p) AS ps FROM covered GROUP BY doc_id, h)
 SELECT r.doc_id, CAST(CASE WHEN r.text IS NULL THEN 0 ELSE len(ls) END AS INT) AS lines, CAST(coalesce(len(ps), 0) AS INT) AS removed,
   CASE WHEN ps IS NULL THEN r.text ELSE coalesce(array_to_string([ls[i + 1] FOR i IN range(0, len(ls)) IF NOT list_contains(ps, i)], chr(10)), '') END AS text
 FROM rows r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.h = g.h""",
+        "op11_collocations": """
+WITH words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL)
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM words
+), counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 10),
+sizes AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+cuts AS (SELECT lang, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS lp, array_to_string(w[c + 1:], ' ') AS rp FROM candidates, (VALUES (1), (2)) AS t(c) WHERE c < k),
+scored AS (
+  SELECT x.lang, x.phrase, a, c, p.f AS l, q.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
+  FROM cuts x JOIN counts p ON p.lang = x.lang AND p.phrase = x.lp JOIN counts q ON q.lang = x.lang AND q.phrase = x.rp
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (SELECT lang, part, max(f) AS f FROM (SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE k = 3) GROUP BY lang, part),
+ranked AS (
+  SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * a
+)
+SELECT x.lang, rank, phrase, a, l, r, n, score FROM ranked x JOIN sizes s ON s.lang = x.lang WHERE rank <= 2000""",
     }
