@@ -4,10 +4,13 @@ Texts are taken as UTF-8 bytes, a segment of about a megabyte at a time. A prefi
 word's hash, a prefix polynomial over the words' hashes every n-gram's, each as one difference and one product; there
 is no loop over words. Two such polynomials, of other bases and tables, give a fingerprint and a check.
 
-A task adds up its fingerprints and emits (fingerprint, count, pointer): the pointer is the row and the word at which the
-n-gram stands, so no text is shuffled. A shuffle adds the tasks' rows. Fingerprints whose checks differ are collisions:
-their occurrences are looked up in the texts, phrase by phrase. Only n-grams that are frequent are ever turned into text,
-from their pointers, and the scores of phrases are then joins and windows over these.
+An n-gram can only be frequent if both (n - 1)-grams in it are. So the texts are read once for each length: words are
+counted first, as (fingerprint, count), then the pairs of frequent words, and so on; which fingerprints are frequent is
+told to the tasks as a bitmap of fixed size (where it fills up, more n-grams are counted than need be, and nothing is
+lost). The last reading adds a pointer to each of the frequent fingerprints' counts, the row and the word at which the
+n-gram stands, so no text is shuffled. Fingerprints whose checks differ are collisions: their occurrences are looked up
+in the texts, phrase by phrase. Only frequent n-grams are ever turned into text, from their pointers; scores are then
+joins and windows over these.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, written
 
-SEGMENT, PENDING = 1 << 20, 3_000_000
+SEGMENT, PENDING = 1 << 20, 1_000_000
+BITMAP = 1 << 27  # bits: 16 MB, broadcast
 NO_LANG = "und"
 #: The bytes that end a piece, and the blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -108,16 +112,18 @@ def _segments(raw: bytes, longest: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 class _Counter:
-    """Sums by fingerprint and check within a task, with the first pointer of each; given out when it is full."""
+    """Sums by fingerprint (and check) within a task, with the first of each one's other columns; parts are arrays
+    (fingerprint, check, others, count)."""
 
     def __init__(self):
-        self.parts, self.rows = [], 0
+        self.parts, self.rows, self.least = [], 0, PENDING
 
     def add(self, part: tuple[np.ndarray, ...]) -> None:
         self.parts.append(part)
         self.rows += len(part[0])
-        if self.rows > PENDING and len(self.parts) > 1:
+        if self.rows > self.least:
             self._merge()
+            self.least = max(PENDING, 2 * self.rows)
 
     def _merge(self) -> None:
         fp, check, *rest, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
@@ -135,74 +141,148 @@ class _Counter:
         return self.rows > PENDING
 
     def take(self) -> tuple[np.ndarray, ...] | None:
-        if not self.parts:
+        if not self.rows:
             return None
         self._merge()
-        (out,), self.parts, self.rows = self.parts, [], 0
+        (out,), self.parts, self.rows, self.least = self.parts, [], 0, PENDING
         return out
 
 
-_PARTS = "_fp long, _check long, _n byte, _lang string, _key long, _pos long, _count long"
-
-
-def _counted(rows: DataFrame, longest: int, bits: int) -> DataFrame:
-    """The tasks' sums of all n-grams of rows (_key, _lang, _text)."""
-    keep = np.uint64((1 << bits) - 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, names = _Counter(), {}
-
-        def out():
-            found = sums.take()
-            if found is None:
-                return
-            fp, check, n, lang, key, pos, total = found
-            langs = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
-            whole = pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), langs, pa.array(key), pa.array(pos), pa.array(total)], _PARTS.replace(",", "").split()[::2])
-            for i in range(0, whole.num_rows, 100_000):
-                yield whole.slice(i, 100_000)
-
-        def hash_segment(raws: list[bytes], keys: list[int], langs: list[int], before: list[int], own: list[int]) -> None:
-            low, start, end, piece = _words(b"\n".join(raws))
-            if not len(start):
-                return
-            lengths = np.array([len(r) for r in raws])
-            doc = np.searchsorted(np.cumsum(lengths + 1), start, side="right")
-            first = np.searchsorted(doc, np.arange(len(raws)))
-            place = np.arange(len(start)) - first[doc]
-            limit = np.array(own)[doc]
-            key, lang, pos = np.array(keys, np.int64)[doc], np.array(langs, np.int32)[doc], place + np.array(before, np.int64)[doc]
-            tag = _tags(names)[lang]
-            lanes = [(_fingerprints(low, start, end, k), _lane(k)[2]) for k in (0, 1)]
-            for n in range(1, longest + 1):
-                i = np.arange(len(start) - n + 1)
-                i = i[(piece[i] == piece[i + n - 1]) & (doc[i] == doc[i + n - 1]) & ((limit[i] < 0) | (place[i] < limit[i]))]
-                if len(i):
-                    fp, check = (mix(_spans(w, base, i, i + n) + tag[i] + np.uint64(n)) for w, base in lanes)
-                    one = _Counter()
-                    one.add((fp & keep, check, np.full(len(i), n, np.int8), lang[i], key[i], pos[i], np.ones(len(i), np.int64)))
-                    sums.add(one.take())
-
+class _Grams:
+    """The n-grams of a segment that holds several texts' bytes."""
+
+    def __init__(self, raws: list[bytes], keys: list[int], langs: list[int], before: list[int], own: list[int], tags: np.ndarray):
+        self.low, self.start, self.end, self.piece = _words(b"\n".join(raws))
+        ends = np.cumsum(np.array([len(r) + 1 for r in raws]))
+        doc = np.searchsorted(ends, self.start, side="right")
+        place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(raws)))[doc]
+        limit = np.array(own)[doc]
+        self.mine = (limit < 0) | (place < limit)
+        self.key, self.lang, self.pos = np.array(keys, np.int64)[doc], np.array(langs, np.int32)[doc], place + np.array(before, np.int64)[doc]
+        self.tag, self.lanes = tags[self.lang], {}
+
+    def hashes(self, n: int, at: np.ndarray, lane: int = 0) -> np.ndarray:
+        if lane not in self.lanes:
+            self.lanes[lane] = _fingerprints(self.low, self.start, self.end, lane)
+        return mix(_spans(self.lanes[lane], _lane(lane)[2], at, at + n) + self.tag[at] + np.uint64(n))
+
+    def whole(self, n: int) -> np.ndarray:
+        """The words at which an n-gram within a piece starts. (The byte between two texts ends a piece.)"""
+        at = np.arange(len(self.start) - n + 1)
+        return at[self.piece[at] == self.piece[at + n - 1]]
+
+    def frequent(self, n: int, bitmaps: list[np.ndarray], keep: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, fingerprints) of the n-grams whose parts of each shorter length with a bitmap are all marked in it,
+        and who are marked themselves if there is one for n."""
+        at, fp = self.whole(n), None
+        for m in range(1, min(n, len(bitmaps)) + 1):
+            fp = self.hashes(m, at) & keep
+            good = _marked(fp, bitmaps[m - 1])
+            for skip in range(1, n - m + 1):
+                good[good] = _marked(self.hashes(m, at[good] + skip) & keep, bitmaps[m - 1])
+            at, fp = at[good], fp[good]
+        return at, fp if n <= len(bitmaps) else self.hashes(n, at) & keep
+
+
+def _marked(fp: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = fp & np.uint64(BITMAP - 1)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def _bitmap(fingerprints: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP bits, those of the column _fp marked. Its size is fixed: it goes through the driver."""
+    place = F.col("_fp").bitwiseAND(BITMAP - 1) + 1
+    pages = fingerprints.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((BITMAP // 8 // 4096, 4096), np.uint8)
+    for r in pages.toLocalIterator():
+        out[r["page"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _read(rows: DataFrame, longest: int, work, schema: str) -> DataFrame:
+    """work(grams, names) -> None for each segment of rows (_key, _lang, _text), and work(None, names) at the end or
+    after any segment gives what it has for the output: a list of record batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, step = {}, work()
+        waiting, size = [[], [], [], [], []], 0
         for batch in batches:
-            waiting, size = [[], [], [], [], []], 0
             for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = names.setdefault(lang, len(names))
                 for before, own, raw in _segments(text.encode(), longest):
                     for column, x in zip(waiting, (raw, key, at, before, own), strict=True):
                         column.append(x)
-                    size += len(raw)
+                    size += len(raw) + 1
                     if size >= SEGMENT:
-                        hash_segment(*waiting)
+                        yield from step(_Grams(*waiting, _tags(names)), names)
                         waiting, size = [[], [], [], [], []], 0
-                        if sums.full():
-                            yield from out()
-            if size:
-                hash_segment(*waiting)
-                if sums.full():
-                    yield from out()
-        yield from out()
+        if size:
+            yield from step(_Grams(*waiting, _tags(names)), names)
+        yield from step(None, names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _slices(columns: dict) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict(columns)
+    for i in range(0, whole.num_rows, 100_000):
+        yield whole.slice(i, 100_000)
+
+
+def _counts(rows: DataFrame, n: int, longest: int, bitmaps, keep: int) -> DataFrame:
+    """(_fp, _count, _lang): the tasks' counts of the n-grams whose shorter parts are frequent; rows with a language
+    and no fingerprint count its words."""
+
+    def work():
+        sums, words = _Counter(), {}
+
+        def step(grams: _Grams | None, names: dict):
+            if grams is not None:
+                at, fp = grams.frequent(n, [b.value for b in bitmaps], np.uint64(keep))
+                mine = grams.mine[at]
+                one = _Counter()
+                fp = fp[mine]
+                one.add((fp, np.zeros(len(fp), np.int8), np.ones(len(fp), np.int64)))
+                if n == 1:
+                    for lang, count in zip(*np.unique(grams.lang[at[mine]], return_counts=True), strict=True):
+                        words[int(lang)] = words.get(int(lang), 0) + int(count)
+                if len(fp):
+                    sums.add(one.take())
+            if (grams is None or sums.full()) and (found := sums.take()) is not None:
+                yield from _slices({"_fp": found[0].view(np.int64), "_count": found[2], "_lang": pa.nulls(len(found[0]), pa.string())})
+            if grams is None and words:
+                langs = list(names)
+                yield from _slices({"_fp": pa.nulls(len(words), pa.int64()), "_count": list(words.values()), "_lang": [langs[i] for i in words]})
+
+        return step
+
+    return _read(rows, longest, work, "_fp long, _count long, _lang string")
+
+
+def _pointed(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
+    """(_fp, _check, _n, _key, _pos, _count): the tasks' counts of the n-grams of all lengths that can be frequent,
+    each with one place where it stands."""
+
+    def work():
+        sums = _Counter()
+
+        def step(grams: _Grams | None, names: dict):
+            if grams is not None:
+                for n in range(1, longest + 1):
+                    at, fp = grams.frequent(n, [b.value for b in bitmaps], np.uint64(keep))
+                    mine = grams.mine[at]
+                    at, fp = at[mine], fp[mine]
+                    if len(at):
+                        one = _Counter()
+                        one.add((fp, grams.hashes(n, at, 1), np.full(len(at), n, np.int8), grams.key[at], grams.pos[at], np.ones(len(at), np.int64)))
+                        sums.add(one.take())
+            if (grams is None or sums.full()) and (found := sums.take()) is not None:
+                fp, check, lengths, key, pos, count = found
+                yield from _slices({"_fp": fp.view(np.int64), "_check": check.view(np.int64), "_n": lengths, "_key": key, "_pos": pos, "_count": count})
+
+        return step
 
-    return rows.mapInArrow(count, _PARTS)
+    return _read(rows, longest, work, "_fp long, _check long, _n byte, _key long, _pos long, _count long")
 
 
 def _tags(names: dict[str, int]) -> np.ndarray:
@@ -217,19 +297,20 @@ def _phrases_at(pointers: DataFrame, rows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, at, phrases = batch["_at"], [], []
-            for text, found in zip(batch["_text"].to_pylist(), lists.to_pylist(), strict=True):
+            lists, phrases, langs = batch["_at"], [], []
+            for lang, text, found in zip(batch["_lang"].to_pylist(), batch["_text"].to_pylist(), lists.to_pylist(), strict=True):
                 words, piece = words_of(text)
                 for p in found:
                     i, n = p["_pos"], p["_n"]
                     fine = i + n <= len(words) and piece[i] == piece[i + n - 1]
                     phrases.append(b" ".join(words[i : i + n]).decode() if fine else None)
+                langs += [lang] * len(found)
             flat = lists.flatten()
             at = [flat.field(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*at, pa.array(phrases, pa.string())], [*rest, "phrase"])
+            yield pa.RecordBatch.from_arrays([*at, pa.array(langs, pa.string()), pa.array(phrases, pa.string())], [*rest, "_lang", "phrase"])
 
     schema = ", ".join(f"{c} {pointers.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.join(wanted, "_key").select("_text", "_at").mapInArrow(cut, f"{schema}, phrase string").filter(F.col("phrase").isNotNull())
+    return rows.join(wanted, "_key").select("_lang", "_text", "_at").mapInArrow(cut, f"{schema}, _lang string, phrase string").filter(F.col("phrase").isNotNull())
 
 
 def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -245,19 +326,26 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
     lang = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
     text = F.col(text_col)
     rows = documents.filter(text.isNotNull()).select(F.xxhash64(F.col(id_col), lang, text).alias("_key"), lang.alias("_lang"), text.alias("_text"))
-    parts = written(_counted(rows, longest, bits), "phrase-counts")
-    sums = parts.groupBy("_fp").agg(
-        F.sum("_count").alias("f"), F.min("_check").alias("_low"), F.max("_check").alias("_high"), F.min(F.struct("_key", "_pos", "_n", "_lang")).alias("_first"),
-    ).filter(F.col("f") >= least)
-    sums = written(sums, "phrase-sums")
-    alone = sums.filter("_low = _high").select("_first.*", "f")
+    keep, bitmaps, sizes = (1 << bits) - 1, [], None
+    for n in range(1, longest):
+        counts = _counts(rows, n, longest, list(bitmaps), keep)
+        if n == 1:
+            counts = written(counts, "word-counts")
+            sizes = counts.filter("_fp is null").groupBy(F.col("_lang").alias("lang")).agg(F.sum("_count").alias("n"))
+            counts = counts.filter("_fp is not null")
+        often = counts.groupBy("_fp").agg(F.sum("_count").alias("f")).filter(F.col("f") >= least)
+        bitmaps.append(documents.sparkSession.sparkContext.broadcast(_bitmap(often)))
+    parts = written(_pointed(rows, longest, bitmaps, keep), "phrase-counts")
+    first = [F.min("_key").alias("_at"), F.min_by("_pos", "_key").alias("_pos"), F.min_by("_n", "_key").alias("_n")]
+    sums = parts.groupBy("_fp").agg(F.sum("_count").alias("f"), F.min("_check").alias("_low"), F.max("_check").alias("_high"), *first)
+    sums = written(sums.filter(F.col("f") >= least), "phrase-sums")
+    alone = sums.filter("_low = _high").select("_at", "_pos", "_n", "f")
     # Where checks differ, several phrases share the fingerprint: each is counted by its own check and read in the texts.
-    apart = parts.join(sums.filter("_low <> _high").select("_fp"), "_fp", "left_semi").groupBy("_fp", "_check").agg(F.sum("_count").alias("f"), F.min(F.struct("_key", "_pos", "_n", "_lang")).alias("_first"))
-    pointers = alone.unionByName(apart.filter(F.col("f") >= least).select("_first.*", "f"))
-    found = _phrases_at(pointers, rows).distinct()  # rows of equal key
-    found = found.groupBy("_lang", "_n", "phrase").agg(F.sum("f").alias("f"))
-    counts = parts.filter("_n = 1").groupBy("_lang").agg(F.sum("_count").alias("n"))
-    return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), counts.select(F.col("_lang").alias("lang"), "n")
+    apart = parts.join(sums.filter("_low <> _high").select("_fp"), "_fp", "left_semi").groupBy("_fp", "_check").agg(F.sum("_count").alias("f"), *first)
+    pointers = alone.unionByName(apart.filter(F.col("f") >= least).select("_at", "_pos", "_n", "f"))
+    # A phrase has one pointer, which leads to one row or to rows that repeat it.
+    found = _phrases_at(pointers.withColumnRenamed("_at", "_key"), rows).groupBy("_lang", "_n", "phrase").agg(F.max("f").alias("f"))
+    return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), sizes
 
 
 def collocations(documents: DataFrame, *, least: int = 10, longest: int = 3, top: int = 2000, share: int = 50, **columns) -> DataFrame:
