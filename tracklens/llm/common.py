@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens.plans.session import checkpointed, shared_folder  # noqa: F401  for the operators
+
 WORD = regex.compile(r"\w+")
 #: An odd 64-bit multiplier (the golden ratio), for rolling and mixing hashes.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -19,29 +19,6 @@ BATCH = 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Only where none is set and Spark runs in one process a temporary folder is made and set; on a cluster that is an
-    error, for a folder of one machine is not seen by the others.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tracklens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like checkpointed(), as compressed Parquet: for wide rows that are read more than once."""
     path = f"{shared_folder(df.sparkSession)}/tracklens-{name}-{uuid.uuid4().hex}"
@@ -64,6 +41,13 @@ def delete_written(spark: SparkSession, paths: list[str]) -> None:
         _written.remove((spark, path))
 
 
+def delete_table(spark: SparkSession, table: str, path: str) -> None:
+    """Drops a table of the session's catalogue together with its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that df has no columns of (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -18,6 +18,7 @@ from .sentencepiece import PieceModel, encoded
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, toxicity_score
 from .vafile import exact_top_k
+from .vakmeans import centroid_clusters
 
 
 def quality_model(spark: SparkSession, sf_dir: str):
@@ -89,10 +90,32 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain k-means in SQL: a common table expression for each round."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS i, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) AS INT) - 1 AS cluster, v AS c FROM kept QUALIFY cluster < {k})",
+    ]
+    near = "SELECT i, vec_id, v, cluster, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(v, c)])::BIGINT AS distance FROM kept, c{n} QUALIFY row_number() OVER (PARTITION BY i ORDER BY distance, cluster) = 1"
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near.format(n=n)})")
+        means = "SELECT cluster, list(m ORDER BY d) AS c FROM (SELECT cluster, d, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS d FROM a{n}) GROUP BY cluster, d) GROUP BY cluster"
+        steps.append(f"m{n} AS ({means.format(n=n)})")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m ON m.cluster = o.cluster)")
+    steps.append(f"last AS MATERIALIZED ({near.format(n=rounds)})")
+    steps.append(f"about AS (SELECT cluster, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, l.cluster, distance, CAST(sum(distance) OVER (PARTITION BY l.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM last l JOIN about a ON a.cluster = l.cluster"
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_quality, op2_sharding, op3_sentencepiece, op4_packing, op5_toxicity, op6_licences, op7_exact_top_k, op8_nearest_neighbours, op9_near_duplicates, op10_line_dedup, op11_collocations)
+    found = (op1_quality, op2_sharding, op3_sentencepiece, op4_packing, op5_toxicity, op6_licences, op7_exact_top_k, op8_nearest_neighbours, op9_near_duplicates, op10_line_dedup, op11_collocations, op13_centroid_clusters)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -146,4 +169,5 @@ ranked AS (
   FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * a
 )
 SELECT x.lang, rank, phrase, a, l, r, n, score FROM ranked x JOIN sizes s ON s.lang = x.lang WHERE rank <= 2000""",
+        "op13_centroid_clusters": _kmeans_sql(),
     }
