@@ -8,8 +8,8 @@ An n-gram can only be frequent if both (n - 1)-grams in it are. So the texts are
 counted first, as (fingerprint, count), then the pairs of frequent words, and so on; which fingerprints are frequent is
 told to the tasks as a bitmap of fixed size (where it fills up, more n-grams are counted than need be, and nothing is
 lost). The last reading adds a pointer to each of the frequent fingerprints' counts, the row and the word at which the
-n-gram stands, so no text is shuffled. Fingerprints whose checks differ are collisions: their occurrences are looked up
-in the texts, phrase by phrase. Only frequent n-grams are ever turned into text, from their pointers; scores are then
+n-gram stands, so no n-gram is shuffled as text. A fingerprint with several checks is a collision: its phrases are kept
+apart and each is looked up in the texts, where phrases are told apart at last. Only frequent n-grams are ever turned into text, from their pointers; scores are then
 joins and windows over these.
 """
 
@@ -190,13 +190,13 @@ def _marked(fp: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(fingerprints: DataFrame) -> np.ndarray:
-    """A bitmap of BITMAP bits, those of the column _fp marked. Its size is fixed: it goes through the driver."""
-    place = F.col("_fp").bitwiseAND(BITMAP - 1) + 1
-    pages = fingerprints.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros((BITMAP // 8 // 4096, 4096), np.uint8)
-    for r in pages.toLocalIterator():
-        out[r["page"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+    """A bitmap of BITMAP bits, those of the column _fp marked. Its size is fixed, and so is what the driver gets: a
+    row for each 64 bits at most."""
+    bit = F.col("_fp").bitwiseAND(BITMAP - 1)
+    words = fingerprints.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_fp & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITMAP // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _read(rows: DataFrame, longest: int, work, schema: str) -> DataFrame:
@@ -335,14 +335,10 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
             counts = counts.filter("_fp is not null")
         often = counts.groupBy("_fp").agg(F.sum("_count").alias("f")).filter(F.col("f") >= least)
         bitmaps.append(documents.sparkSession.sparkContext.broadcast(_bitmap(often)))
-    parts = written(_pointed(rows, longest, bitmaps, keep), "phrase-counts")
-    first = [F.min("_key").alias("_at"), F.min_by("_pos", "_key").alias("_pos"), F.min_by("_n", "_key").alias("_n")]
-    sums = parts.groupBy("_fp").agg(F.sum("_count").alias("f"), F.min("_check").alias("_low"), F.max("_check").alias("_high"), *first)
-    sums = written(sums.filter(F.col("f") >= least), "phrase-sums")
-    alone = sums.filter("_low = _high").select("_at", "_pos", "_n", "f")
-    # Where checks differ, several phrases share the fingerprint: each is counted by its own check and read in the texts.
-    apart = parts.join(sums.filter("_low <> _high").select("_fp"), "_fp", "left_semi").groupBy("_fp", "_check").agg(F.sum("_count").alias("f"), *first)
-    pointers = alone.unionByName(apart.filter(F.col("f") >= least).select("_at", "_pos", "_n", "f"))
+    # Phrases that share a fingerprint but not the check are kept apart, and each is read in the texts.
+    parts = _pointed(rows, longest, bitmaps, keep)
+    sums = parts.groupBy("_fp", "_check").agg(F.sum("_count").alias("f"), F.min("_key").alias("_at"), F.min_by("_pos", "_key").alias("_pos"), F.min_by("_n", "_key").alias("_n"))
+    pointers = sums.filter(F.col("f") >= least).select("_at", "_pos", "_n", "f")
     # A phrase has one pointer, which leads to one row or to rows that repeat it.
     found = _phrases_at(pointers.withColumnRenamed("_at", "_key"), rows).groupBy("_lang", "_n", "phrase").agg(F.max("f").alias("f"))
     return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), sizes
