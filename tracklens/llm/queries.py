@@ -12,6 +12,7 @@ from .licenses import document_licences, fit_licences
 from .linedup import drop_repeated_lines
 from .packing import ids_crc32, packed
 from .phrases import collocations
+from .pii import KINDS, fit_field, with_personal_data
 from .probminhash import near_duplicates
 from .quality import fit_quality, quality_score
 from .sentencepiece import PieceModel, encoded
@@ -90,6 +91,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the base spans; `spans` has the field's as well."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = with_personal_data(documents, fit_field(documents)).drop("text")
+    base = F.filter("spans", lambda s: ~s["added"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    added = F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(read_table(spark, sf_dir, "embeddings"))
 
@@ -115,7 +127,7 @@ def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_quality, op2_sharding, op3_sentencepiece, op4_packing, op5_toxicity, op6_licences, op7_exact_top_k, op8_nearest_neighbours, op9_near_duplicates, op10_line_dedup, op11_collocations, op13_centroid_clusters)
+    found = (op1_quality, op2_sharding, op3_sentencepiece, op4_packing, op5_toxicity, op6_licences, op7_exact_top_k, op8_nearest_neighbours, op9_near_duplicates, op10_line_dedup, op11_collocations, op12_personal_data, op13_centroid_clusters)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
