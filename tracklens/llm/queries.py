@@ -97,9 +97,9 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_personal_data(documents, fit_field(documents)).drop("text")
     base = F.filter("spans", lambda s: ~s["added"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     added = F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
-    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+    return rows.select("doc_id", *map(of_kind, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
 
 
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
