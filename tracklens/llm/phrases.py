@@ -344,6 +344,11 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
     return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), sizes
 
 
+def score_of(a: str, l: str, r: str) -> Column:
+    """floor(1000000 * a * a / (l * r)) of three columns, in exact decimals of 38 digits."""
+    return F.expr(f"1000000 * cast({a} as decimal(15,0)) * cast({a} as decimal(15,0)) div (cast({l} as decimal(19,0)) * cast({r} as decimal(19,0)))")
+
+
 def collocations(documents: DataFrame, *, least: int = 10, longest: int = 3, top: int = 2000, share: int = 50, **columns) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of 2 to `longest` words of each language.
 
@@ -361,8 +366,7 @@ def collocations(documents: DataFrame, *, least: int = 10, longest: int = 3, top
     cut = cut.select("lang", "phrase", F.col("f").alias("a"), "_k", left.alias("_left"), right.alias("_right"))
     count_of = lambda part, name: found.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
     cut = cut.join(count_of("_left", "l"), ["lang", "_left"]).join(count_of("_right", "r"), ["lang", "_right"])
-    score = F.expr("1000000 * cast(a as decimal(15,0)) * cast(a as decimal(15,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    scored = cut.withColumn("score", score)
+    scored = cut.withColumn("score", score_of("a", "l", "r"))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "_k", "a", "l", "r")).alias("_best")).select("lang", "phrase", "_best.score", "_best.a", "_best.l", "_best.r")
     # What stands inside a longer candidate: its runs of words, each with the largest count of a longer one.
     inside = candidates.filter("words > 2").withColumn("_m", F.explode(F.sequence(F.lit(2), F.col("words") - 1))).withColumn("_s", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("_m") + 1)))
