@@ -4,13 +4,14 @@ Texts are taken as UTF-8 bytes, a segment of about a megabyte at a time. A prefi
 word's hash, a prefix polynomial over the words' hashes every n-gram's, each as one difference and one product; there
 is no loop over words. Two such polynomials, of other bases and tables, give a fingerprint and a check.
 
-An n-gram can only be frequent if both (n - 1)-grams in it are. So the texts are read once for each length: words are
-counted first, as (fingerprint, count), then the pairs of frequent words, and so on; which fingerprints are frequent is
-told to the tasks as a bitmap of fixed size (where it fills up, more n-grams are counted than need be, and nothing is
-lost). The last reading adds a pointer to each of the frequent fingerprints' counts, the row and the word at which the
-n-gram stands, so no n-gram is shuffled as text. A fingerprint with several checks is a collision: its phrases are kept
-apart and each is looked up in the texts, where phrases are told apart at last. Only frequent n-grams are ever turned into text, from their pointers; scores are then
-joins and windows over these.
+An n-gram can only be frequent if both (n - 1)-grams in it are. So short fingerprints (32 bits, whose sums can only be
+too large) are counted first, of words, then of pairs of words that can be frequent, and so on; which are frequent is
+told to the tasks as a bitmap of fixed size. Where it fills up, more n-grams are counted than need be, and nothing is
+lost. Whole fingerprints of what remains are then summed, with the smallest and largest check of each; where these
+differ, several phrases share the fingerprint. A last reading emits pointers, the row and the word at which an n-gram
+stands, from the documents of smallest key that have it (and from all that have a fingerprint shared by phrases, which
+are then counted apart), so no n-gram is shuffled as text. Only frequent ones are ever turned into text, from their
+pointers, where phrases are told apart at last; scores are then joins and windows over these.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import bounded_batches, mix, written
 
 SEGMENT, PENDING = 1 << 20, 1_000_000
 BITMAP = 1 << 27  # bits: 16 MB, broadcast
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_LANG = "und"
 #: The bytes that end a piece, and the blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -115,8 +117,8 @@ class _Counter:
     """Sums by fingerprint (and check) within a task, with the first of each one's other columns; parts are arrays
     (fingerprint, check, others, count)."""
 
-    def __init__(self):
-        self.parts, self.rows, self.least = [], 0, PENDING
+    def __init__(self, cornered: bool = False):
+        self.parts, self.rows, self.least, self.cornered = [], 0, PENDING, cornered
 
     def add(self, part: tuple[np.ndarray, ...]) -> None:
         self.parts.append(part)
@@ -127,16 +129,25 @@ class _Counter:
 
     def _merge(self) -> None:
         fp, check, *rest, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        drop = np.uint8(8 if self.cornered else 0)
         order = np.argsort(fp)
-        a, b = fp[order], check[order]
+        a, b = fp[order], check[order] >> drop
         if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # a collision
             order = np.lexsort((check, fp))
-            a, b = fp[order], check[order]
+            a, b = fp[order], check[order] >> drop
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        at = order[new]
-        self.parts = [(a[new], b[new], *(c[at] for c in rest), np.add.reduceat(count[order], new))]
+        at, checks = order[new], np.minimum.reduceat(check[order], new)
+        self.parts = [(a[new], checks, *(c[at] for c in rest), np.add.reduceat(count[order], new))]
         self.rows = len(new)
 
+    def add_merged(self, part: tuple[np.ndarray, ...], smallest: bool = False) -> None:
+        """add(), of a segment's rows, equal ones as one; smallest: of equal ones (but for a check's last 8 bits, the
+        corner) the one of the smallest corner stands for all."""
+        one = _Counter(self.cornered or smallest)
+        self.cornered = one.cornered
+        one.add(part)
+        self.add(one.take())
+
     def full(self) -> bool:
         return self.rows > PENDING
 
@@ -159,6 +170,7 @@ class _Grams:
         limit = np.array(own)[doc]
         self.mine = (limit < 0) | (place < limit)
         self.key, self.lang, self.pos = np.array(keys, np.int64)[doc], np.array(langs, np.int32)[doc], place + np.array(before, np.int64)[doc]
+        self.corner = (self.key.view(np.uint64) >> np.uint64(56)).astype(np.uint8)
         self.tag, self.lanes = tags[self.lang], {}
 
     def hashes(self, n: int, at: np.ndarray, lane: int = 0) -> np.ndarray:
@@ -229,39 +241,58 @@ def _slices(columns: dict) -> Iterator[pa.RecordBatch]:
         yield whole.slice(i, 100_000)
 
 
-def _counts(rows: DataFrame, n: int, longest: int, bitmaps, keep: int) -> DataFrame:
-    """(_fp, _count, _lang): the tasks' counts of the n-grams whose shorter parts are frequent; rows with a language
-    and no fingerprint count its words."""
+def _bucket_counts(rows: DataFrame, n: int, longest: int, bitmaps, keep: int) -> DataFrame:
+    """(_fp, _count): the tasks' counts of 32 bits of the fingerprints of n-grams whose shorter parts can be frequent."""
 
     def work():
-        sums, words = _Counter(), {}
+        sums = _Counter()
 
         def step(grams: _Grams | None, names: dict):
             if grams is not None:
                 at, fp = grams.frequent(n, [b.value for b in bitmaps], np.uint64(keep))
-                mine = grams.mine[at]
-                one = _Counter()
-                fp = fp[mine]
-                one.add((fp, np.zeros(len(fp), np.int8), np.ones(len(fp), np.int64)))
-                if n == 1:
-                    for lang, count in zip(*np.unique(grams.lang[at[mine]], return_counts=True), strict=True):
-                        words[int(lang)] = words.get(int(lang), 0) + int(count)
+                fp = fp[grams.mine[at]].astype(np.uint32)
                 if len(fp):
-                    sums.add(one.take())
+                    sums.add_merged((fp, np.zeros(len(fp), np.int8), np.ones(len(fp), np.int64)))
+            if (grams is None or sums.full()) and (found := sums.take()) is not None:
+                yield from _slices({"_fp": found[0].view(np.int32), "_count": found[2]})
+
+        return step
+
+    return _read(rows, longest, work, "_fp int, _count long")
+
+
+def _sums(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
+    """(_fp, _mark, _count, _lang): the tasks' counts of the fingerprints of all lengths that can be frequent. _mark has
+    32 bits of the check and 8 of the smallest key; rows with a language and no fingerprint count its words."""
+
+    def work():
+        sums, words = _Counter(), {}
+
+        def step(grams: _Grams | None, names: dict):
+            if grams is not None:
+                for lang, count in zip(*np.unique(grams.lang[grams.mine], return_counts=True), strict=True):
+                    words[int(lang)] = words.get(int(lang), 0) + int(count)
+                for n in range(1, longest + 1):
+                    at, fp = grams.frequent(n, [b.value for b in bitmaps], np.uint64(keep))
+                    at, fp = at[grams.mine[at]], fp[grams.mine[at]]
+                    if len(at):
+                        mark = grams.hashes(n, at, 1) >> np.uint64(32) << np.uint64(8) | grams.corner[at].astype(np.uint64)
+                        sums.add_merged((fp, mark, np.ones(len(at), np.int64)), smallest=True)
             if (grams is None or sums.full()) and (found := sums.take()) is not None:
-                yield from _slices({"_fp": found[0].view(np.int64), "_count": found[2], "_lang": pa.nulls(len(found[0]), pa.string())})
+                yield from _slices({"_fp": found[0].view(np.int64), "_mark": found[1].view(np.int64), "_count": found[2], "_lang": pa.nulls(len(found[0]), pa.string())})
             if grams is None and words:
                 langs = list(names)
-                yield from _slices({"_fp": pa.nulls(len(words), pa.int64()), "_count": list(words.values()), "_lang": [langs[i] for i in words]})
+                none = pa.nulls(len(words), pa.int64())
+                yield from _slices({"_fp": none, "_mark": none, "_count": list(words.values()), "_lang": [langs[i] for i in words]})
 
         return step
 
-    return _read(rows, longest, work, "_fp long, _count long, _lang string")
+    return _read(rows, longest, work, "_fp long, _mark long, _count long, _lang string")
 
 
-def _pointed(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
-    """(_fp, _check, _n, _key, _pos, _count): the tasks' counts of the n-grams of all lengths that can be frequent,
-    each with one place where it stands."""
+def _pointed(rows: DataFrame, longest: int, bitmaps, corners, keep: int) -> DataFrame:
+    """(_fp, _check, _n, _key, _pos, _count): the tasks' counts of n-grams in documents whose key's corner is marked
+    with their fingerprint, each with one place where it stands."""
 
     def work():
         sums = _Counter()
@@ -270,12 +301,11 @@ def _pointed(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
             if grams is not None:
                 for n in range(1, longest + 1):
                     at, fp = grams.frequent(n, [b.value for b in bitmaps], np.uint64(keep))
-                    mine = grams.mine[at]
+                    mine = grams.mine[at] & _marked(_cornered(fp, grams.corner[at]), corners.value)
                     at, fp = at[mine], fp[mine]
                     if len(at):
-                        one = _Counter()
-                        one.add((fp, grams.hashes(n, at, 1), np.full(len(at), n, np.int8), grams.key[at], grams.pos[at], np.ones(len(at), np.int64)))
-                        sums.add(one.take())
+                        check = grams.hashes(n, at, 1) >> np.uint64(32)
+                        sums.add_merged((fp, check, np.full(len(at), n, np.int8), grams.key[at], grams.pos[at], np.ones(len(at), np.int64)))
             if (grams is None or sums.full()) and (found := sums.take()) is not None:
                 fp, check, lengths, key, pos, count = found
                 yield from _slices({"_fp": fp.view(np.int64), "_check": check.view(np.int64), "_n": lengths, "_key": key, "_pos": pos, "_count": count})
@@ -285,6 +315,26 @@ def _pointed(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
     return _read(rows, longest, work, "_fp long, _check long, _n byte, _key long, _pos long, _count long")
 
 
+def _cornered(fp: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """A hash of a fingerprint and 8 bits of a key."""
+    return mix(fp + corner.astype(np.uint64) * _ODD)
+
+
+def _corner_bitmap(sums: DataFrame) -> np.ndarray:
+    """Marks each frequent fingerprint with the corner of the smallest key that has it, or with all corners where
+    several phrases share it."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, low, high = (b[c].to_numpy().view(np.uint64) for c in ("_fp", "_low", "_high"))
+            one = low >> np.uint64(8) == high >> np.uint64(8)
+            shared = np.repeat(fp[~one], 256)
+            found = [_cornered(fp[one], low[one] & np.uint64(255)), _cornered(shared, np.tile(np.arange(256), len(fp) - one.sum()))]
+            yield from _slices({"_fp": np.concatenate(found).view(np.int64)})
+
+    return _bitmap(sums.select("_fp", "_low", "_high").mapInArrow(marks, "_fp long"))
+
+
 def _tags(names: dict[str, int]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
 
@@ -326,22 +376,21 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
     lang = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
     text = F.col(text_col)
     rows = documents.filter(text.isNotNull()).select(F.xxhash64(F.col(id_col), lang, text).alias("_key"), lang.alias("_lang"), text.alias("_text"))
-    keep, bitmaps, sizes = (1 << bits) - 1, [], None
+    context, keep, bitmaps = documents.sparkSession.sparkContext, (1 << bits) - 1, []
+    often = F.col("f") >= least
     for n in range(1, longest):
-        counts = _counts(rows, n, longest, list(bitmaps), keep)
-        if n == 1:
-            counts = written(counts, "word-counts")
-            sizes = counts.filter("_fp is null").groupBy(F.col("_lang").alias("lang")).agg(F.sum("_count").alias("n"))
-            counts = counts.filter("_fp is not null")
-        often = counts.groupBy("_fp").agg(F.sum("_count").alias("f")).filter(F.col("f") >= least)
-        bitmaps.append(documents.sparkSession.sparkContext.broadcast(_bitmap(often)))
-    # Phrases that share a fingerprint but not the check are kept apart, and each is read in the texts.
-    parts = _pointed(rows, longest, bitmaps, keep)
-    sums = parts.groupBy("_fp", "_check").agg(F.sum("_count").alias("f"), F.min("_key").alias("_at"), F.min_by("_pos", "_key").alias("_pos"), F.min_by("_n", "_key").alias("_n"))
-    pointers = sums.filter(F.col("f") >= least).select("_at", "_pos", "_n", "f")
+        counts = _bucket_counts(rows, n, longest, list(bitmaps), keep).groupBy("_fp").agg(F.sum("_count").alias("f"))
+        bitmaps.append(context.broadcast(_bitmap(counts.filter(often))))
+    sums = _sums(rows, longest, bitmaps, keep).groupBy("_fp", "_lang").agg(F.sum("_count").alias("f"), F.min("_mark").alias("_low"), F.max("_mark").alias("_high"))
+    sums = written(sums.filter(F.col("_fp").isNull() | often), "phrase-sums")
+    frequent = sums.filter("_fp is not null")
+    parts = _pointed(rows, longest, bitmaps, context.broadcast(_corner_bitmap(frequent)), keep)
+    parts = parts.groupBy("_fp", "_check").agg(F.sum("_count").alias("_seen"), F.min("_key").alias("_at"), F.min_by("_pos", "_key").alias("_pos"), F.min_by("_n", "_key").alias("_n"))
+    f = F.when(F.shiftright("_low", 8) == F.shiftright("_high", 8), F.col("f")).otherwise(F.col("_seen"))
+    pointers = parts.join(frequent.drop("_lang"), "_fp").select("_at", "_pos", "_n", f.alias("f")).filter(often)
     # A phrase has one pointer, which leads to one row or to rows that repeat it.
     found = _phrases_at(pointers.withColumnRenamed("_at", "_key"), rows).groupBy("_lang", "_n", "phrase").agg(F.max("f").alias("f"))
-    return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), sizes
+    return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), sums.filter("_fp is null").select(F.col("_lang").alias("lang"), F.col("f").alias("n"))
 
 
 def score_of(a: str, l: str, r: str) -> Column:
