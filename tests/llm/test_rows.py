@@ -197,6 +197,27 @@ def test_the_map_is_stored_and_edited(spark, tmp_path):
     assert [r[0] for r in slot_map.versions().groupBy("version").count().orderBy("version").collect()] == [1, 2, 3, 4]
 
 
+def test_a_map_of_other_slots_is_refused(spark, tmp_path, edge_documents):
+    """Looking records up in it would lose rows. Nor does a map that lacks slots lose any."""
+    path = str(tmp_path / "map")
+    SlotMap.create(spark, path, shards=8, slots=1024)
+    with pytest.raises(ValueError, match="1024 slots"):
+        shard_documents(edge_documents, map_path=path)
+    assert shard_documents(edge_documents, map_path=path, slots=1024).count() == edge_documents.count()
+    short = SlotMap(spark, str(tmp_path / "short"), slots=4)
+    short._add(spark.createDataFrame([(0, 0), (1, 1)], "vslot int, shard int"), 0)
+    with pytest.raises(Exception, match="no shard for slot 3"):
+        short.place(spark.createDataFrame([(0,), (3,)], "vslot int")).collect()
+
+
+def test_a_crash_while_a_version_is_written_leaves_the_old_one(spark, tmp_path):
+    slot_map = SlotMap.create(spark, str(tmp_path / "map"), shards=2, slots=8)
+    before = sorted(map(tuple, slot_map.latest().collect()))
+    spark.createDataFrame([(0, 1)], "vslot int, shard int").write.parquet(str(tmp_path / "map" / "rows-half"))
+    (tmp_path / "map" / "versions" / f"{2:020d}").touch()
+    assert sorted(map(tuple, slot_map.latest().collect())) == before
+
+
 def test_sharding_goes_on_from_a_stored_map(spark, tmp_path):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
     path = str(tmp_path / "map")

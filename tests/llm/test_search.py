@@ -157,3 +157,49 @@ def test_search_edge_cases(spark):
     for f in (exact_top_k, nearest_neighbours):
         assert f(df.limit(0)).count() == 0
         assert result(f(df.filter("vec_id = 50"))) == {}
+
+
+def test_copies_of_a_vector_beyond_the_shortlist(spark):
+    """1,000 equal vectors: the smallest ids come first, from both searches, for queries among the copies and not."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((2000, 16)).astype(np.float32)
+    v[1000:2000] = v[1000]
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    near, top = result(nearest_neighbours(df)), result(exact_top_k(df))
+    assert [i for i, _ in near[1500]] == [1000, 1001, 1002, 1003, 1004]
+    assert [i for i, _ in near[1000]] == [1001, 1002, 1003, 1004, 1005]
+    x = np.floor(256 * v.astype(float))
+    for q in top:
+        assert top[q] == [(i, int(s)) for i, s in brute(x @ x[q], range(2000), q)]
+    hits = total = 0
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    for q in near:
+        want = {i for i, _ in brute(np.round(unit @ unit[q], 12), range(2000), q)}
+        hits, total = hits + len(want & {i for i, _ in near[q]}), total + 5
+    assert hits >= 0.9 * total
+
+
+def test_equal_rows_are_read_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(V, "exactly", lambda pairs, *rest, f=V.exactly: (read.append(pairs.count()), f(pairs, *rest))[1])
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0], 0) for i in range(3000)], SCHEMA)
+    ours = result(exact_top_k(df))
+    assert len(ours) == 60 and ours[0] == [(i, 256 * 256 * 14) for i in range(1, 6)] and ours[50][0] == (0, 256 * 256 * 14)
+    assert sum(read) == 1
+
+
+def test_huge_and_tiny_components_have_cosines(spark):
+    kind = "vec_id long, embedding array<double>, label int"
+    rows = [(0, [1e200, 1e200, 0.0], 0), (1, [1e-200, 1e-200, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [5e-324, 0.0, 0.0], 0), (4, [-1e308, 1e308, 1e308], 0), (50, [0.0, 0.0, 1e-300], 0)]
+    ours = result(nearest_neighbours(spark.createDataFrame(rows, kind)))
+    assert all(np.isfinite(s) for found in ours.values() for _, s in found)
+    assert ours[0][0][0] == 1 and ours[0][0][1] == pytest.approx(1.0) and [i for i, _ in ours[0]][1:3] == [2, 3]
+    assert ours[50][0][0] == 4 and ours[50][0][1] == pytest.approx(1 / np.sqrt(3))
+
+
+def test_scaling_by_powers_of_two_changes_no_digit():
+    from tracklens.llm.additive import cosines
+
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((200, 64)), rng.standard_normal((200, 64))
+    assert (cosines(x, q) == (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))).all()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import TILE, by_length, exactly, largest, matrix, ranked, scanned, usable
+from .blocks import TILE, asked, by_length, distinct, exactly, expanded, largest, matrix, ranked, scanned, usable
 from .common import written
 
 BEAM, PART = 4, 2048
@@ -101,8 +101,9 @@ def _codebooks(rows: DataFrame, sample_rows: int, books: int, words: int) -> dic
 
 
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
-    x, q = x.astype(np.float64), q.astype(np.float64)
+    """Row by row, in double precision. Rows are scaled by a power of two first, which changes no digit but keeps
+    squares of huge and tiny components in range."""
+    x, q = (np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0, keepdims=True))[1]) for v in (x.astype(np.float64), q.astype(np.float64)))
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
@@ -112,12 +113,14 @@ def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
 
     The codebooks of each vector length (books * words vectors, which go through the driver) are fitted on at most
     sample_rows of its vectors; every row is encoded, in `books` bytes and a norm, and the `rerank` best of all rows
-    for each query, by the codes, are compared exactly. Vectors are compared with those of their length. Vectors that
+    for each query, by the codes, are compared exactly (of equal vectors one). Vectors are compared with those of their length. Vectors that
     are null, empty or zero, or hold null or non-finite components, and null ids take no part. Rows that repeat an id
-    count once.
+    count once. Equal vectors are searched once, whether they are rows or queries: of their rows the smallest ids come
+    first, however many there are. Huge and tiny components are scaled.
     """
-    rows = usable(vectors, id_col, vector_col, nonzero=True)
-    queries = rows.filter(F.col("_id") % every == 0)
+    every_row = usable(vectors, id_col, vector_col, nonzero=True)
+    rows = distinct(every_row, k + 1)
+    pairs, queries = asked(every_row, rows, every)
     codebooks = _codebooks(rows, sample_rows, books, words)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +138,6 @@ def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
         qids, unit, out = b["_id"].to_numpy(), _unit(matrix(b["_v"])), []
         # Rows are dealt to blocks by hash, so a block has its share of a query's shortlist, and hardly ever twice that.
         kept = rerank if blocks == 1 else min(rerank, 2 * -(-rerank // blocks) + 16)
-        own = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
         for t in range(0, len(qids), TILE):
             tables = np.einsum("qd,mkd->mkq", unit[t : t + TILE], codebooks[unit.shape[1]], optimize=True).astype(np.float32)
             scores = np.zeros((len(ids), tables.shape[2]), np.float32)
@@ -143,13 +145,10 @@ def nearest_neighbours(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
                 scores += table[words_of]
             scores /= norm[:, None]
             for j, row in enumerate(np.ascontiguousarray(scores.T)):
-                if ids[own[t + j]] == qids[t + j]:
-                    row[own[t + j]] = -np.inf
                 at = largest(row, kept)
-                at = at[row[at] > -np.inf]
                 out.append((np.full(len(at), qids[t + j]), ids[at], row[at].astype(np.float64)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     codes = written(rows.mapInArrow(index, "_id long, _dim int, _code binary, _norm double"), "codes")
     found = scanned(codes, queries, find, "query_id long, vec_id long, score double")
-    return ranked(exactly(ranked(found, rerank).select("query_id", "vec_id"), rows, cosines, "double"), k)
+    return expanded(ranked(exactly(ranked(found, max(rerank, k + 1)).select("query_id", "vec_id"), rows, cosines, "double"), k + 1), pairs, rows, k)

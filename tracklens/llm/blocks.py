@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-ROWS, LEAST_ROWS, QUERIES, TILE = 131_072, 4096, 65_536, 128
+#: Bytes of a block of codes as 32-bit floats, and of a block of queries as 64-bit floats.
+ROW_BYTES, QUERY_BYTES, LEAST_ROWS, TILE = 1 << 25, 1 << 25, 4096, 128
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, *, nonzero: bool = False) -> DataFrame:
@@ -30,6 +31,33 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, *, nonzero: bool =
     return written(rows.groupBy("_id").agg(F.min("_v").alias("_v")).select("_id", F.size("_v").alias("_dim"), "_v"), "vectors")
 
 
+def distinct(rows: DataFrame, keep: int) -> DataFrame:
+    """(_id, _dim, _v, _ids) of rows (_id, _dim, _v): every vector once, with the `keep` smallest ids that have it.
+
+    A window's limit cuts each task's rows before the shuffle, so that a vector of a third of all rows sends `keep` rows
+    of each task.
+    """
+    place = F.row_number().over(Window.partitionBy("_v").orderBy("_id"))
+    few = rows.withColumn("_place", place).filter(F.col("_place") <= keep).drop("_place")
+    return written(few.groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids")).select(F.col("_ids")[0].alias("_id"), F.size("_v").alias("_dim"), "_v", "_ids"), "distinct-vectors")
+
+
+def asked(rows: DataFrame, vectors: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, _id), vectors of the queries): for each row whose id is divisible by `every` the id that stands for
+    its vector, and of the distinct vectors those with a query."""
+    pairs = written(rows.filter(F.col("_id") % every == 0).select(F.col("_id").alias("query_id"), "_v").join(vectors.select("_v", "_id"), "_v").select("query_id", "_id"), "queries")
+    return pairs, written(vectors.join(pairs.select("_id").distinct(), "_id", "left_semi").select("_id", "_dim", "_v"), "query-vectors")
+
+
+def expanded(best: DataFrame, pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best rows of each query, of the best k + 1 vectors of its vector, each of
+    which has its k + 1 smallest ids. No other row can be among the k best, for equal vectors score alike and ties go to
+    the smaller id; the query's own row is one of a vector's at most."""
+    ids = best.join(vectors.select(F.col("_id").alias("vec_id"), "_ids"), "vec_id").select(F.col("query_id").alias("_id"), "score", F.explode("_ids").alias("vec_id"))
+    first = ranked(ids.withColumnRenamed("_id", "query_id"), k + 1).select(F.col("query_id").alias("_id"), "vec_id", "score")
+    return ranked(pairs.join(first, "_id").filter("vec_id <> query_id").select("query_id", "vec_id", "score"), k)
+
+
 def matrix(column) -> np.ndarray:
     """The vectors of an Arrow column, all of one length."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -55,9 +83,9 @@ def scanned(coded: DataFrame, queries: DataFrame, find: Callable, columns: str)
     find(codes, queries, blocks) gets Arrow tables of one vector length and the number of blocks of rows, and returns
     arrays of the columns `columns` names.
     """
-    n, m = coded.count(), queries.count()
-    per_block = min(ROWS, max(LEAST_ROWS, n // 64))
-    row_blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-m // QUERIES))
+    n, long = coded.agg(F.count("*"), F.max("_dim")).first()
+    per_block = min(max(LEAST_ROWS, n // 64), max(TILE, ROW_BYTES // (4 * (long or 1))))
+    row_blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-queries.count() // max(TILE, QUERY_BYTES // (8 * (long or 1)))))
     deal = lambda salt, blocks: F.pmod(F.xxhash64(F.lit(salt), "_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = coded.withColumn("_r", deal("row", row_blocks)).withColumn("_q", every(query_blocks))

@@ -9,10 +9,13 @@ edited, so placing a record is one hash and one lookup in a table whose size is
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklens.sources.versioned import VersionedTable
+
 from .common import shared_folder, written
 
 SLOTS, SALTS = 4096, 16
@@ -35,40 +38,50 @@ def slot_sizes(parts: DataFrame, *, slots: int = SLOTS) -> DataFrame:
 
 
 class SlotMap:
-    """The stored map: a Parquet table with a folder for each version. Versions are added, never changed."""
+    """The stored map, a versioned table (vslot, shard) whose commits note the number of slots. A version is whole or
+    absent, and of two who edit the same version one gets a Conflict."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, slots: int = SLOTS):
+        self.spark, self.path, self.slots = spark, path, slots
+        self.table = VersionedTable(spark, path)
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, *, shards: int, slots: int = SLOTS) -> SlotMap:
         """Version 1: the slots dealt out in turn."""
-        out = cls(spark, path)
-        out._add(spark.range(slots).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard")))
+        out = cls(spark, path, slots)
+        out._add(spark.range(slots).select(F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard")), 0)
         return out
 
-    def _add(self, version: DataFrame) -> None:
-        version.coalesce(1).write.partitionBy("version").mode("append").parquet(self.path)  # `slots` rows
+    def _add(self, version: DataFrame, on: int) -> None:
+        self.table.commit(version.select("vslot", "shard"), on=on, files=1, notes={"slots": self.slots})  # `slots` rows
 
     def versions(self) -> DataFrame:
         """(version, vslot, shard) of all versions."""
-        return self.spark.read.schema("vslot int, shard int, version int").parquet(self.path)
+        every = [self.table.read(v).select(F.lit(v).alias("version"), "vslot", "shard") for v in self.table.versions()]
+        return reduce(DataFrame.unionByName, every)
 
     def latest(self) -> DataFrame:
-        """(version, vslot, shard) of the newest version."""
-        rows = self.versions()
-        return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).select("version", "vslot", "shard")
+        """(version, vslot, shard) of the newest version. A ValueError if it is a map of another number of slots: looking
+        records up in it would lose those of slots that it has not."""
+        version = self.table.version()
+        stored = self.table.facts(version)["notes"].get("slots")
+        if stored != self.slots:
+            raise ValueError(f"the slot map at {self.path} has {stored} slots, not {self.slots}")
+        return self.table.read(version).select(F.lit(version).alias("version"), "vslot", "shard")
 
     def rebalance(self, sizes: DataFrame, shards: int, tolerance: float = 0.001) -> None:
         """Adds a version in which the shards' bytes are near equal; none if they are already."""
-        current = self.latest()
+        current, on = self.latest(), self.table.version()
         edited = written(edit(current, sizes, shards, tolerance), "map-edit")
         if not edited.join(current.select("vslot", F.col("shard").alias("was")), "vslot").filter("shard <> was").isEmpty():
-            self._add(edited)
+            self._add(edited, on)
 
     def place(self, records: DataFrame) -> DataFrame:
-        """records, which have vslot, with version and shard, by a lookup in a table of `slots` rows."""
-        return records.join(F.broadcast(self.latest()), "vslot")
+        """records, which have vslot, with version and shard, by a lookup in a table of `slots` rows. A record of a slot
+        that the map has not ends the job."""
+        found = records.join(F.broadcast(self.latest()), "vslot", "left")
+        known = F.when(F.col("shard").isNotNull(), F.col("shard")).otherwise(F.raise_error(F.concat(F.lit("no shard for slot "), F.col("vslot").cast("string"))).cast("int"))
+        return found.withColumn("shard", known)
 
 
 def _let(value: Column, body) -> Column:
@@ -122,7 +135,7 @@ def shard_documents(documents: DataFrame, *, shards: int = 8, id_col: str = "doc
     """(id, size, text_crc32, vslot, version, shard, slot) for every row, by law `bytes`.
 
     The map is read from map_path, made there if there is none, and rebalanced for these documents; without a path it
-    is stored in the shared folder. A record is hashed by id and text, so rows that share an id (or have none) are
+    is stored in the shared folder. A map of another number of slots is a ValueError. A record is hashed by id and text, so rows that share an id (or have none) are
     spread; only rows equal in both stay together. slot is the row's place in its shard, gapless from 0: virtual slots
     one after another, each in SALTS parts by the partition the row was read in, so that no slot is sorted in one task.
     Rows that repeat get a place each. An empty table gives no rows. Texts are read once, for a narrow stored table.
@@ -148,7 +161,5 @@ def shard_documents(documents: DataFrame, *, shards: int = 8, id_col: str = "doc
 def _stored_map(spark: SparkSession, path: str | None, shards: int, slots: int) -> SlotMap:
     if path is None:
         path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return SlotMap(spark, path)
-    return SlotMap.create(spark, path, shards=shards, slots=slots)
+    found = SlotMap(spark, path, slots)
+    return found if found.table.version() else SlotMap.create(spark, path, shards=shards, slots=slots)

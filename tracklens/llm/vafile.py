@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import TILE, by_length, exactly, largest, matrix, ranked, scanned, usable
+from .blocks import TILE, asked, by_length, distinct, exactly, expanded, largest, matrix, ranked, scanned, usable
 from .common import checkpointed, written
 
 CELLS, ROUNDING = 256, 2.0**-22
@@ -87,10 +87,13 @@ def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str
     integer inner product of floor(scale * component), ties to the smaller id; all, if there are fewer.
 
     Vectors that are null or empty, or hold null or non-finite components, and null ids take no part. Vectors of
-    different lengths are not compared. Rows that repeat an id count once. Scores are exact as far as they are 64-bit
+    different lengths are not compared. Rows that repeat an id count once. Equal vectors are searched once, whether they
+    are rows or queries, so a vector of a third of all rows costs what one row costs. Scores are exact as far as they are 64-bit
     integers; one that is not, but has to be read, ends the job with an OverflowError.
     """
-    rows = usable(vectors, id_col, vector_col)
+    every_row = usable(vectors, id_col, vector_col)
+    rows = distinct(every_row, k + 1)
+    pairs, queries = asked(every_row, rows, every)
     grids = _grids(rows, scale)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,25 +107,23 @@ def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str
         order = np.argsort(ids)
         ids, codes = ids[order], codes[order]
         qids, q = b["_id"].to_numpy(), np.floor(scale * matrix(b["_v"]).astype(np.float64))
-        own = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
         for t in range(0, len(q), TILE):
             products, s, m, e = grids[q.shape[1]].products(codes, q[t : t + TILE])
             for j, row in enumerate(products):
-                if ids[own[t + j]] == qids[t + j]:
-                    row[own[t + j]] = -np.inf
                 bar = -np.inf
-                if len(row) > k and np.isfinite(kth := row[largest(row, k)].min()):
-                    bar = kth - 2 * e[j] / s[j]  # lower and upper bounds of a query's rows are all 2 * e apart
-                at = np.flatnonzero((row >= bar) & (row > -np.inf))
+                if len(row) > k + 1:
+                    bar = row[largest(row, k + 1)].min() - 2 * e[j] / s[j]  # lower and upper bounds of a query's rows are all 2 * e apart
+                at = np.flatnonzero(row >= bar)
                 out.append((np.full(len(at), qids[t + j]), ids[at], m[j] + s[j] * row[at].astype(np.float64) + e[j], np.full(len(at), 2 * e[j])))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     file = written(rows.mapInArrow(quantise, "_id long, _dim int, _code binary"), "va-file")
-    found = scanned(file, rows.filter(F.col("_id") % every == 0), find, "query_id long, vec_id long, upper double, apart double")
+    found = scanned(file, queries, find, "query_id long, vec_id long, upper double, apart double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
-    kth = F.max(F.when(F.col("place") == k, F.col("upper"))).over(Window.partitionBy("query_id"))
+    kth = F.max(F.when(F.col("place") == k + 1, F.col("upper"))).over(Window.partitionBy("query_id"))
     found = found.withColumn("place", place).withColumn("_kth", kth).filter(F.col("_kth").isNull() | (F.col("upper") >= F.col("_kth") - F.col("apart")))
-    return _read_in_order(written(found.select("query_id", "vec_id", "upper", "place"), "candidates"), rows, k, scale)
+    best = _read_in_order(written(found.select("query_id", "vec_id", "upper", "place"), "candidates"), rows, k + 1, scale)
+    return expanded(best, pairs, rows, k)
 
 
 def _read_in_order(unread: DataFrame, rows: DataFrame, k: int, scale: float) -> DataFrame:
