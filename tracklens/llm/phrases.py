@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, written
 
-SEGMENT, PENDING = 1 << 20, 1_000_000
+#: Bytes hashed together; rows a task's sums hold before equal ones are made one, and distinct ones it gives out.
+SEGMENT, PENDING, FULL = 1 << 20, 1_500_000, 1_000_000
 BITMAP = 1 << 27  # bits: 16 MB, broadcast
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_LANG = "und"
@@ -118,14 +119,14 @@ class _Counter:
     (fingerprint, check, others, count)."""
 
     def __init__(self, cornered: bool = False):
-        self.parts, self.rows, self.least, self.cornered = [], 0, PENDING, cornered
+        self.parts, self.rows, self.distinct, self.cornered = [], 0, 0, cornered
 
     def add(self, part: tuple[np.ndarray, ...]) -> None:
         self.parts.append(part)
         self.rows += len(part[0])
-        if self.rows > self.least:
+        if self.rows > PENDING:
             self._merge()
-            self.least = max(PENDING, 2 * self.rows)
+            self.distinct = self.rows
 
     def _merge(self) -> None:
         fp, check, *rest, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
@@ -149,13 +150,13 @@ class _Counter:
         self.add(one.take())
 
     def full(self) -> bool:
-        return self.rows > PENDING
+        return self.distinct > FULL
 
     def take(self) -> tuple[np.ndarray, ...] | None:
         if not self.rows:
             return None
         self._merge()
-        (out,), self.parts, self.rows, self.least = self.parts, [], 0, PENDING
+        (out,), self.parts, self.rows, self.distinct = self.parts, [], 0, 0
         return out
 
 
