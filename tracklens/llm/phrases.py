@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, mix, written
 
 #: Bytes hashed together; rows a task's sums hold before equal ones are made one, and distinct ones it gives out.
-SEGMENT, PENDING, FULL = 1 << 20, 1_500_000, 1_000_000
+SEGMENT, PENDING, FULL = 1 << 20, 1_000_000, 750_000
 BITMAP = 1 << 27  # bits: 16 MB, broadcast
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_LANG = "und"
@@ -379,7 +379,7 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
     rows = documents.filter(text.isNotNull()).select(F.xxhash64(F.col(id_col), lang, text).alias("_key"), lang.alias("_lang"), text.alias("_text"))
     context, keep, bitmaps = documents.sparkSession.sparkContext, (1 << bits) - 1, []
     often = F.col("f") >= least
-    for n in range(1, longest):
+    for n in range(1, longest + 1):
         counts = _bucket_counts(rows, n, longest, list(bitmaps), keep).groupBy("_fp").agg(F.sum("_count").alias("f"))
         bitmaps.append(context.broadcast(_bitmap(counts.filter(often))))
     sums = _sums(rows, longest, bitmaps, keep).groupBy("_fp", "_lang").agg(F.sum("_count").alias("f"), F.min("_mark").alias("_low"), F.max("_mark").alias("_high"))
