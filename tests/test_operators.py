@@ -10,7 +10,7 @@ from tracklens.operators import clusters as K
 from tracklens.operators import display as D
 from tracklens.operators import features as FE
 from tracklens.operators import joins as J
-from tracklens.operators import states as ST
+from tracklens.operators import scoreboard as B
 from tracklens.operators import tracks as T
 from tracklens.operators import votes as V
 from tracklens.operators import windows as W
@@ -105,7 +105,7 @@ def test_periods_are_cleaned_apart(spark):
     reads = [("g", float(t), 100.0 - t if t < 100 else 1200.0 - (t - 100), None, None, None) for t in range(160)]
     df = spark.createDataFrame(reads, "game string, t double, clock double, clock_text string, away int, home int")
     spans = spark.createDataFrame([("g", 1, 0.0, 99.0), ("g", 2, 100.0, 159.0)], "game string, period int, t_lo double, t_hi double")
-    out = ST.clean_periods(df, spans).collect()
+    out = B.clean_periods(df, spans).collect()
     first, second = ([r for r in out if r["period"] == p] for p in (1, 2))
     assert {r["t"] for r in first} == set(map(float, range(105))) and {r["t"] for r in second} == set(map(float, range(95, 160)))
     assert all(r["clock"] == 100.0 - r["t"] for r in first if r["t"] < 100) and [r["clock"] for r in second if r["t"] > 110] == [1300.0 - r["t"] for r in second if r["t"] > 110]

@@ -9,7 +9,7 @@ import pytest
 from compare import assert_same
 
 import __spark_entry__ as entry
-from tracklens import catalog
+from tracklens import catalog, catalog_game
 from tracklens import catalog_states as CS
 from tracklens.operators import states as S
 from tracklens.operators import tracks as T
@@ -58,30 +58,6 @@ def test_segments_debounced(spark, sf_dir):
     same(run(spark, sf_dir, "segments_debounced"), theirs)
 
 
-def test_score_timeline_clean(spark, sf_dir):
-    theirs = []
-    for (game, day), rows in groups(CS.scoreboard(spark, sf_dir), ["game", "day"], ["t"]):
-        clocks = S.clean_clock([r["t"] for r in rows], [[(r["clock"], None)] for r in rows])
-        scores = S.clean_scores([(r["away"], r["home"]) for r in rows], None)
-        theirs += [{"game": game, "day": day, "t": r["t"], "clock": c, "clock_text": None, "away": a, "home": h} for r, (c, _), (a, h) in zip(rows, clocks, scores)]
-    same(run(spark, sf_dir, "score_timeline_clean"), theirs)
-
-
-def test_period_spans(spark, sf_dir):
-    theirs = []
-    reads = CS.scoreboard(spark, sf_dir).selectExpr("game", "t / 24.0 t", "clock", "away", "home")
-    for (game,), rows in groups(reads, ["game"], ["t"]):
-        theirs += [{"game": game, "period": k, "t_lo": a, "t_hi": b} for k, (a, b) in enumerate(S.spans_of_reads([(r["t"], r["clock"], r["away"], r["home"]) for r in rows]), 1)]
-    same(run(spark, sf_dir, "period_spans"), theirs)
-
-
-def test_pbp_intervals(spark, sf_dir):
-    theirs = []
-    for (game, period), rows in groups(S.classified_plays(CS.plays(spark, sf_dir), keys=["game", "period"]), ["game", "period"], ["seq"]):
-        theirs += [{"game": game, "period": period, "index": k} | i for k, i in enumerate(S.cut_intervals(rows, 1200.0))]
-    same(run(spark, sf_dir, "pbp_intervals"), theirs)
-
-
 def test_stitch_tracks(spark, sf_dir):
     v = catalog.court(spark, sf_dir)
     frames: dict = defaultdict(lambda: defaultdict(dict))
@@ -178,7 +154,7 @@ def test_halfcourt_records_and_coverage(spark, sf_dir):
     records, coverage = run(spark, sf_dir, "halfcourt_records"), {r["game"]: r for r in run(spark, sf_dir, "coverage_report")}
     assert len(records) == len({r["key"] for r in records})
     expected = []
-    for (game, period), rows in groups(S.classified_plays(CS.plays(spark, sf_dir), keys=["game", "period"]), ["game", "period"], ["seq"]):
+    for (game, period), rows in groups(S.classified_plays(catalog_game.plays(spark, sf_dir), keys=["game", "period"]), ["game", "period"], ["seq"]):
         own = [i for i in S.cut_intervals(rows, 1200.0 if period <= 2 else 300.0) if i["team"] == "Reds"]
         expected += [(f"{game}:{period}:{k}", i["start_clock"], i["end_clock"], i["terminal"]) for k, i in enumerate(own)]
     assert sorted((r["key"], r["start_clock"], r["end_clock"], r["terminal"]) for r in records) == sorted(expected)
@@ -193,7 +169,7 @@ def test_halfcourt_records_and_coverage(spark, sf_dir):
 
 
 def test_all_queries_are_tested():
-    named = {"segments_debounced", "score_timeline_clean", "period_spans", "pbp_intervals", "stitch_tracks", "path_clean", "matchup_assignment", "defence_features", "defence_labels", "homography_fits", "kmeans_sets", "supervised_team", "halfcourt_records", "coverage_report"}
+    named = {"segments_debounced", "score_timeline_clean", "score_timeline_known", "period_spans", "pbp_intervals", "stream_clock", "stream_intervals", "stitch_tracks", "path_clean", "matchup_assignment", "defence_features", "defence_labels", "homography_fits", "kmeans_sets", "supervised_team", "halfcourt_records", "coverage_report"}
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == named
 
 

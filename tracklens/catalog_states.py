@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import _GREEDY, _SEGMENTS, COURT, court, query, table
+from .catalog_game import plays
 from .functions import text as X
 from .operators import clusters as K
 from .operators import display as D
@@ -22,7 +23,6 @@ from .operators import tracks as TR
 from .operators import votes as V
 from .operators import windows as W
 from .plans.session import checkpointed
-from .streaming import events as ST
 
 
 @query()
@@ -32,53 +32,6 @@ def segments_debounced(spark, d):
     return W.segments(settled, key="game", t="t", label="half", max_gap=43200, merge_gap=172800, min_duration=3600, tie="event_id").select("game", "segment", "half", "t_lo", "t_hi", "n")
 
 
-def scoreboard(spark, d) -> DataFrame:
-    """A read a event: the clock runs down from 20:00 over each day, with misreads."""
-    v = court(spark, d)
-    clock = F.round(1200.0 - ((F.floor(F.col("t_ms") / 1000) % 86400) / 72.0), 0)
-    misread = F.col("event_id") % 17 == 0
-    order = Window.partitionBy("game", "day").orderBy("t")
-    v = v.withColumn("day", F.floor(F.col("t_ms") / 86400000)).withColumn("away", (F.row_number().over(order) / 2).cast("int"))
-    return v.select("game", "day", "t", F.when(misread, clock + 300).otherwise(clock).alias("clock"), F.lit(None).cast("string").alias("clock_text"), F.when(misread, 99).otherwise(F.col("away")).alias("away"), F.floor(F.col("away") / 2).cast("int").alias("home"))
-
-
-@query()
-def score_timeline_clean(spark, d):
-    return S.clean_timeline(scoreboard(spark, d), keys=["game", "day"])
-
-
-@query()
-def period_spans(spark, d):
-    r = scoreboard(spark, d).withColumn("t", F.col("t") / 24.0)
-    return S.period_spans(r, keys=["game"])
-
-
-def plays(spark, d) -> DataFrame:
-    """A play a event of a user's day, in two teams."""
-    v = court(spark, d).withColumn("period", F.floor(F.col("t_ms") / 86400000).cast("int") - 19722)
-    w = Window.partitionBy("game", "period").orderBy("t_ms", "event_id")
-    team = F.when(F.col("cluster") == 0, "Reds").otherwise("Blues")
-    k = F.col("event_id") % 9
-    text = F.when(k == 0, "A makes layup").when(k == 1, "A misses three point jumper").when(k == 2, "A makes free throw 2 of 2").when(k == 3, "A turnover").otherwise("A")
-    kind = F.element_at(F.array(*map(F.lit, ["LayUpShot", "JumpShot", "MadeFreeThrow", "Lost Ball Turnover", "Defensive Rebound", "Offensive Rebound", "Steal", "PersonalFoul", "ShortTimeOut"])), (k + 1).cast("int"))
-    clock = F.round(1200.0 - ((F.floor(F.col("t_ms") / 1000) % 86400) / 72.0), 0)
-    return v.select("game", "period", (F.row_number().over(w) - 1).alias("seq"), clock.alias("clock"), team.alias("team"), F.when(k == 8, "Timeout").otherwise(kind).alias("type"), text.alias("text"), k.isin(0, 2).alias("scoring"), F.when(k == 0, 2).otherwise(1).alias("score_value"), "event_id")
-
-
-@query()
-def pbp_intervals(spark, d):
-    return S.intervals(plays(spark, d), keys=["game", "period"])
-
-
-@query(
-    f"""WITH {COURT}, p AS (SELECT game, event_id % 9 AS k, t_ms, event_id FROM v)
-SELECT game, CAST(count_if(k IN (0, 1)) AS BIGINT) AS shots, CAST(count_if(k IN (0, 2)) AS BIGINT) AS made, CAST(count_if(k = 3) AS BIGINT) AS turnovers, CAST(count_if(k = 7) AS BIGINT) AS fouls, CAST(count_if(k = 5) AS BIGINT) AS offensive_rebounds FROM p GROUP BY game"""
-)
-def play_predicates(spark, d):
-    text, kind = F.col("text"), F.col("type")
-    return plays(spark, d).groupBy("game").agg(F.count_if(X.is_shot(text)).alias("shots"), F.count_if(X.is_made(text)).alias("made"), F.count_if(X.is_turnover(kind, text)).alias("turnovers"), F.count_if(X.is_foul(kind)).alias("fouls"), F.count_if(X.rebound_kind(kind) == "offensive").alias("offensive_rebounds"))
-
-
 @query()
 def stitch_tracks(spark, d):
     v = court(spark, d).withColumn("frame", F.floor(F.col("t_ms") / 3600000))
@@ -295,64 +248,6 @@ def coverage_report(spark, d):
     return R.period_coverage(r, ["game"]).select("game", "intervals", "located", "dead_ball", "dead_ball_with_setup", F.map_keys("start_types").alias("kinds"))
 
 
-def _event_schema(spark, d):
-    return table(spark, d, "events").schema
-
-
-@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def stream_tumbling(spark, d):
-    e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"))
-    rows = ST.run_available(ST.tumbling(e, keys=["event_type"]), name="tumbling", mode="complete")
-    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-_SESSIONS = ("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM o), g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, sid)
-SELECT user_id, start, "end", CAST(n AS BIGINT) AS n FROM g""")
-
-
-@query(_SESSIONS)
-def stream_sessions(spark, d):
-    e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"))
-    rows = ST.run_available(ST.sessions(e, keys=["user_id"]), name="sessions", mode="complete")
-    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
-
-
-@query(_SESSIONS)
-def batch_sessions(spark, d):
-    rows = ST.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), keys=["user_id"])
-    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
-
-
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, max(value) AS top FROM events GROUP BY user_id")
-def stream_state(spark, d):
-    e = ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = ST.run_available(ST.latest_by_key(e, key="user_id"), name="state", mode="update")
-    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
-
-
-@query("SELECT user_id, CAST(sum(new) AS BIGINT) AS runs FROM (SELECT user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) = event_type THEN 0 ELSE 1 END AS new FROM events) GROUP BY user_id")
-def stream_runs(spark, d):
-    e = ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = ST.run_available(ST.runs_by_state(e, key="user_id"), name="runs", mode="update")
-    return rows.groupBy("user_id").agg(F.max("runs").alias("runs"))
-
-
-@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 DAY * k AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events, range(2) r(k) GROUP BY ALL")
-def stream_sliding(spark, d):
-    e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"))
-    rows = ST.run_available(ST.sliding(e, keys=["event_type"]), name="sliding", mode="complete")
-    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-@query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY ALL")
-def stream_dedup(spark, d):
-    e = ST.with_watermark(ST.event_stream(spark, d, _event_schema(spark, d), "events.parquet"), late="60 days")
-    rows = ST.run_available(ST.first_seen(e.select("user_id", "event_type", "ts"), keys=["user_id", "event_type", "ts"]), name="dedup", mode="append")
-    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-
-
-
 @query(f"WITH {COURT} SELECT game, cluster, list(event_type ORDER BY t_ms) AS readings FROM v GROUP BY ALL")
 def readings_in_order(spark, d):
     return D.readings_in_order(court(spark, d), ["game", "cluster"], "event_type", "t_ms")

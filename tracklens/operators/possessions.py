@@ -14,7 +14,8 @@ from ..functions import text as X
 from ..plans import spec
 from ..plans.session import checkpointed
 from .joins import assign_to_windows, located_events, mentioned_player, nearest_within, overlapping
-from .states import clean_timeline, debounced
+from .scoreboard import clean_timeline
+from .states import debounced
 from .tracks import clean_paths, homography, resolve_conflicts, stitch_tracks
 from .votes import capped_team, first_seen_majority, outcome, plurality, segment_offense, team_by_jersey
 from .windows import segments

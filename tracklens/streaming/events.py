@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..plans.session import shared_folder
 
@@ -48,42 +48,53 @@ def latest_by_key(events: DataFrame, *, key: str, ts: str = "ts", value: str = "
     return events.groupBy(key).agg(F.count("*").alias("n"), F.max(value).alias("top"), F.max(ts).alias("last"))
 
 
-def runs_by_state(events: DataFrame, *, key: str, ts: str = "ts", label: str = "event_type") -> DataFrame:
-    """A stateful operator that aggregates cannot express: for each key how many runs of equal labels its events make,
-    in the order of time within a batch, the last label being carried to the next batch."""
-
-    def update(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        runs, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        labels = rows[label].tolist()
-        runs += sum(a != b for a, b in zip(labels, [last, *labels[:-1]], strict=True))
-        state.update((runs, labels[-1]))
-        yield pd.DataFrame({key: [k[0]], "runs": [runs]})
-
-    kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, runs long", "runs long, last string", "update", GroupStateTimeout.NoTimeout)
-
-
-def clean_clock_stream(reads: DataFrame, *, key: str) -> DataFrame:
-    """Cleaned scoreboard reads (key, t, clock) as they come in: reads (key, t, clock) of a stream go through the clock's
-    rules with the last accepted reading carried from batch to batch. A read needs its neighbours, so the last of a
-    batch is held back until the next batch."""
-    from ..operators.states import clean_clock
-
-    def update(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, anchor = ([tuple(r) for r in state.get[0]], state.get[1:]) if state.exists else ([], (None, None))
-        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
-        reads_now = [*held, *zip(rows["t"].tolist(), rows["clock"].tolist(), strict=True)]
-        known = [(t, c) for t, c in [(anchor[0], anchor[1])] if t is not None]
-        options = [[] if c != c or c is None else [(c, None)] for _, c in [*known, *reads_now]]
-        cleaned = [c for c, _ in clean_clock([t for t, _ in [*known, *reads_now]], options)][len(known) :]
-        out = list(zip([t for t, _ in reads_now], cleaned, strict=True))[:-1]
-        accepted = [x for x in out if x[1] is not None]
-        state.update(([list(map(float, reads_now[-1]))], *(accepted[-1] if accepted else anchor)))
-        yield pd.DataFrame({key: [k[0]] * len(out), "t": [t for t, _ in out], "clock": [c for _, c in out]})
-
-    kind = dict(reads.dtypes)[key]
-    return reads.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, t double, clock double", "held array<array<double>>, t double, clock double", "append", GroupStateTimeout.NoTimeout)
+def heartbeat(like: DataFrame, ts: str = "ts", after: str = "1000 days") -> DataFrame:
+    """One row of nulls whose event time lies far behind all rows of `like`: it moves the watermark past them, so that
+    every window closes and every key ends. It belongs to no key and its own window never closes."""
+    row = like.agg(F.max(F.col(ts).cast("timestamp")).alias("_last")).select((F.col("_last") + F.expr(f"INTERVAL '{after}'")).alias("_last"))
+    return row.select(*[(F.col("_last") if c == ts else F.lit(None)).cast(k).alias(c) for c, k in like.dtypes])
+
+
+def in_parts(rows: DataFrame, parts: int, ts: str = "ts") -> list[DataFrame]:
+    """rows cut by event time into spans of equal length, in order."""
+    low, high = rows.select(F.unix_micros(F.min(F.col(ts).cast("timestamp"))), F.unix_micros(F.max(F.col(ts).cast("timestamp")))).first()
+    if low is None:
+        return [rows]
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    edges = [low + (high - low) * k // parts for k in range(1, parts)]
+    spans = zip([None, *edges], [*edges, None], strict=True)
+    return [rows.filter((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in spans]
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """State of streams in RocksDB, on local disk with changes in the checkpoint, while the block runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_parts(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame], *, name: str, end: bool = True, ts: str = "ts") -> DataFrame:
+    """What a stream in append mode has written after the parts have come one after another.
+
+    Each part is appended to a folder of Parquet files that the stream reads; then the stream runs until it has read all
+    there is, and stops. The next run starts from its checkpoint: state, watermark and the files read already carry over
+    from one to the next as they would over a failure. end: a heartbeat comes last.
+    """
+    spark = parts[0].sparkSession
+    root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    every = [*parts, heartbeat(reduce(DataFrame.unionByName, parts), ts)] if end else parts
+    with rocksdb(spark):
+        for part in every:
+            part.write.mode("append").parquet(f"{root}/source")
+            out = stream(event_stream(spark, f"{root}/source", part.schema))
+            writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+            writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
 def run_available(df: DataFrame, *, name: str, mode: str) -> DataFrame:
