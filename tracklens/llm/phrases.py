@@ -7,11 +7,12 @@ is no loop over words. Two such polynomials, of other bases and tables, give a f
 An n-gram can only be frequent if both (n - 1)-grams in it are. So short fingerprints (32 bits, whose sums can only be
 too large) are counted first, of words, then of pairs of words that can be frequent, and so on; which are frequent is
 told to the tasks as a bitmap of fixed size. Where it fills up, more n-grams are counted than need be, and nothing is
-lost. Whole fingerprints of what remains are then summed, with the smallest and largest check of each; where these
-differ, several phrases share the fingerprint. A last reading emits pointers, the row and the word at which an n-gram
-stands, from the documents of smallest key that have it (and from all that have a fingerprint shared by phrases, which
-are then counted apart), so no n-gram is shuffled as text. Only frequent ones are ever turned into text, from their
-pointers, where phrases are told apart at last; scores are then joins and windows over these.
+lost. Whole fingerprints of what remains are then summed, with a pointer to where one of their n-grams stands: the smallest
+corner, 8 bits of a hash of the row, of those that have it. The sums also keep the smallest and largest check; where these
+differ, several phrases share the fingerprint. A last reading turns into text only frequent n-grams, in the rows that
+their pointers lead to (and in all rows where several phrases share one: these are told apart and counted by their
+text). So each frequent phrase is shuffled as text once or a few times, and no other ever is. Scores are then joins and
+windows over the phrases.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, mix, written
 
 #: Bytes hashed together; rows a task's sums hold before equal ones are made one, and distinct ones it gives out.
-SEGMENT, PENDING, FULL = 1 << 20, 1_000_000, 750_000
+SEGMENT, PENDING, FULL = 1 << 20, 2_000_000, 1_500_000
 BITMAP = 1 << 27  # bits: 16 MB, broadcast
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_LANG = "und"
@@ -163,14 +164,14 @@ class _Counter:
 class _Grams:
     """The n-grams of a segment that holds several texts' bytes."""
 
-    def __init__(self, raws: list[bytes], keys: list[int], langs: list[int], before: list[int], own: list[int], tags: np.ndarray):
+    def __init__(self, raws: list[bytes], keys: list[int], langs: list[int], own: list[int], tags: np.ndarray):
         self.low, self.start, self.end, self.piece = _words(b"\n".join(raws))
         ends = np.cumsum(np.array([len(r) + 1 for r in raws]))
         doc = np.searchsorted(ends, self.start, side="right")
         place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(raws)))[doc]
         limit = np.array(own)[doc]
         self.mine = (limit < 0) | (place < limit)
-        self.key, self.lang, self.pos = np.array(keys, np.int64)[doc], np.array(langs, np.int32)[doc], place + np.array(before, np.int64)[doc]
+        self.key, self.lang = np.array(keys, np.int64)[doc], np.array(langs, np.int32)[doc]
         self.corner = (self.key.view(np.uint64) >> np.uint64(56)).astype(np.uint8)
         self.tag, self.lanes = tags[self.lang], {}
 
@@ -179,6 +180,14 @@ class _Grams:
             self.lanes[lane] = _fingerprints(self.low, self.start, self.end, lane)
         return mix(_spans(self.lanes[lane], _lane(lane)[2], at, at + n) + self.tag[at] + np.uint64(n))
 
+    def phrases(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The n-grams' texts, words joined by a space."""
+        low = self.low.tobytes()
+        words = [[low[a:b] for a, b in zip(self.start[at + k].tolist(), self.end[at + k].tolist(), strict=True)] for k in range(n)]
+        out = np.empty(len(at), object)
+        out[:] = [b" ".join(w).decode() for w in zip(*words, strict=True)]
+        return out
+
     def whole(self, n: int) -> np.ndarray:
         """The words at which an n-gram within a piece starts. (The byte between two texts ends a piece.)"""
         at = np.arange(len(self.start) - n + 1)
@@ -218,17 +227,17 @@ def _read(rows: DataFrame, longest: int, work, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, step = {}, work()
-        waiting, size = [[], [], [], [], []], 0
+        waiting, size = [[], [], [], []], 0
         for batch in batches:
             for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = names.setdefault(lang, len(names))
-                for before, own, raw in _segments(text.encode(), longest):
-                    for column, x in zip(waiting, (raw, key, at, before, own), strict=True):
+                for _, own, raw in _segments(text.encode(), longest):
+                    for column, x in zip(waiting, (raw, key, at, own), strict=True):
                         column.append(x)
                     size += len(raw) + 1
                     if size >= SEGMENT:
                         yield from step(_Grams(*waiting, _tags(names)), names)
-                        waiting, size = [[], [], [], [], []], 0
+                        waiting, size = [[], [], [], []], 0
         if size:
             yield from step(_Grams(*waiting, _tags(names)), names)
         yield from step(None, names)
@@ -291,9 +300,9 @@ def _sums(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
     return _read(rows, longest, work, "_fp long, _mark long, _count long, _lang string")
 
 
-def _pointed(rows: DataFrame, longest: int, bitmaps, corners, keep: int) -> DataFrame:
-    """(_fp, _check, _n, _key, _pos, _count): the tasks' counts of n-grams in documents whose key's corner is marked
-    with their fingerprint, each with one place where it stands."""
+def _materialised(rows: DataFrame, longest: int, bitmaps, corners, keep: int) -> DataFrame:
+    """(_fp, _lang, _n, phrase, _count): the tasks' counts of n-grams in rows whose corner is marked with their
+    fingerprint, as text."""
 
     def work():
         sums = _Counter()
@@ -305,15 +314,18 @@ def _pointed(rows: DataFrame, longest: int, bitmaps, corners, keep: int) -> Data
                     mine = grams.mine[at] & _marked(_cornered(fp, grams.corner[at]), corners.value)
                     at, fp = at[mine], fp[mine]
                     if len(at):
-                        check = grams.hashes(n, at, 1) >> np.uint64(32)
-                        sums.add_merged((fp, check, np.full(len(at), n, np.int8), grams.key[at], grams.pos[at], np.ones(len(at), np.int64)))
+                        one = _Counter()
+                        one.add((fp, grams.hashes(n, at, 1), grams.lang[at], at, np.ones(len(at), np.int64)))
+                        fp, check, lang, at, count = one.take()
+                        sums.add((fp, check, lang, np.full(len(at), n, np.int8), grams.phrases(n, at), count))
             if (grams is None or sums.full()) and (found := sums.take()) is not None:
-                fp, check, lengths, key, pos, count = found
-                yield from _slices({"_fp": fp.view(np.int64), "_check": check.view(np.int64), "_n": lengths, "_key": key, "_pos": pos, "_count": count})
+                fp, _, lang, lengths, phrases, count = found
+                langs = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
+                yield from _slices({"_fp": fp.view(np.int64), "_lang": langs, "_n": lengths, "phrase": pa.array(phrases, pa.string()), "_count": count})
 
         return step
 
-    return _read(rows, longest, work, "_fp long, _check long, _n byte, _key long, _pos long, _count long")
+    return _read(rows, longest, work, "_fp long, _lang string, _n byte, phrase string, _count long")
 
 
 def _cornered(fp: np.ndarray, corner: np.ndarray) -> np.ndarray:
@@ -340,30 +352,6 @@ def _tags(names: dict[str, int]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
 
 
-def _phrases_at(pointers: DataFrame, rows: DataFrame) -> DataFrame:
-    """pointers (_key, _pos, _n and more) with `phrase`, the words that stand there; a row for each text that has the
-    key (equal rows give equal phrases)."""
-    rest = [c for c in pointers.columns if c != "_key"]
-    wanted = pointers.groupBy("_key").agg(F.collect_list(F.struct(*rest)).alias("_at"))  # of one row's text
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, phrases, langs = batch["_at"], [], []
-            for lang, text, found in zip(batch["_lang"].to_pylist(), batch["_text"].to_pylist(), lists.to_pylist(), strict=True):
-                words, piece = words_of(text)
-                for p in found:
-                    i, n = p["_pos"], p["_n"]
-                    fine = i + n <= len(words) and piece[i] == piece[i + n - 1]
-                    phrases.append(b" ".join(words[i : i + n]).decode() if fine else None)
-                langs += [lang] * len(found)
-            flat = lists.flatten()
-            at = [flat.field(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*at, pa.array(langs, pa.string()), pa.array(phrases, pa.string())], [*rest, "_lang", "phrase"])
-
-    schema = ", ".join(f"{c} {pointers.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.join(wanted, "_key").select("_lang", "_text", "_at").mapInArrow(cut, f"{schema}, _lang string, phrase string").filter(F.col("phrase").isNotNull())
-
-
 def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f), (lang, n)): all phrases of up to `longest` words that occur at least `least` times in
     a language, and the languages' word counts.
@@ -385,12 +373,10 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
     sums = _sums(rows, longest, bitmaps, keep).groupBy("_fp", "_lang").agg(F.sum("_count").alias("f"), F.min("_mark").alias("_low"), F.max("_mark").alias("_high"))
     sums = written(sums.filter(F.col("_fp").isNull() | often), "phrase-sums")
     frequent = sums.filter("_fp is not null")
-    parts = _pointed(rows, longest, bitmaps, context.broadcast(_corner_bitmap(frequent)), keep)
-    parts = parts.groupBy("_fp", "_check").agg(F.sum("_count").alias("_seen"), F.min("_key").alias("_at"), F.min_by("_pos", "_key").alias("_pos"), F.min_by("_n", "_key").alias("_n"))
+    texts = _materialised(rows, longest, bitmaps, context.broadcast(_corner_bitmap(frequent)), keep)
+    texts = texts.groupBy("_fp", "_lang", "_n", "phrase").agg(F.sum("_count").alias("_seen"))
     f = F.when(F.shiftright("_low", 8) == F.shiftright("_high", 8), F.col("f")).otherwise(F.col("_seen"))
-    pointers = parts.join(frequent.drop("_lang"), "_fp").select("_at", "_pos", "_n", f.alias("f")).filter(often)
-    # A phrase has one pointer, which leads to one row or to rows that repeat it.
-    found = _phrases_at(pointers.withColumnRenamed("_at", "_key"), rows).groupBy("_lang", "_n", "phrase").agg(F.max("f").alias("f"))
+    found = texts.join(frequent.drop("_lang"), "_fp").withColumn("f", f).filter(often)
     return found.select(F.col("_lang").alias("lang"), F.col("_n").cast("int").alias("words"), "phrase", F.col("f")), sums.filter("_fp is null").select(F.col("_lang").alias("lang"), F.col("f").alias("n"))
 
 
