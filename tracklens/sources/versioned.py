@@ -66,25 +66,34 @@ class VersionedTable:
         (0: none); a Conflict if another was committed since. files: how many to write."""
         folder = f"rows-{uuid.uuid4().hex}"
         (rows.coalesce(files) if files else rows).write.parquet(f"{self.path}/{folder}")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        try:
+            return self._mark({"folder": folder, "schema": kinds, "notes": notes or {}}, on)
+        except Conflict:
+            self._files.delete(self._at(folder), True)
+            raise
+
+    def _mark(self, facts: dict, on: int | None) -> int:
+        """Creates the marker of the next version."""
         begun = self._markers()
         newest = max((v for v, size in begun.items() if size), default=0)
         if on is not None and newest != on:
-            self._files.delete(self._at(folder), True)
             raise Conflict(f"{self.path} is at version {newest}, not {on}")
         version = max(begun, default=0) + 1
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        facts = {"folder": folder, "on": newest, "schema": kinds, "notes": notes or {}}
         try:
             stream = self._files.create(self._at(f"versions/{version:020d}"), False)
         except Exception as e:
-            self._files.delete(self._at(folder), True)
             raise Conflict(f"version {version} of {self.path} was begun by another writer") from e
         try:
-            stream.write(bytearray(json.dumps(facts).encode()))
+            stream.write(bytearray(json.dumps(facts | {"on": newest}).encode()))
         finally:
             stream.close()
         return version
 
+    def relabel(self, version: int, notes: dict) -> int:
+        """Adds a version of the same rows with other notes."""
+        return self._mark(self.facts(version) | {"notes": notes}, version)
+
     def change(self, make: Callable[[DataFrame | None], DataFrame], *, attempts: int = 10, files: int | None = None, notes: dict | None = None) -> int:
         """Commits make(the newest rows, or None), again from the newer version where another writer came first."""
         for attempt in range(attempts):
