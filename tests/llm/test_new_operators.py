@@ -54,10 +54,12 @@ def phrase_rows():
     return [*rows, *rows[:40], ("en", ""), ("en", None), (None, "   \t"), ("fr", "one time only"), ("en", "the quick brown fox " * 3000)]
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_collocations_equal_plain_counts(spark, monkeypatch, bits):
-    """Also where segments are far shorter than texts, and (with three bits) where nearly all fingerprints collide."""
+@pytest.mark.parametrize(("bits", "most"), [(64, 2**23 - 1), (3, 2**23 - 1), (64, 5)])
+def test_collocations_equal_plain_counts(spark, monkeypatch, bits, most):
+    """Also where segments are far shorter than texts, (with three bits) where nearly all fingerprints collide, and where
+    a count takes several rows."""
     monkeypatch.setattr(W, "SEGMENT", 700)
+    monkeypatch.setattr(W, "MOST", most)
     rows = phrase_rows()
     df = spark.createDataFrame([(None if i % 7 == 0 else i // 2, t, g, 1) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, f int").repartition(3)
     got = {tuple(r) for r in W.collocations(df, bits=bits).collect()}

@@ -30,7 +30,7 @@ from .common import bounded_batches, mix, written
 
 #: Bytes hashed together; rows a task's sums hold before equal ones are made one, and distinct ones it gives out.
 SEGMENT, PENDING, FULL = 1 << 20, 2_000_000, 1_500_000
-BITMAP = 1 << 27  # bits: 16 MB, broadcast
+BITMAP, MOST = 1 << 27, (1 << 23) - 1  # bits: 16 MB, broadcast; the largest count of a row of sums
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_LANG = "und"
 #: The bytes that end a piece, and the blanks between words.
@@ -272,8 +272,9 @@ def _bucket_counts(rows: DataFrame, n: int, longest: int, bitmaps, keep: int) ->
 
 
 def _sums(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
-    """(_fp, _mark, _count, _lang): the tasks' counts of the fingerprints of all lengths that can be frequent. _mark has
-    32 bits of the check and 8 of the smallest key; rows with a language and no fingerprint count its words."""
+    """(_fp, _mark, _lang): the tasks' counts of the fingerprints of all lengths that can be frequent. _mark has 23 bits
+    of a count (larger ones take several rows), 32 of the check and 8 of the smallest key. Rows with a language and no
+    fingerprint have the count of its words as _mark."""
 
     def work():
         sums, words = _Counter(), {}
@@ -289,15 +290,20 @@ def _sums(rows: DataFrame, longest: int, bitmaps, keep: int) -> DataFrame:
                         mark = grams.hashes(n, at, 1) >> np.uint64(32) << np.uint64(8) | grams.corner[at].astype(np.uint64)
                         sums.add_merged((fp, mark, np.ones(len(at), np.int64)), smallest=True)
             if (grams is None or sums.full()) and (found := sums.take()) is not None:
-                yield from _slices({"_fp": found[0].view(np.int64), "_mark": found[1].view(np.int64), "_count": found[2], "_lang": pa.nulls(len(found[0]), pa.string())})
+                fp, mark, count = found
+                while len(fp):
+                    part = np.minimum(count, MOST)
+                    packed = mark.view(np.int64) | part << 40
+                    yield from _slices({"_fp": fp.view(np.int64), "_mark": packed, "_lang": pa.nulls(len(fp), pa.string())})
+                    left = count > part
+                    fp, mark, count = fp[left], mark[left], (count - part)[left]
             if grams is None and words:
                 langs = list(names)
-                none = pa.nulls(len(words), pa.int64())
-                yield from _slices({"_fp": none, "_mark": none, "_count": list(words.values()), "_lang": [langs[i] for i in words]})
+                yield from _slices({"_fp": pa.nulls(len(words), pa.int64()), "_mark": list(words.values()), "_lang": [langs[i] for i in words]})
 
         return step
 
-    return _read(rows, longest, work, "_fp long, _mark long, _count long, _lang string")
+    return _read(rows, longest, work, "_fp long, _mark long, _lang string")
 
 
 def _materialised(rows: DataFrame, longest: int, bitmaps, corners, keep: int) -> DataFrame:
@@ -370,7 +376,10 @@ def frequent_phrases(documents: DataFrame, *, least: int = 10, longest: int = 3,
     for n in range(1, longest + 1):
         counts = _bucket_counts(rows, n, longest, list(bitmaps), keep).groupBy("_fp").agg(F.sum("_count").alias("f"))
         bitmaps.append(context.broadcast(_bitmap(counts.filter(often))))
-    sums = _sums(rows, longest, bitmaps, keep).groupBy("_fp", "_lang").agg(F.sum("_count").alias("f"), F.min("_mark").alias("_low"), F.max("_mark").alias("_high"))
+    # Dealt out before they are grouped: a partial aggregate would find nothing to add and send wider rows.
+    check = F.col("_mark").bitwiseAND((1 << 40) - 1)
+    count = F.when(F.col("_fp").isNull(), F.col("_mark")).otherwise(F.shiftright("_mark", 40))
+    sums = _sums(rows, longest, bitmaps, keep).repartition("_fp").groupBy("_fp", "_lang").agg(F.sum(count).alias("f"), F.min(check).alias("_low"), F.max(check).alias("_high"))
     sums = written(sums.filter(F.col("_fp").isNull() | often), "phrase-sums")
     frequent = sums.filter("_fp is not null")
     texts = _materialised(rows, longest, bitmaps, context.broadcast(_corner_bitmap(frequent)), keep)
