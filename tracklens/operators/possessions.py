@@ -17,7 +17,7 @@ from .joins import assign_to_windows, located_events, mentioned_player, nearest_
 from .scoreboard import clean_timeline
 from .states import debounced
 from .tracks import clean_paths, homography, resolve_conflicts, stitch_tracks
-from .votes import capped_team, first_seen_majority, outcome, plurality, segment_offense, team_by_jersey
+from .votes import capped_team, first_seen_majority, offense_maps_by_span, outcome, plurality, segment_offense, team_by_jersey, team_of_cluster
 from .windows import segments
 
 MARGIN, LEAST_PLAYERS, FLIP_S, LEAST_TRACK_S, VOTE_S = 3.0, 6, 1.5, 1.5, 20
@@ -60,15 +60,44 @@ def track_numbers(frames: DataFrame, rosters: DataFrame, names: DataFrame) -> Da
     return sides[0].join(sides[1], ["game", "member"], "full")
 
 
-def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *, fps: float = 10.0) -> dict[str, DataFrame]:
+def home_clusters(on_court: DataFrame, numbers: DataFrame, names: DataFrame, brightness: DataFrame | None) -> DataFrame:
+    """(game, home_cluster, how): which cluster plays at home, from the numbers read on each cluster's tracks, else from
+    brightness (game, cluster, brightness)."""
+    clusters = first_seen_majority(on_court, ["game", "track"], "cluster", "t_ms").select("game", F.col("track").alias("member"), "cluster")
+    counted = numbers.join(clusters, ["game", "member"]).groupBy("game", "cluster").agg(F.sum(F.coalesce("home_votes", F.lit(0))).alias("home_votes"), F.sum(F.coalesce("away_votes", F.lit(0))).alias("away_votes"))
+    both = names.select("game", F.explode(F.array(F.lit(0), F.lit(1))).alias("cluster")).join(counted, ["game", "cluster"], "left").fillna(0, ["home_votes", "away_votes"])
+    light = brightness.select("game", "cluster", "brightness") if brightness is not None else both.select("game", "cluster", F.lit(0.0).alias("brightness"))
+    return team_of_cluster(both.join(light, ["game", "cluster"], "left").fillna(0.0, ["brightness"]))
+
+
+def offense_by_period(segs: DataFrame, votes: DataFrame, spans: DataFrame) -> DataFrame:
+    """(game, possession, offense): the cluster that the map of the segment's period, by its middle, has attack its half;
+    no row for segments between periods. A period without votes has the map of a tie."""
+    numbered = spans.select("game", F.col("period").alias("span"), "t_lo", "t_hi")
+    maps = offense_maps_by_span(votes, numbered, keys=["game"])
+    middle = segs.withColumn("_t", (F.col("t_lo") + F.col("t_hi")) / 2).select("game", "possession", "half", "_t", F.col("_t").alias("_t2"))
+    inside = overlapping(numbered, middle, keys=["game"], left_range=("t_lo", "t_hi"), right_range=("_t", "_t2"), width=600.0).filter(F.col("_t") < F.col("t_hi"))
+    found = inside.join(maps.select("game", "span", "right_team"), ["game", "span"])
+    attacks = F.when(F.col("half") == 1, F.col("right_team")).otherwise(1 - F.col("right_team"))
+    return found.groupBy("game", "possession").agg(F.min_by(attacks, "span").alias("offense"))
+
+
+def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *, fps: float = 10.0, spans: DataFrame | None = None, brightness: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables `possessions` and `points`.
 
-    names: (game, home, away, home_cluster), the cluster that plays at home. points: a row a track and frame with the
-    team, jersey and name that the track got; tracks shorter than 1.5 s are left out.
+    names: (game, home, away) and, if it is known, home_cluster, the cluster that plays at home; without that column (or
+    where it is null) it is found from the numbers read, else from brightness (game, cluster, brightness). spans: (game,
+    period, t_lo, t_hi) of the scoreboard; teams change baskets between periods, so each has an offence map of its own.
+    A game without spans has votes and time windows decide. points: a row a track and frame with the team, jersey and
+    name that the track got; tracks shorter than 1.5 s are left out.
     """
     proj = checkpointed(projected(frames))  # the fits are read by five branches; so are the tables below
     on_court = checkpointed(detections_on_court(proj))
     states = checkpointed(frame_states(on_court))
+    numbers = checkpointed(track_numbers(proj, rosters, names))
+    found = home_clusters(on_court, numbers, names, brightness).select("game", F.col("home_cluster").alias("_found"))
+    given = F.col("home_cluster") if "home_cluster" in names.columns else F.lit(None).cast("int")
+    names = checkpointed(names.join(found, "game", "left").select("game", "home", "away", F.coalesce(given, "_found").alias("home_cluster")))
     segs = possession_segments(states, fps=fps).withColumnRenamed("segment", "possession")
     segs = checkpointed(segs)
     grid = overlapping(states.withColumn("_t2", F.col("t")), segs.select("game", "possession", "t_lo", "t_hi"), keys=["game"], left_range=("t", "_t2"), right_range=("t_lo", "t_hi"), width=60.0)
@@ -91,7 +120,7 @@ def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *
     seen = whole.filter("x is not null").select("game", "possession", "track", "frame", "t", "bbox").join(paths, ["game", "possession", "track", "frame"])
     seen = checkpointed(seen)
 
-    votes = track_numbers(proj, rosters, names).join(members, ["game", "member"]).groupBy("game", "possession", "track").agg(*[F.sum(F.coalesce(f"{s}_votes", F.lit(0))).alias(f"{s}_votes") for s in ("home", "away")], *[F.max_by(f"{s}_jersey", f"{s}_votes").alias(f"{s}_jersey") for s in ("home", "away")])
+    votes = numbers.join(members, ["game", "member"]).groupBy("game", "possession", "track").agg(*[F.sum(F.coalesce(f"{s}_votes", F.lit(0))).alias(f"{s}_votes") for s in ("home", "away")], *[F.max_by(f"{s}_jersey", f"{s}_votes").alias(f"{s}_jersey") for s in ("home", "away")])
     t = tracks.join(votes, ["game", "possession", "track"], "left").join(names, "game").fillna(0, ["home_votes", "away_votes"])
     by_cluster = F.when(F.col("cluster").isNull(), None).when(F.col("cluster") == F.col("home_cluster"), F.col("home")).otherwise(F.col("away"))
     t = t.withColumn("team", team_by_jersey(by_cluster, F.col("home"), F.col("away"), F.col("home_votes"), F.col("away_votes")))
@@ -111,7 +140,13 @@ def build_possessions(frames: DataFrame, rosters: DataFrame, names: DataFrame, *
 
     offense_votes = holders.filter("cluster is not null").join(states, ["game", "t"]).select("game", "t", "half", "cluster")
     offense = segment_offense(segs.select("game", F.col("possession").alias("segment"), "half", "t_lo", "t_hi"), offense_votes, keys=["game"], min_votes=round(VOTE_S * fps))
-    p = segs.join(offense.select("game", F.col("segment").alias("possession"), "offense"), ["game", "possession"]).join(names, "game")
+    offense = offense.select("game", F.col("segment").alias("possession"), "offense")
+    if spans is not None:
+        mapped = offense_by_period(segs, offense_votes, spans).withColumnRenamed("offense", "_mapped")
+        with_spans = spans.select("game").distinct().withColumn("_has", F.lit(True))
+        offense = offense.join(mapped, ["game", "possession"], "left").join(with_spans, "game", "left")
+        offense = offense.select("game", "possession", F.when(F.col("_has"), F.col("_mapped")).otherwise(F.col("offense")).alias("offense"))
+    p = segs.join(offense, ["game", "possession"]).join(names, "game")
     team = F.when(F.col("offense") == F.col("home_cluster"), F.col("home")).when(F.col("offense").isNotNull(), F.col("away"))
     ball = proj.filter("bx is not null").select("game", "t", "bx", "by").join(grid, ["game", "t"]).groupBy("game", "possession").agg(F.sort_array(F.collect_list(F.array("t", F.round("bx", 2), F.round("by", 2)))).alias("ball"))
     p = p.join(ball, ["game", "possession"], "left")

@@ -54,17 +54,32 @@ def ranked_dedup(points: Column, *, apart: float = 1.0, cap: int | None = 5) ->
     return F.slice(kept, 1, cap) if cap else kept
 
 
-def still_counts(frames: DataFrame, *, key: str, t: str, points: str, back: float = 0.5, tolerance: float = 0.1, radius: float = 1.5, half_x: float = 47.0) -> DataFrame:
-    """(key, t, visible, still, frontcourt) for frames whose points are array<struct<x, y>>.
+def still_counts_by_radius(frames: DataFrame, *, key: str, t: str, points: str, radii: list[float], back: float = 0.5, tolerance: float = 0.1, half_x: float = 47.0) -> DataFrame:
+    """(key, t, visible, stills, frontcourt) for frames whose points are array<struct<x, y>>; stills has a count for each
+    radius, all from one look-up of the earlier frame.
 
-    A point is still if any point of the frame nearest to `back` before it (within tolerance) is at most radius away.
+    A point is still if any point of the frame nearest to `back` before it (within tolerance) is less than the radius away.
     """
     from .joins import nearest_within
 
     f = frames.select(key, F.col(t).alias("_t"), F.col(points).alias("_p")).withColumn("_wanted", F.col("_t") - back)
-    j = nearest_within(f, f.select(key, F.col("_t").alias("_rt0"), F.col("_p").alias("_old0")), keys=[key], left_t="_wanted", right_t="_rt0", value="_old0", tolerance=tolerance, left_id=[key, "_t"], out="_old")
-    still = F.filter("_p", lambda p: F.exists("_old", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) < radius))
-    return j.select(key, F.col("_t").alias(t), F.size("_p").alias("visible"), F.when(F.col("_old").isNull(), 0).otherwise(F.size(still)).alias("still"), F.size(F.filter("_p", lambda p: p["x"] < half_x)).alias("frontcourt"))
+    earlier = f.select(key, F.col("_t").alias("_rt0"), F.col("_p").alias("_old0"))
+    j = nearest_within(f, earlier, keys=[key], left_t="_wanted", right_t="_rt0", value="_old0", tolerance=tolerance, left_id=[key, "_t"], out="_old")
+    moved = F.transform("_p", lambda p: F.array_min(F.transform("_old", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))))
+    j = j.withColumn("_moved", moved)
+    stills = F.array(*[_below("_moved", r) for r in radii])
+    return j.select(key, F.col("_t").alias(t), F.size("_p").alias("visible"), stills.alias("stills"), F.size(F.filter("_p", lambda p: p["x"] < half_x)).alias("frontcourt"))
+
+
+def _below(column: str, bound: float) -> Column:
+    """How many elements of an array are below a bound; 0 for a null array."""
+    return F.coalesce(F.size(F.filter(column, lambda m: m < bound)), F.lit(0))
+
+
+def still_counts(frames: DataFrame, *, key: str, t: str, points: str, back: float = 0.5, tolerance: float = 0.1, radius: float = 1.5, half_x: float = 47.0) -> DataFrame:
+    """(key, t, visible, still, frontcourt): still_counts_by_radius for one radius."""
+    rows = still_counts_by_radius(frames, key=key, t=t, points=points, radii=[radius], back=back, tolerance=tolerance, half_x=half_x)
+    return rows.select(key, t, "visible", F.col("stills")[0].alias("still"), "frontcourt")
 
 
 def median_speed(df: DataFrame, *, key: list[str], t: str = "t", x: str = "x", y: str = "y") -> DataFrame:
