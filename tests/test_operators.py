@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracklens.functions import text as X
 from tracklens.operators import clusters as K
 from tracklens.operators import display as D
 from tracklens.operators import features as FE
@@ -196,10 +197,48 @@ def test_lookups_of_pages(spark):
     assert D.boxes_by_time(points).count() == 20
     tiles = spark.createDataFrame([("a", "g", "live", 900.0), ("b", "g", "ato", 100.0), ("c", "g", "ato", 800.0), ("d", "g", "dead", 5.0)], "key string, game string, start_type string, start_clock double")
     assert [r["key"] for r in D.tiles_in_order(tiles).orderBy("tile").collect()] == ["c", "b", "d", "a"] and D.tiles_in_order(tiles, n=2).count() == 2
-    assert D.team_map("0=Reds", "Reds", "Blues") == {0: "Reds", 1: "Blues"} and D.team_map("auto", "Reds", "Blues") is None
-    for bad in ("2=Reds", "0=Greens", "0=Reds,1=Reds", "0=Reds,0=Blues"):
-        with pytest.raises(ValueError):
-            D.team_map(bad, "Reds", "Blues")
+
+
+def test_team_maps(spark):
+    """Teams in any case of letters; one side implies the other."""
+    ask = lambda text: spark.createDataFrame([(text, "Reds", "Blues")], "s string, home string, away string").select(X.team_map(F.col("s"), F.col("home"), F.col("away")).alias("m")).first()["m"]
+    assert ask("0=reds") == {0: "Reds", 1: "Blues"} == ask("1=Blues") == ask(" 0 = REDS , 1=blues") == ask("0=Reds,0=reds")
+    assert ask("0=Blues,1=Reds") == {0: "Blues", 1: "Reds"} and ask("auto") is None
+    for bad in ("2=Reds", "0=Greens", "0=Reds,1=Reds", "0=Reds,0=Blues", "0", "", "=Reds"):
+        with pytest.raises(Exception, match="bad team map"):
+            ask(bad)
+
+
+def test_readings_of_digits(spark):
+    """The plurality at each place, the first read on ties; of several readings of a crop the plausible one."""
+    one = lambda c, texts: spark.createDataFrame([(texts,)], "t array<string>").select(c(F.col("t")).alias("v")).first()["v"]
+    vote = lambda texts, n: one(lambda t: X.glyph_vote(t, n), texts)
+    assert vote(["735", "135", "735"], 3) == "735" and vote(["9", "3"], 1) == "9" and vote(["3", "9"], 1) == "3" and vote(["42", "47", "12", "17"], 2) == "42"
+    assert one(X.picked_reading, ["7x", "12:34", "1234", "12:3"]) == "12:34" and one(X.picked_reading, ["55", "5", "55"]) == "55"
+
+
+def test_matchups_of_many_frames_at_once(spark):
+    """Frames of any sizes, some with too few, against one assignment for each; the grid takes the nearest frames."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for frame in range(60):
+        off, de = (rng.uniform(0, 50, (rng.integers(0, 6), 2)) for _ in range(2))
+        rows += [("g", frame, s, 10 * k + i, float(p[0]), float(p[1])) for k, (s, ps) in enumerate((("off", off), ("def", de))) for i, p in enumerate(ps)]
+        if min(len(off), len(de)) >= 2:
+            a, b = (off, de) if len(off) <= len(de) else (de, off)
+            want[frame] = min(sum(np.hypot(*(p - b[j])) for p, j in zip(a, way)) for way in permutations(range(len(b)), len(a)))
+    df = spark.createDataFrame(rows, "game string, frame int, side string, track long, x double, y double")
+    got = {}
+    for r in T.matchups(df, keys=["game", "frame"], least=2).collect():
+        got.setdefault(r["frame"], []).append(r)
+    assert set(got) == set(want) and len(want) > 20
+    for frame, pairs in got.items():
+        assert sum(r["distance"] for r in pairs) == pytest.approx(want[frame]) and len({r["off"] for r in pairs}) == len({r["def"] for r in pairs}) == len(pairs)
+    full = spark.createDataFrame([("g", s, 10 * k + i, round(t * 0.1 + 0.02, 3), 5.0 * i + t, 3.0 * k) for t in range(30) for k, s in enumerate(("off", "def")) for i in range(5)], "game string, side string, track long, t double, x double, y double")
+    grid = T.matchup_grid(full, keys=["game"], step=0.5, tolerance=0.05).collect()
+    assert {r["t"] for r in grid} == {0.5, 1.0, 1.5, 2.0, 2.5} and len(grid) == 25 and all(r["off"] + 10 == r["def"] and r["distance"] == 3.0 for r in grid)
 
 
 def test_small_sources(spark, tmp_path):

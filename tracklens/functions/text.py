@@ -98,15 +98,22 @@ def picked_reading(texts: Column) -> Column:
 
 
 def glyph_vote(texts: Column, length: int) -> Column:
-    """The plurality character at each place of readings of one length, the lowest on ties."""
+    """The plurality character at each place of readings of one length; on ties the one that was read first."""
     places = []
     for k in range(1, length + 1):
-        chars = F.transform(texts, lambda t, k=k: F.substring(t, k, 1))
-        tally = F.transform(F.array_distinct(chars), lambda c, chars=chars: F.struct((-F.size(F.filter(chars, lambda o: o == c))).alias("n"), c.alias("c")))
-        places.append(F.array_min(tally)["c"])
+        places.append(F.array_min(_tally(_chars_at(texts, k)))["c"])
     return F.concat(*places)
 
 
+def _chars_at(texts: Column, place: int) -> Column:
+    return F.transform(texts, lambda t: F.substring(t, place, 1))
+
+
+def _tally(chars: Column) -> Column:
+    """Distinct characters as they came first, the most frequent ones least in order."""
+    return F.transform(F.array_distinct(chars), lambda c, i: F.struct((-F.size(F.filter(chars, lambda o: o == c))).alias("n"), i.alias("i"), c.alias("c")))
+
+
 def clock_label(seconds: Column) -> Column:
     whole = F.floor(seconds / 60).cast("int")
     return F.when(seconds >= 60, F.format_string("%d:%02d", whole, F.floor(seconds - whole * 60).cast("int"))).otherwise(F.format_string("%.1f", seconds))
@@ -246,12 +253,15 @@ def region_map(spec_text: Column) -> Column:
 
 
 def team_map(spec_text: Column, home: Column, away: Column) -> Column:
-    """map<int, string> of 0=A,1=B in any case; one given side implies the other; auto gives null; errors are raised."""
-    pairs = F.transform_keys(F.transform_values(F.str_to_map(spec_text, F.lit(","), F.lit("=")), lambda k, v: F.trim(v)), lambda k, v: F.trim(k).try_cast("int"))
-    keys = F.map_keys(pairs)
-    named = F.transform_values(pairs, lambda k, v: F.when(F.lower(v) == F.lower(home), home).when(F.lower(v) == F.lower(away), away))
-    wrong = F.exists(keys, lambda k: k.isNull() | ~k.isin(0, 1)) | F.exists(F.map_values(named), lambda v: v.isNull()) | (F.size(F.array_distinct(F.map_values(named))) < F.size(keys))
+    """map<int, string> of "0=A" or "0=A,1=B", teams in any case of letters; one given side implies the other, "auto" is
+    null. Other clusters, teams that are not of the game, and contradictions raise an error."""
+    parts = F.transform(F.split(spec_text, ","), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("cluster"), F.lower(F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p)))).alias("team"), p.contains("=").alias("pair")))
+    team = lambda t: F.when(t == F.lower(home), home).when(t == F.lower(away), away)
+    wrong = F.exists(parts, lambda p: ~p["pair"] | ~p["cluster"].isin("0", "1") | team(p["team"]).isNull())
+    of = lambda c: F.array_distinct(F.transform(F.filter(parts, lambda p: p["cluster"] == c), lambda p: team(p["team"])))
+    zero, one = F.get(of("0"), F.lit(0)), F.get(of("1"), F.lit(0))
+    against = (F.size(of("0")) > 1) | (F.size(of("1")) > 1) | F.coalesce(zero == one, F.lit(False))
     other = lambda t: F.when(t == home, away).otherwise(home)
-    full = F.create_map(F.lit(0), F.coalesce(named[F.lit(0)], other(named[F.lit(1)])), F.lit(1), F.coalesce(named[F.lit(1)], other(named[F.lit(0)])))
     error = F.raise_error(F.concat(F.lit("bad team map: "), spec_text)).cast("map<int,string>")
-    return F.when(F.lower(spec_text) == "auto", None).when(wrong, error).otherwise(full)
+    full = F.create_map(F.lit(0), F.coalesce(zero, other(one)), F.lit(1), F.coalesce(one, other(zero)))
+    return F.when(F.lower(spec_text) == "auto", None).when(wrong | against, error).otherwise(full)

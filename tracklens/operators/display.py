@@ -103,26 +103,6 @@ def tiles_in_order(records: DataFrame, *, n: int = 0) -> DataFrame:
     return rows.filter(F.col("tile") <= n) if n else rows
 
 
-def team_map(text: str, home: str, away: str) -> dict[int, str] | None:
-    """{cluster: team} of "0=Team" or "0=Team,1=Other"; the second follows from the first. "auto" and "" give null; other
-    clusters, unknown teams and contradictions are a ValueError."""
-    if text in ("", "auto"):
-        return None
-    found: dict[int, str] = {}
-    for part in text.split(","):
-        cluster, _, team = part.strip().partition("=")
-        if cluster not in ("0", "1") or team not in (home, away):
-            raise ValueError(f"not a cluster and one of the teams: {part}")
-        if found.get(int(cluster), team) != team:
-            raise ValueError(f"two teams for cluster {cluster}")
-        found[int(cluster)] = team
-    for cluster in (0, 1):
-        found.setdefault(cluster, away if found[1 - cluster] == home else home) if 1 - cluster in found else None
-    if found[0] == found[1]:
-        raise ValueError("one team for both clusters")
-    return found
-
-
 def roster_order(players: DataFrame, *, team: str, jersey: str, name: str) -> DataFrame:
     """players with their rank in their team: by the number of the jersey, those without a number last, then by name."""
     number = F.regexp_replace(F.col(jersey).cast("string"), r"\D", "").try_cast("int")
