@@ -209,6 +209,14 @@ def test_team_maps(spark):
             ask(bad)
 
 
+def test_json_for_scripts(spark):
+    import json
+
+    text = "Ann Lee </script> a\u2028b\u2029c \\ \"q\" </"
+    out = spark.createDataFrame([(text, 1)], "s string, n int").select(X.script_json(F.struct("s", "n")).alias("j")).first()["j"]
+    assert json.loads(out) == {"s": text, "n": 1} and "</" not in out and not {"\u2028", "\u2029"} & set(out)
+
+
 def test_readings_of_digits(spark):
     """The plurality at each place, the first read on ties; of several readings of a crop the plausible one."""
     one = lambda c, texts: spark.createDataFrame([(texts,)], "t array<string>").select(c(F.col("t")).alias("v")).first()["v"]

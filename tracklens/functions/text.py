@@ -243,8 +243,10 @@ def margin_bucket(margin: Column) -> Column:
 
 
 def script_json(value: Column) -> Column:
-    """JSON that is safe inside a script element."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.to_json(value), "</", "<\\\\\\\\/"), " ", "\\\\\\\\u2028"), " ", "\\\\\\\\u2029")
+    """JSON that is safe inside a script element: no end of an element and no line separators that scripts take for line
+    ends; parsed, it is the value."""
+    out = F.regexp_replace(F.to_json(value), "</", r"<\\/")
+    return F.regexp_replace(F.regexp_replace(out, "\u2028", r"\\u2028"), "\u2029", r"\\u2029")
 
 
 def region_map(spec_text: Column) -> Column:
