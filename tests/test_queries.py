@@ -150,26 +150,38 @@ def test_supervised_team(spark, sf_dir):
 
 
 def test_halfcourt_records_and_coverage(spark, sf_dir):
-    """A record for each interval of the team; what was found lies in order, and coverage counts the records."""
+    """A record for each interval of the team; nearly all are located, set-ups are found and missed, and coverage counts
+    the records. The grid has the pipeline's own thresholds in a row of its own."""
     records, coverage = run(spark, sf_dir, "halfcourt_records"), {r["game"]: r for r in run(spark, sf_dir, "coverage_report")}
-    assert len(records) == len({r["key"] for r in records})
-    expected = []
-    for (game, period), rows in groups(S.classified_plays(catalog_game.plays(spark, sf_dir), keys=["game", "period"]), ["game", "period"], ["seq"]):
-        own = [i for i in S.cut_intervals(rows, 1200.0 if period <= 2 else 300.0) if i["team"] == "Reds"]
-        expected += [(f"{game}:{period}:{k}", i["start_clock"], i["end_clock"], i["terminal"]) for k, i in enumerate(own)]
+    own = [i for i in run(spark, sf_dir, "pbp_intervals") if i["team"] == "Reds"]
+    assert len(records) == len({r["key"] for r in records}) == len(own)
+    by_period = defaultdict(list)
+    for i in sorted(own, key=lambda i: (i["game"], i["period"], i["index"])):
+        by_period[i["game"], i["period"]].append(i)
+    expected = [(f"{g}:{p}:{k}", i["start_clock"], i["end_clock"], i["terminal"]) for (g, p), rows in by_period.items() for k, i in enumerate(rows)]
     assert sorted((r["key"], r["start_clock"], r["end_clock"], r["terminal"]) for r in records) == sorted(expected)
+    located = [r for r in records if r["located"]]
+    assert len(located) > 0.6 * len(records) and any(not r["no_setup"] for r in located) and any(r["no_setup"] and r["t0"] is not None for r in located)
     for r in records:
-        assert r["start_clock"] > r["end_clock"] and (r["located"] or r["t0"] is None)
+        assert r["located"] or r["t0"] is None
         assert r["setup"] is None or r["t0"] is not None
-        assert r["n_players"] == 0 or r["t0"] is not None
+        assert r["n_players"] == (5 if r["t0"] is not None else 0)
     by_game = defaultdict(list)
     for r in records:
         by_game[r["key"].split(":")[0]].append(r)
     assert {str(g): (c["intervals"], c["located"]) for g, c in coverage.items()} == {g: (len(rs), sum(r["located"] for r in rs)) for g, rs in by_game.items()}
+    assert sum(c["dead_ball_with_setup"] for c in coverage.values()) > 0
+    grid = {(r["radius"], r["players"]): r for r in run(spark, sf_dir, "setup_grid")}
+    (n,) = {r["records"] for r in grid.values()}
+    assert n == sum(r["t0"] is not None and not r["transition"] for r in records) and len(grid) == 9
+    for radius in (1.0, 1.5, 3.0):
+        counts = [grid[radius, k]["setups"] for k in (3, 4, 5)]
+        assert counts == sorted(counts, reverse=True) and counts[0] > 0
+    assert grid[3.0, 4]["setups"] > grid[1.0, 4]["setups"]  # who runs to and fro by 2.5 ft is still by 3 ft
 
 
 def test_all_queries_are_tested():
-    named = {"segments_debounced", "score_timeline_clean", "score_timeline_known", "period_spans", "pbp_intervals", "stream_clock", "stream_intervals", "stitch_tracks", "path_clean", "matchup_assignment", "defence_features", "defence_labels", "homography_fits", "kmeans_sets", "supervised_team", "halfcourt_records", "coverage_report"}
+    named = {"segments_debounced", "score_timeline_clean", "score_timeline_known", "period_spans", "pbp_intervals", "stream_clock", "stream_intervals", "stitch_tracks", "path_clean", "matchup_assignment", "defence_features", "defence_labels", "homography_fits", "kmeans_sets", "supervised_team", "halfcourt_records", "coverage_report", "setup_grid"}
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == named
 
 

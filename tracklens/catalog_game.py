@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .functions import text as X
+from .operators import halfcourt as H
+from .operators import reports as R
 from .operators import scoreboard as B
 from .operators import states as S
+from .plans.session import checkpointed
 from .streaming import events as ST
 from .streaming import machines as M
 
@@ -168,6 +171,57 @@ def play_predicates(spark, d):
     return inner.groupBy("game").agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()])
 
 
+# --- records ------------------------------------------------------------------------------------------------------
+
+FRAMES_A_SECOND, LENGTH = 2, 50
+
+
+def records_input(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cleaned reads, spans, possessions (eleven plays each, the teams in turn) and points. Five Reds stand in the half
+    that they attack, the left one but for the second period; where an event's number is odd they run to and fro for its
+    four seconds. Five Blues are seen once a second."""
+    g = game_time(spark, d).filter("period is not null")
+    block = F.floor((F.row_number().over(Window.partitionBy("game", "period").orderBy("rank")) - 1) / len(SCRIPT)).cast("int")
+    g = g.withColumn("possession", F.col("period") * 1000 + block)
+    reads = score_timeline_known(spark, d).filter("clock is not null").select("game", "t", "clock")
+    spans = g.select("game", "period").distinct().join(spark.createDataFrame([(n, float(a), float(a + size)) for n, a, size in PERIODS], "period int, t_lo double, t_hi double"), "period").select("game", "period", "t_lo", "t_hi")
+    reds, turned = F.col("possession") % 2 == 0, F.col("period") == 2
+    possessions = g.groupBy("game", "period", "possession").agg(F.min("second").cast("double").alias("start_time"), (F.max("second") + STEP - 0.01).alias("end_time"))
+    possessions = possessions.select("game", "possession", "start_time", "end_time", F.when(reds, "Reds").otherwise("Blues").alias("offense_team"), F.when(reds == turned, "right").otherwise("left").alias("attacking_basket"))
+    frames = g.select("game", "period", "possession", "second", (F.col("event_id") % 2 == 1).alias("runs"), F.explode(F.sequence(F.lit(0), F.lit(STEP * FRAMES_A_SECOND - 1))).alias("k"))
+    p = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("track")).filter((F.col("track") < 5) | (F.col("k") % FRAMES_A_SECOND == 0))
+    place = F.col("track") % 5
+    x, y = 40.0 - 6.0 * place, 25.0 + 4.0 * place - F.when(place > 2, 30).otherwise(0) + F.when(F.col("runs") & (F.col("k") % 2 == 1), 2.5).otherwise(0.0)
+    points = p.select(
+        "game", "possession", F.col("track").cast("long").alias("track"), F.when(F.col("track") < 5, "Reds").otherwise("Blues").alias("team"), F.when(F.col("track") == 0, "P0").alias("name"), F.lit("1").alias("jersey"), (F.col("second") + F.col("k") / FRAMES_A_SECOND).alias("t"),
+        F.when(turned, 94.0 - x).otherwise(x).alias("x"), y.alias("y"), (F.col("k") % 3 > 0).alias("detected"), (F.col("track") == 0).alias("holding"), F.lit(LENGTH).alias("length"),
+    )
+    return reads, spans, possessions, points
+
+
+@query()
+def halfcourt_records(spark, d):
+    reads, spans, possessions, points = records_input(spark, d)
+    r = H.build_records(plays(spark, d), reads, spans, possessions, points, team="Reds")
+    return r.select("key", "start_type", "full_court", "terminal", "start_clock", "end_clock", "located", "outcome", "points", "t0", "setup", "no_setup", "transition", F.size(F.coalesce("players", F.expr("array()"))).alias("n_players"))
+
+
+@query()
+def coverage_report(spark, d):
+    r = checkpointed(halfcourt_records(spark, d)).withColumn("game", F.split_part("key", F.lit(":"), F.lit(1)))
+    return R.period_coverage(r, ["game"]).select("game", "intervals", "located", "dead_ball", "dead_ball_with_setup", F.map_keys("start_types").alias("kinds"))
+
+
+@query()
+def setup_grid(spark, d):
+    """Set-ups found for each pair of thresholds, over the records of halfcourt_records."""
+    reads, spans, possessions, points = records_input(spark, d)
+    directions = H.attack_directions(possessions, spans)
+    iv = checkpointed(H.located_intervals(plays(spark, d), reads, spans, team="Reds"))
+    rows = checkpointed(H.gathered(iv, possessions, points, directions))
+    return H.setup_sensitivity(iv, rows, radii=[1.0, 1.5, 3.0], players=[3, 4, 5])
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 PARTS = 4

@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import catalog_game  # noqa: F401  adds its queries
 from .catalog import _GREEDY, _SEGMENTS, COURT, court, query, table
-from .catalog_game import plays
 from .functions import text as X
 from .operators import clusters as K
 from .operators import display as D
 from .operators import features as FE
-from .operators import halfcourt as H
 from .operators import joins as J
 from .operators import reports as R
 from .operators import states as S
@@ -225,29 +224,6 @@ def segment_offense(spark, d):
     return V.segment_offense(segs.select("game", "segment", "half", "t_lo", "t_hi"), court(spark, d).select("game", "t", "half", "cluster"), keys=["game"], min_votes=3, window=86400.0).select("game", "segment", "offense")
 
 
-def records_input(spark, d):
-    """Reads, spans, possessions and points for half-court records, a day being a period of 1,200 s."""
-    v = court(spark, d).withColumn("period", F.floor(F.col("t_ms") / 86400000).cast("int") - 19722).withColumn("t", F.col("t") / 72.0)
-    reads = v.select("game", "t", F.round(1200.0 - (F.col("t") % 1200.0), 0).alias("clock"))
-    spans = v.groupBy("game", "period").agg((F.floor(F.min("t") / 1200.0) * 1200.0).alias("t_lo"), (F.floor(F.min("t") / 1200.0) * 1200.0 + 1199.99).alias("t_hi"))
-    possessions = v.groupBy("game", F.floor(F.col("t") / 300.0).alias("possession")).agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"), F.min(F.when(F.col("cluster") == 0, "Reds").otherwise("Blues")).alias("offense_team"), F.min(F.when(F.col("half") == -1, "left").otherwise("right")).alias("attacking_basket"))
-    points = v.select("game", F.floor(F.col("t") / 300.0).alias("possession"), (F.col("event_id") % 6).alias("track"), F.when(F.col("event_id") % 4 < 3, "Reds").otherwise("Blues").alias("team"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("P"), (F.col("event_id") % 6).cast("string"))).alias("name"), F.lit("1").alias("jersey"), "t", "x", "y", (F.col("event_id") % 3 > 0).alias("detected"), (F.col("event_id") % 5 == 0).alias("holding"), (F.col("event_id") % 50).cast("int").alias("length"))
-    return reads, spans, possessions, points
-
-
-@query()
-def halfcourt_records(spark, d):
-    reads, spans, possessions, points = records_input(spark, d)
-    r = H.build_records(plays(spark, d), reads, spans, possessions, points, team="Reds")
-    return r.select("key", "start_type", "full_court", "terminal", "start_clock", "end_clock", "located", "outcome", "points", "t0", "setup", "no_setup", "transition", F.size(F.coalesce("players", F.expr("array()"))).alias("n_players"))
-
-
-@query()
-def coverage_report(spark, d):
-    r = checkpointed(halfcourt_records(spark, d)).withColumn("game", F.split_part("key", F.lit(":"), F.lit(1)))
-    return R.period_coverage(r, ["game"]).select("game", "intervals", "located", "dead_ball", "dead_ball_with_setup", F.map_keys("start_types").alias("kinds"))
-
-
 @query(f"WITH {COURT} SELECT game, cluster, list(event_type ORDER BY t_ms) AS readings FROM v GROUP BY ALL")
 def readings_in_order(spark, d):
     return D.readings_in_order(court(spark, d), ["game", "cluster"], "event_type", "t_ms")
