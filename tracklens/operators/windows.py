@@ -123,11 +123,6 @@ def followed_by(df: DataFrame, *, key: str, order: list[str], what: Column, t: s
     return df.withColumn("_hit", what).withColumn(out, F.coalesce(F.lead("_hit").over(w) & (F.lead(t).over(w) - F.col(t) < within), F.lit(False))).drop("_hit")
 
 
-def top_per(df: DataFrame, *, key: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each group, with their rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= n)
-
-
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node) of all nodes reached from start (node) along edges (src, dst), themselves included, however far.
 
