@@ -70,7 +70,7 @@ def test_possession_summaries(spark):
     df = spark.createDataFrame([(1, 1.26, 9.0, "Reds", "left", 723.0, 59.4, "made_2", 2, [("Bo",), (None,), ("Ann",), ("Bo",)], [(700.0, "Ann makes layup")]), (2, 0.0, 1.0, None, "right", None, None, None, None, [], None)], kind)
     a, b = R.possession_summary(df).orderBy("possession_id").collect()
     assert (a["start"], a["clock_start"], a["players"], a["events"]) == (1.3, "12:03", "Ann; Bo", "11:40 Ann makes layup")
-    assert b["players"] == "" and b["events"] == "" and b["clock_start"] == "n/a"
+    assert b["players"] == "" and b["events"] == "" and b["clock_start"] is None
 
 
 def test_labels_and_validation(spark, tmp_path):

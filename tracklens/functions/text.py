@@ -115,8 +115,9 @@ def _tally(chars: Column) -> Column:
 
 
 def clock_label(seconds: Column) -> Column:
+    """m:ss from a minute on, else seconds with a decimal; null for a missing clock."""
     whole = F.floor(seconds / 60).cast("int")
-    return F.when(seconds >= 60, F.format_string("%d:%02d", whole, F.floor(seconds - whole * 60).cast("int"))).otherwise(F.format_string("%.1f", seconds))
+    return F.when(seconds >= 60, F.format_string("%d:%02d", whole, F.floor(seconds - whole * 60).cast("int"))).when(seconds.isNotNull(), F.format_string("%.1f", seconds))
 
 
 def surname(name: Column) -> Column:
