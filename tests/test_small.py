@@ -127,3 +127,37 @@ def test_scope_and_changed_spans(spark):
     a = spark.createDataFrame([("g", 1, 0.0, 10.0), ("g", 2, 10.0, 20.0)], "game string, period int, t_lo double, t_hi double")
     b = spark.createDataFrame([("g", 1, 0.0, 10.0), ("g", 2, 11.0, 20.0)], a.schema)
     assert {(r["side"], r["t_lo"]) for r in jobs.changed_spans(a, b).collect()} == {("old", 10.0), ("new", 11.0)} and jobs.changed_spans(a, a).isEmpty()
+
+
+def test_runs_over_chunks(spark):
+    """However the rows are cut, the histogram is that of the whole."""
+    import random
+
+    from tracklens.operators import windows as W
+
+    rng = random.Random(5)
+    rows = [(g, i, rng.random() < p) for g, p, n in (("a", 0.6, 200), ("b", 0.97, 150), ("c", 1.0, 40), ("d", 0.0, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "game string, i int, ok boolean")
+    want = {(r["game"], r["n"]): r["c"] for r in W.runs_of_true(df, key="game", order="i", flag=F.col("ok")).groupBy("game", "n").agg(F.count("*").alias("c")).collect()}
+    for size in (1, 7, 50, 1000):
+        cut = W.chunk_runs(df.withColumn("chunk", F.floor(F.col("i") / size)), keys=["game"], chunk="chunk", order="i", flag=F.col("ok"))
+        assert {(r["game"], r["n"]): r["times"] for r in W.merged_runs(cut, keys=["game"], chunk="chunk").collect()} == want
+    assert want["c", 40] == 1 and not any(g == "d" for g, _ in want)
+
+
+def test_summaries_through_the_cache(spark, tmp_path):
+    """What is cached is not fetched again; a filter reads one folder."""
+    root, asked = str(tmp_path / "cache"), []
+    plays = "array(named_struct('clock', named_struct('displayValue', '1:00'), 'text', game_id, 'team', named_struct('id', '1'), 'type', named_struct('text', 'x'), 'scoringPlay', false, 'scoreValue', 0, 'period', named_struct('number', 1), 'awayScore', 0, 'homeScore', 0))"
+
+    def fetch(ids):
+        asked.append(sorted(r["game_id"] for r in ids.collect()))
+        empty = spark.createDataFrame([], "game_id string, " + spec.SUMMARY).select("game_id", "header", "boxscore")
+        return empty.unionByName(ids.select("game_id"), allowMissingColumns=True).selectExpr("game_id", "header", "boxscore", f"{plays} plays")
+
+    ask = lambda *ids: S.cached_summaries(spark, root, spark.createDataFrame([(i,) for i in ids], "game_id string"), fetch)
+    assert {r["game_id"]: r["plays"][0]["text"] for r in ask("g1", "g2").collect()} == {"g1": "g1", "g2": "g2"}
+    assert {r["game_id"] for r in ask("g2", "g3").collect()} == {"g2", "g3"} and asked == [["g1", "g2"], ["g3"]]
+    one = spark.read.schema("plays array<struct<text:string>>, game_id string").json(root).filter("game_id = 'g1'")
+    assert one.count() == 1 and all("game_id=g1" in f for f in one.inputFiles()) or "PartitionFilters: [isnotnull(game_id" in one._jdf.queryExecution().toString()
+    assert ask("g1").collect()[0]["plays"][0]["text"] == "g1" and len(asked) == 2

@@ -18,6 +18,7 @@ from .operators import halfcourt as H
 from .operators import reports as R
 from .operators import scoreboard as B
 from .operators import states as S
+from .operators import windows as W
 from .plans.session import checkpointed
 from .streaming import events as ST
 from .streaming import machines as M
@@ -222,6 +223,27 @@ def setup_grid(spark, d):
     return H.setup_sensitivity(iv, rows, radii=[1.0, 1.5, 3.0], players=[3, 4, 5])
 
 
+@query(
+    f"""WITH {GAME}, f AS (SELECT game, rank, h % 5 <> 0 AS ok FROM g), r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY rank) AS k FROM f),
+runs AS (SELECT game, k, count(*) AS n FROM r WHERE ok GROUP BY game, k)
+SELECT game, CAST(count(*) AS BIGINT) AS runs, round(median(n) / 10.0, 6) AS median, round(max(n) / 10.0, 6) AS longest, CAST(count_if(n >= 8) AS BIGINT) AS long FROM runs GROUP BY game"""
+)
+def run_statistics(spark, d):
+    """Runs of valid rows over chunks of sixty: each chunk is reduced on its own, runs that cross borders count once."""
+    g = game_time(spark, d).withColumn("chunk", F.floor(F.col("rank") / 60))
+    states = W.chunk_runs(g, keys=["game"], chunk="chunk", order="rank", flag=F.col("h") % 5 != 0)
+    return R.run_stats(W.merged_runs(states, keys=["game"], chunk="chunk"), ["game"], fps=10.0, least=0.8)
+
+
+@query(
+    f"""WITH {GAME}, c AS (SELECT game, h AS reading, count(*) AS n, min(rank) AS first FROM g GROUP BY game, h)
+SELECT game, reading, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY game ORDER BY n DESC, first, reading) AS INT) AS rank FROM c QUALIFY rank <= 15"""
+)
+def common_readings(spark, d):
+    g = game_time(spark, d).withColumn("reading", F.col("h"))
+    return R.most_common(g, ["game"], "reading", at_order="rank")
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 PARTS = 4

@@ -34,6 +34,38 @@ def runs_of_true(df: DataFrame, *, key: str, order: str, flag: Column) -> DataFr
     return rows.groupBy(key, "_g").agg(F.count("*").alias("n"), F.min(order).alias("run")).select(key, "run", "n")
 
 
+def chunk_runs(df: DataFrame, *, keys: list[str], chunk: str, order: str, flag: Column) -> DataFrame:
+    """The state of each chunk of a key (keys, chunk, rows, head, tail, inner): how many rows it has, the lengths of the
+    runs of rows with the flag at its start and end (both of all rows, if all have it), and the lengths of those that
+    lie within, as an array of (n, times). Chunks are ordered on their own; states of neighbours merge (merged_runs)."""
+    part = Window.partitionBy(*keys, chunk)
+    w = part.orderBy(order)
+    rows = df.select(*keys, chunk, F.coalesce(flag, F.lit(False)).alias("_f"), order)
+    rows = rows.withColumn("_i", F.row_number().over(w)).withColumn("_g", F.sum((~F.col("_f")).cast("long")).over(w)).withColumn("_rows", F.count("*").over(part))
+    runs = rows.groupBy(*keys, chunk, "_g").agg(F.count_if("_f").alias("n"), F.min(F.when(F.col("_f"), F.col("_i"))).alias("_a"), F.max(F.when(F.col("_f"), F.col("_i"))).alias("_b"), F.first("_rows").alias("_rows"))
+    first, last = F.col("_a") == 1, F.col("_b") == F.col("_rows")
+    within = runs.filter((F.col("n") > 0) & ~first & ~last).groupBy(*keys, chunk, "n").agg(F.count("*").alias("times")).groupBy(*keys, chunk).agg(F.sort_array(F.collect_list(F.struct("n", "times"))).alias("inner"))
+    ends = runs.groupBy(*keys, chunk).agg(F.first("_rows").alias("rows"), F.coalesce(F.max(F.when(first, F.col("n"))), F.lit(0)).alias("head"), F.coalesce(F.max(F.when(last, F.col("n"))), F.lit(0)).alias("tail"))
+    return ends.join(within, [*keys, chunk], "left").select(*keys, chunk, "rows", "head", "tail", F.coalesce("inner", F.expr("cast(array() as array<struct<n:bigint,times:bigint>>)")).alias("inner"))
+
+
+def merged_runs(states: DataFrame, *, keys: list[str], chunk: str) -> DataFrame:
+    """(keys, n, times): the histogram of run lengths over all chunks of a key in order, a run that crosses borders
+    counting once. Only the states of a key's chunks are folded, a few numbers each."""
+    fold = F.aggregate(
+        "_s", F.struct(F.lit(0).cast("long").alias("open"), F.expr("cast(array() as array<bigint>)").alias("closed")),
+        lambda acc, s: F.when(s["head"] == s["rows"], F.struct((acc["open"] + s["rows"]).alias("open"), acc["closed"].alias("closed"))).otherwise(
+            F.struct(s["tail"].alias("open"), F.when(acc["open"] + s["head"] > 0, F.concat(acc["closed"], F.array(acc["open"] + s["head"]))).otherwise(acc["closed"]).alias("closed"))
+        ),
+    )
+    ordered = states.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(chunk, F.col("rows").cast("long").alias("rows"), F.col("head").cast("long").alias("head"), F.col("tail").cast("long").alias("tail")))).alias("_s"))
+    folded = ordered.select(*keys, fold.alias("_r"))
+    whole = F.when(F.col("_r.open") > 0, F.concat("_r.closed", F.array("_r.open"))).otherwise(F.col("_r.closed"))
+    crossing = folded.select(*keys, F.explode(whole).alias("n"), F.lit(1).cast("long").alias("times"))
+    within = states.select(*keys, F.inline("inner")).select(*keys, F.col("n").cast("long").alias("n"), "times")
+    return crossing.unionByName(within).groupBy(*keys, "n").agg(F.sum("times").alias("times"))
+
+
 def change_points(df: DataFrame, *, key: str, order: list[str], values: list[str], start: list | None = None) -> DataFrame:
     """Rows whose values differ from the row before; the first is compared with `start`, if one is given."""
     w = Window.partitionBy(key).orderBy(*order)

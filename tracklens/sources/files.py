@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,25 @@ def game_path(root: str, game: str, name: str) -> str:
     return f"{root}/game_id={game}/{name}"
 
 
+def cached_summaries(spark: SparkSession, root: str, games: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The summaries (game_id and the summary's fields) of games (game_id) through a cache, a folder a game under root.
+
+    Games that the cache lacks are fetched (fetch gets their ids and gives summaries) and written to it first; then the
+    cache is read, of which a filter on game_id reads only the folders that it names. A fetched game overwrites its own
+    folder alone.
+    """
+    schema = f"{spec.SUMMARY}, game_id string"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema(schema).json(root).select("game_id").distinct() if there else spark.createDataFrame([], "game_id string")
+    missing = games.select(F.col("game_id").cast("string").alias("game_id")).distinct().join(known, "game_id", "left_anti")
+    if not missing.isEmpty():
+        fetched = fetch(missing)
+        fetched.write.partitionBy("game_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(root)
+    wanted = games.select(F.col("game_id").cast("string").alias("game_id")).distinct()
+    return spark.read.schema(schema).json(root).join(F.broadcast(wanted), "game_id", "left_semi")  # ids of a registry
+
+
 def summary_tables(summaries: DataFrame) -> dict[str, DataFrame]:
     """Flat tables of game summaries (game_id, header, boxscore, plays): teams, roster, periods and plays.
 
