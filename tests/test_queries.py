@@ -101,8 +101,8 @@ def test_matchup_assignment(spark, sf_dir):
     assert seen > 100
 
 
-def test_defence_features_and_labels(spark, sf_dir):
-    """Gap, paint and stability from the match-ups of all frames; labels are two sides of one split."""
+def test_defence_features(spark, sf_dir):
+    """Gap, paint and stability from the match-ups of all frames."""
     rows = {r["game"]: r for r in run(spark, sf_dir, "defence_features")}
     frames = defaultdict(dict)
     for r in run(spark, sf_dir, "matchup_assignment"):
@@ -120,9 +120,17 @@ def test_defence_features_and_labels(spark, sf_dir):
         assert f["stability"] == pytest.approx(np.mean([a == b for a, b in zip(sets, sets[1:])]), abs=1e-4)
         defenders = [r for (g, _), r in place.items() if g == game and r["side"] == "def" and r["frame"] in by_frame]
         assert f["paint"] == pytest.approx(sum(np.hypot(r["x"] - 5.25, r["y"] - 25.0) < 16 for r in defenders) / len(by_frame), abs=1e-4)
-    labels = run(spark, sf_dir, "defence_labels")
-    assert {r["game"] for r in labels} == set(rows) and all(0 <= r["confidence"] <= 1 for r in labels)
-    assert all(r["label"] == "unknown" if rows[r["game"]]["gap"] is None or r["confidence"] < 0.25 else r["label"] in ("man", "zone") for r in labels)
+
+
+def test_defence_labels(spark, sf_dir):
+    """Possessions of twenty frames or more get the defence that was played; both kinds occur, shorter ones are unknown."""
+    rows = run(spark, sf_dir, "defence_labels")
+    frames = {r["play"]: r["count"] for r in catalog_game.defence_points(spark, sf_dir).filter("side = 'def' and track = 5").groupBy("play").count().collect()}
+    assert {r["play"] for r in rows} == set(frames) and all(0 <= r["confidence"] <= 1 for r in rows)
+    known = [r for r in rows if frames[r["play"]] >= 20]
+    assert len(known) > 20 and {r["man"] for r in known} == {True, False}
+    assert np.mean([r["label"] == ("man" if r["man"] else "zone") for r in known]) > 0.95
+    assert all(r["label"] == "unknown" for r in rows if frames[r["play"]] < 20)
 
 
 def test_homography_fits(spark, sf_dir):

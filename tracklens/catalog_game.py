@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .functions import text as X
+from .operators import clusters as K
+from .operators import features as FE
 from .operators import halfcourt as H
 from .operators import reports as R
 from .operators import scoreboard as B
 from .operators import states as S
+from .operators import tracks as TR
 from .operators import windows as W
 from .plans.session import checkpointed
 from .streaming import events as ST
@@ -244,6 +247,37 @@ def common_readings(spark, d):
     return R.most_common(g, ["game"], "reading", at_order="rank")
 
 
+def defence_points(spark, d) -> DataFrame:
+    """(play, man, t, side, track, x, y): the possessions of the games, seen once a second. The five who attack run in
+    circles; of two possessions the defenders of one (man) stand three feet from their opponents on the way to the rim,
+    those of the other keep to places of their own, with a step to either side."""
+    g = game_time(spark, d).filter("period is not null")
+    block = F.floor((F.row_number().over(Window.partitionBy("game", "period").orderBy("rank")) - 1) / len(SCRIPT)).cast("int")
+    g = g.withColumn("play", (F.col("game") * 100_000 + F.col("period") * 1000 + block).cast("long")).withColumn("man", F.pmod(F.xxhash64("play"), F.lit(2)) == 0)
+    f = g.select("play", "man", F.explode(F.sequence(F.col("second"), F.col("second") + STEP - 1)).alias("t")).withColumn("t", F.col("t").cast("double")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    turn = F.col("t") * 0.7 + F.col("i") * 1.2566
+    ax, ay = 26.0 + 12.0 * F.cos(turn) + F.col("i"), 25.0 + 14.0 * F.sin(turn)
+    away = F.hypot(ax - 5.25, ay - 25.0)
+    near = lambda v, rim: v + 3.0 * (F.lit(rim) - v) / away
+    step = F.when(F.col("t").cast("long") % 2 == 0, 0.4).otherwise(-0.4)
+    zx, zy = 10.0 + 6.0 * (F.col("i") % 3) + step, 11.0 + 7.0 * F.col("i") + step
+    sides = F.array(
+        F.struct(F.lit("off").alias("side"), F.col("i").cast("long").alias("track"), ax.alias("x"), ay.alias("y")),
+        F.struct(F.lit("def").alias("side"), (F.col("i") + 5).cast("long").alias("track"), F.when(F.col("man"), near(ax, 5.25)).otherwise(zx).alias("x"), F.when(F.col("man"), near(ay, 25.0)).otherwise(zy).alias("y")),
+    )
+    return f.select("play", "man", "t", F.inline(sides))
+
+
+@query()
+def defence_labels(spark, d):
+    """Man or zone of every possession, with the defence that was played."""
+    p = checkpointed(defence_points(spark, d))
+    pairs = checkpointed(TR.matchups(p, keys=["play", "t"]))
+    measures = checkpointed(FE.defence_measures(pairs, p, key="play"))
+    labels = K.two_way_labels(measures, id_="play", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone"))
+    return labels.join(p.select("play", "man").distinct(), "play").select("play", "man", "label", F.round("confidence", 5).alias("confidence"))
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 PARTS = 4

@@ -80,12 +80,6 @@ def defence_features(spark, d):
     return m.select("game", "frames", *[F.round(c, 5).alias(c) for c in ("stability", "follow", "spread", "gap", "paint")])
 
 
-@query()
-def defence_labels(spark, d):
-    measures = checkpointed(defence_features(spark, d))
-    return K.two_way_labels(measures, id_="game", measures=["stability", "follow", "spread", "gap", "paint"], higher=["stability", "follow"], names=("man", "zone")).withColumn("confidence", F.round("confidence", 5))
-
-
 @query(
     f"""WITH RECURSIVE {COURT}, tr AS (SELECT game, event_id % 12 AS track, min(CASE WHEN cluster = 0 THEN 'A' ELSE 'B' END) AS team, min(CAST(event_id % 4 AS VARCHAR)) AS jersey, count(*) AS votes, min(t) AS t_lo, max(t) AS t_hi FROM v GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY votes DESC, track) AS n FROM tr),
