@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from . import catalog_game  # noqa: F401  adds its queries
 from .catalog import _GREEDY, _SEGMENTS, COURT, court, query, table
-from .functions import text as X
 from .operators import clusters as K
 from .operators import display as D
 from .operators import features as FE
@@ -75,7 +74,8 @@ def matchup_assignment(spark, d):
 @query()
 def defence_features(spark, d):
     p = _five_a_side(spark, d).select("game", F.col("frame").cast("double").alias("t"), "side", F.col("place").alias("track"), "x", "y")
-    pairs = TR.matchups(p, keys=["game", "t"], least=1).persist()  # read by four aggregates
+    pairs = TR.matchups(p, keys=["game", "t"], least=1)
+    pairs = checkpointed(pairs)  # read by four aggregates
     m = FE.defence_measures(pairs, p, key="game", least=5)
     return m.select("game", "frames", *[F.round(c, 5).alias(c) for c in ("stability", "follow", "spread", "gap", "paint")])
 
