@@ -43,11 +43,6 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 @cache
 def _lane(k: int) -> tuple[np.ndarray, int, int]:
     table = mix(np.arange(256, dtype=np.uint64) + np.uint64(_SEEDS[k]))
