@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.llm.additive import encode, fit, nearest_neighbours
+from tracklens.llm.additive import angles, encode, fit, nearest_neighbours, possible
 from tracklens.llm import vafile as V
 from tracklens.llm.vafile import exact_top_k
 
@@ -125,6 +125,37 @@ def test_recall_over_several_blocks(spark):
     assert len(ours) == 20 and hit >= 0.9 * 5 * 20
 
 
+def test_rows_that_the_codes_tell_nothing_of(spark):
+    """Codes that fit badly (many components, a small sample) and codes that cannot tell the rows of a tight group apart:
+    what is found is the same as without codes."""
+    rng = np.random.default_rng(12)
+    wide = rng.standard_normal((5000, 256)).astype(np.float32)
+    tight = np.concatenate([rng.standard_normal((600, 24)), rng.standard_normal(24) + 1e-3 * rng.standard_normal((1400, 24))]).astype(np.float32)
+    for v in (wide, tight):
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<float>").repartition(4)
+        ours = result(nearest_neighbours(df, every=250, sample_rows=500, rerank=32))
+        x = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(1, keepdims=True))
+        assert set(ours) == set(range(0, len(v), 250))
+        for q in ours:
+            assert [i for i, _ in ours[q]] == [i for i, _ in brute(x @ x[q], range(len(v)), q)]
+
+
+def test_no_possible_row_is_ruled_out():
+    rng = np.random.default_rng(13)
+    for spread in (0.0, 1e-4, 0.1, 1.0, 3.0):
+        near, query = (u / np.linalg.norm(u, axis=1, keepdims=True) for u in (rng.standard_normal((300, 12)), rng.standard_normal((20, 12))))
+        near[:20] = query
+        near[20] = 0
+        rows = near + spread * rng.standard_normal(near.shape) + (np.arange(300) == 20)[:, None]
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        exact, scores = query @ rows.T, (query @ near.T).astype(np.float32)
+        for place in (-1, -6, 0):
+            bars = np.sort(exact, axis=1)[:, place]
+            open_ = possible(scores, angles(rows, near), bars, 28 * 2.0**-22)
+            assert open_[exact >= bars[:, None]].all()
+            assert spread > 0.1 or place == 0 or open_.mean() < 0.5
+
+
 def test_search_keeps_clashing_columns_out(spark):
     _, df = vectors(spark, n=120, copies=0)
     for c in ("_id", "_v", "_dim", "_code", "rank", "query_id", "upper", "place"):

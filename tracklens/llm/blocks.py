@@ -2,7 +2,7 @@
 
 Coded rows and queries are dealt into blocks by a hash of their id. Each block of codes meets each block of queries in
 a task of its own, so neither side is ever broadcast or held whole. A task returns the rows of its block that can be
-among a query's best; exact vectors are joined to those pairs only.
+among a query's best; exact vectors are joined to those pairs only, or come with the codes where the task itself decides.
 """
 
 from __future__ import annotations
@@ -77,13 +77,14 @@ def largest(scores: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(scores)) if len(scores) <= k else np.argpartition(scores, len(scores) - k)[len(scores) - k :]
 
 
-def scanned(coded: DataFrame, queries: DataFrame, find: Callable, columns: str) -> DataFrame:
+def scanned(coded: DataFrame, queries: DataFrame, find: Callable, columns: str, of: DataFrame | None = None) -> DataFrame:
     """What find returns for every block of coded rows (_id, _dim and more) and block of queries (_id, _dim, _v).
 
     find(codes, queries, blocks) gets Arrow tables of one vector length and the number of blocks of rows, and returns
-    arrays of the columns `columns` names.
+    arrays of the columns `columns` names. Where coded rows are not stored, `of` is the table that they are made of, row
+    by row, so that they need not be made to be counted.
     """
-    n, long = coded.agg(F.count("*"), F.max("_dim")).first()
+    n, long = (coded if of is None else of).agg(F.count("*"), F.max("_dim")).first()
     per_block = min(max(LEAST_ROWS, n // 64), max(TILE, ROW_BYTES // (4 * (long or 1))))
     row_blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-queries.count() // max(TILE, QUERY_BYTES // (8 * (long or 1)))))
     deal = lambda salt, blocks: F.pmod(F.xxhash64(F.lit(salt), "_id"), F.lit(blocks)).cast("int")
