@@ -251,6 +251,24 @@ def test_sentencepiece_equals_the_library_and_round_trips(spark, edge_documents,
     assert SP.encoded(no_documents, model).count() == 0
 
 
+def test_words_of_all_lengths_advance_together(monkeypatch):
+    """One group for a batch's words, whatever their lengths, as long as its cells are within bounds; results stay."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec, library, groups = SP.Codec(SP.PieceModel.load(path)), sentencepiece.SentencePieceProcessor(model_file=path), []
+    monkeypatch.setattr(SP.Codec, "_viterbi", lambda self, points, *rest, f=SP.Codec._viterbi: (groups.append(points.shape), f(self, points, *rest))[1])
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdeiorst0é"), size)) for size in rng.permutation(np.arange(1, 61))) for _ in range(5)]
+    texts += ["z" * 600, "a" * 512 + " b", ""]
+    assert [x.tolist() for x in codec.encode_batch(texts[:5])] == [library.encode(t) for t in texts[:5]]
+    assert len(groups) == 1 and groups[0][0] == 61
+    monkeypatch.setattr(SP, "CELLS", 700)
+    codec.words.clear()
+    assert [x.tolist() for x in codec.encode_batch(texts)] == [library.encode(t) for t in texts]
+    assert len(groups) > 10 and all(length * n <= 700 for length, n in groups[1:])
+
+
 def test_pairs_are_merged_like_single_strings():
     codec = SP.Codec(SP.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model")))
     rng = np.random.default_rng(5)

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 A text is escaped as the model asks (blanks become U+2581) and cut into words where no piece can cross. The distinct
-words of a batch are grouped by length, and all words of one length advance together, an end position at a time:
-rolling hashes of all substrings that end there are probed in the sorted hashes of the pieces, and each word's best
-predecessor is stored as a backpointer.
+words of a batch are sorted by length and cut into groups of a bounded number of cells, and all words of a group advance
+together, an end position at a time, each until its end: rolling hashes of all substrings that end there are probed in
+the sorted hashes of the pieces, and each word's best predecessor is stored as a backpointer.
 
 The best predecessor is a vectorised maximum. In a unigram model its value is the largest sum of scores. In a BPE
 model sums of scores do not give the model's result, which is defined by merges; but the encoding of every prefix ends
@@ -120,15 +120,13 @@ class Codec:
         split = [self.split(t) if isinstance(t, str) else [] for t in texts]
         if len(self.words) > CACHE:
             self.words = {}
-        new: dict[int, list[str]] = {}
-        for w in {w for words in split for w in words}.difference(self.words):
-            new.setdefault(len(w), []).append(w)
-        for length, words in new.items():
-            step = max(1, CELLS // length)
-            for i in range(0, len(words), step):
-                self._encode_words(words[i : i + step], length)
-        known = self.words
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
+        new = sorted(set().union(*split).difference(self.words), key=len, reverse=True)
+        while new:  # the longest is the first, so that the words whose end is not reached are the first ones of a group
+            step = max(1, CELLS // len(new[0]))
+            self._encode_words(new[:step])
+            new = new[step:]
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in split]
 
     def decode_bytes(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts and where each begins; starts says where each text's ids begin (one entry more)."""
@@ -148,16 +146,20 @@ class Codec:
         data = data.tobytes()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def _encode_words(self, words: list[str], length: int) -> None:
+    def _encode_words(self, words: list[str]) -> None:
+        """Encodes words in the order of their lengths, the longest first."""
         if not self.model.unigram:
-            direct = [w for w in words if length > LONG or SPACE * 2 in w]
+            direct = [w for w in words if len(w) > LONG or SPACE * 2 in w]
             for w in direct:
                 self.words[w] = self._ids(self.merged(w))
             words = [w for w in words if w not in self.words] if direct else words
             if not words:
                 return
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length).T.astype(np.int64)
-        rows, tokens, starts = self._paths(*self._viterbi(points))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.zeros((len(words), lengths[0]), np.int64)
+        points[np.arange(lengths[0]) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.ascontiguousarray(points.T)
+        rows, tokens, starts = self._paths(*self._viterbi(points, lengths), lengths)
         wrong = self._not_spelled(points, rows, tokens, starts)
         begin = np.searchsorted(rows, np.arange(len(words) + 1))
         foreign = np.zeros(len(words), bool)
@@ -170,14 +172,15 @@ class Codec:
         for i in wrong:  # a substring with the hash of a piece that it is not
             self.words[words[i]] = self._ids(self._best_path(words[i]) if self.model.unigram else self.merged(words[i]))
 
-    def _viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backpointers and last tokens for every end position (rows) of every word (columns).
+    def _viterbi(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backpointers and last tokens for every end position (rows) of every word (columns, the longest first).
 
         The value of ending a word's prefix with a piece is the best sum of scores in a unigram model; in a BPE model
         it is 0 if the merge rules leave the piece alone after the piece before it, else minus infinity, so there the
         first finite value is the maximum. All words take each maximum together.
         """
         length, n = points.shape
+        going = np.searchsorted(-lengths, -np.arange(length + 1), side="right")  # words of at least that length
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * _BASE + points[j].astype(np.uint64) + np.uint64(1)
@@ -185,7 +188,7 @@ class Codec:
         best[0] = 0
         back, last = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int64)
         for end in range(1, length + 1):
-            open_ = np.arange(n)
+            open_ = np.arange(going[end])
             for start in range(max(0, end - self.longest), end):
                 token = self._probe(prefix[end][open_] - prefix[start][open_] * self.powers[end - start])
                 if end - start == 1:
@@ -205,10 +208,9 @@ class Codec:
                         break
         return back, last
 
-    def _paths(self, back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _paths(self, back: np.ndarray, last: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, token, start) of the tokens of all words, word after word: the backpointers followed together."""
-        length, n = back.shape[0] - 1, back.shape[1]
-        rows, at, found = np.arange(n), np.full(n, length), []
+        rows, at, found = np.arange(len(lengths)), lengths, []
         while len(rows):
             start = back[at, rows].astype(np.int64)
             found.append((rows, last[at, rows], start))
