@@ -259,3 +259,21 @@ def test_small_sources(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 3
     (tmp_path / "x.JPG").write_bytes(b"abc")
     assert S.images_as_data_uris(spark, str(tmp_path / "x.JPG")).first()["uri"] == "data:image/jpeg;base64,YWJj"
+
+
+def test_silhouettes_store_each_row_once(spark):
+    """However many blocks there are, rows are neither shuffled for each other block nor are sums by block; copies far from
+    the origin have exact distances."""
+    df = spark.range(120).selectExpr("id", "array(1e6 + id % 40 * 1e-3, 1e6 + id % 7, double(id % 3)) as v", "id % 4 as c")
+    made = K.silhouettes(df, "id", "c", "v", block=8)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["id"], np.array(r["v"]), r["c"]) for r in df.collect()]
+    got = {r["id"]: r["silhouette"] for r in made.collect()}
+    assert len(got) == 120
+    for i, v, c in rows:
+        mean = {k: np.mean([np.sqrt(((v - w) ** 2).sum()) for j, w, o in rows if o == k and j != i]) for k in range(4)}
+        b = min(m for k, m in mean.items() if k != c)
+        assert abs(got[i] - (b - mean[c]) / max(mean[c], b)) < 1e-12
+    same = spark.range(40).selectExpr("id", "array(0.1, 1e6 / 3) as v", "id % 2 as c")
+    assert {r["silhouette"] for r in K.silhouettes(same, "id", "c", "v", block=8).collect()} == {0.0}
+    assert K.silhouettes(df.limit(0), "id", "c", "v").collect() == []
