@@ -277,3 +277,23 @@ def test_silhouettes_store_each_row_once(spark):
     same = spark.range(40).selectExpr("id", "array(0.1, 1e6 / 3) as v", "id % 2 as c")
     assert {r["silhouette"] for r in K.silhouettes(same, "id", "c", "v", block=8).collect()} == {0.0}
     assert K.silhouettes(df.limit(0), "id", "c", "v").collect() == []
+
+
+def test_kmeans_returns_a_row_a_centre_and_task(spark):
+    """A task's sums leave it once, however many batches of rows it reads."""
+    df, _ = blobs(spark)
+    parts = []
+    whole = type(df).mapInArrow
+
+    def seen(self, f, schema, **more):
+        parts.append(whole(self, f, schema, **more))
+        return parts[-1]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    type(df).mapInArrow = seen
+    try:
+        K.fit_many_kmeans(df.coalesce(2), [(3, 0), (2, 1)], vector="v", rounds=1)
+        assert parts[0].count() <= 2 * (3 + 2)
+    finally:
+        type(df).mapInArrow = whole
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
