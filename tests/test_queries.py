@@ -196,3 +196,14 @@ def test_all_queries_are_tested():
 def test_entry(spark, sf_dir):
     df = entry.entry(spark)
     assert df.count() > 0 and "segment" in df.columns
+
+
+def _nodes(frames, name):
+    return [f._jdf.queryExecution().executedPlan().toString().count(name) for f in frames]
+
+
+def test_records_read_stored_games(spark, sf_dir):
+    """What several branches read is stored: no plan repeats the windows that make the games."""
+    tables = catalog_game.records_input(spark, sf_dir)
+    assert len(tables) == 5 and _nodes(tables, "Window") == [0] * 5 and _nodes(tables, "Exchange") == [0] * 5
+    assert tables[0].count() == catalog_game.plays(spark, sf_dir).count()
