@@ -207,3 +207,13 @@ def test_records_read_stored_games(spark, sf_dir):
     tables = catalog_game.records_input(spark, sf_dir)
     assert len(tables) == 5 and _nodes(tables, "Window") == [0] * 5 and _nodes(tables, "Exchange") == [0] * 5
     assert tables[0].count() == catalog_game.plays(spark, sf_dir).count()
+
+
+def test_defence_measures_are_joined_from_stored_parts(spark):
+    from tracklens.operators import features as FE
+
+    points = spark.range(400).selectExpr("1L as play", "double(id div 10) as t", "if(id % 10 < 5, 'off', 'def') as side", "id % 10 as track", "double(id % 10) as x", "double(id % 7) as y")
+    pairs = spark.range(200).selectExpr("1L as play", "double(id div 5) as t", "id % 5 as off", "id % 5 + 5 as `def`", "5.0D as distance")
+    made = FE.defence_measures(pairs, points, key="play")
+    assert _nodes([made], "Exchange")[0] <= 10 and _nodes([made], "Window") == [0]
+    assert made.count() == 1 and made.first()["frames"] == 40
